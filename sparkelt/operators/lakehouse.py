@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F, types as T
 
 from ..functions.privacy import mask_table, personal_columns
 from .profile import rollup_first, rollup_sums
+from .relational import join_frames
 
 STAGES = ("BRONZE", "SILVER", "GOLD")
 
@@ -104,9 +105,10 @@ def to_silver(df, strict=False, salt=None):
 def star_join(fact, dimensions):
     """Denormalise a fact table; ``dimensions`` holds (table, key) pairs, joined in turn.
 
-    Catalyst broadcasts the dimensions that are small enough and shuffles the others.
+    Catalyst broadcasts the dimensions that are small enough; the others are
+    shuffled with their hot keys split.
     """
-    return reduce(lambda wide, d: wide.join(d[0], d[1]), dimensions, fact)
+    return reduce(lambda wide, d: join_frames(wide, d[0], d[1]), dimensions, fact)
 
 
 def with_ranks(mart, within, by):

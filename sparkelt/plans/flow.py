@@ -12,12 +12,11 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import Observation, functions as F
 
 from ..errors import CycleInFlowError, FlowError
-from ..functions.redaction import redact
 from ..operators.conditions import safe_filter
 from ..operators.relational import join_frames, left_and_right, transform_columns, union_frames
-from ..sources.files import read_dataset, write_dataset
+from ..sources.files import read_dataset, write_dataset, write_through
 from ..sources.memory import read_memory
-from ..sources.paths import scoped_path
+from ..sources.paths import scoped_path, shared_dir
 
 LOG_SCHEMA = "node_id string, status string, duration_ms double, rows long, error string"
 
@@ -125,6 +124,16 @@ class Flow:
     def outputs(self):
         return [n for n in self.order if self.kind[n].startswith("output")]
 
+    def shared(self):
+        """Computed nodes from which the ways to different sinks part."""
+        reaches = {n: {o for o in self.outputs() if n in self.ancestors(o)} for n in self.order}
+        takers = {n: [t for t in self.order if n in self.feeds[t].values()] for n in self.order}
+        return {
+            n for n in self.order
+            if not self.kind[n].startswith(("input", "output"))
+            and len({frozenset(reaches[t]) for t in takers[n] if reaches[t]}) > 1
+        }
+
     def build(self, spark, place, only=None, watch=None):
         """Lazy DataFrames by node id; ``watch`` may wrap each one as it is made."""
         frames = {}
@@ -139,9 +148,13 @@ class Flow:
             frames[node] = watch(node, made) if watch else made
         return frames
 
-    def preview(self, spark, place, node, n=100):
-        """The first rows of a node; only its ancestors are planned and no sink is written."""
-        return self.build(spark, place, self.ancestors(node))[node].limit(n)
+    def preview(self, spark, place, node, n=100, order=None):
+        """Some n rows of a node, or its first ones by ``order``.
+
+        Only the node's ancestors are planned and no sink is written.
+        """
+        made = self.build(spark, place, self.ancestors(node))[node]
+        return (made.orderBy(*order) if order else made).limit(n)
 
     def node_counts(self, spark, place):
         """Exact row count of every node, as one query (node_id, rows)."""
@@ -156,17 +169,20 @@ class Flow:
         Outputs are re-read from what was written. The log has one row per
         node: sinks with the count of the written rows, other nodes with the
         count seen while the sinks were written, which also counts the rows of
-        tasks that Spark had to run twice. A failure carries the log so far.
+        tasks that Spark had to run twice. A node that several sinks share is
+        written once to the shared folder. A failure carries the log so far.
         """
         if place.base is None:
             raise ValueError("a run writes files and needs a base path")
         seen, log = {}, []
+        shared = self.shared()
 
         def watch(node, df):
             if self.kind[node].startswith("output"):
                 return df
             seen[node] = Observation(node)
-            return df.observe(seen[node], F.count("*").alias("rows"))
+            df = df.observe(seen[node], F.count("*").alias("rows"))
+            return write_through(df, shared_dir(spark, node) + ".parquet") if node in shared else df
 
         frames = self.build(spark, place, watch=watch)
         outputs, started = {}, time.perf_counter()

@@ -1,5 +1,7 @@
 """SQL over one table."""
 
+from pyspark.sql import functions as F
+
 from ..functions.validation import check_read_query
 
 VIEW = "data"
@@ -38,6 +40,8 @@ def user_transform(df, function):
 
 
 def schema_report(df):
-    """One row per column: position, name and type."""
-    rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
+    """One row per column: position, name, type, and the row count of the table."""
+    columns = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"))
+               for i, (name, kind) in enumerate(df.dtypes)]
+    counted = df.agg(F.count("*").alias("row_count"))
+    return counted.select(F.inline(F.array(*columns)), "row_count")
