@@ -21,14 +21,14 @@ def customers(spark, sf):
 
 
 CUSTOMERS = "(SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer)"
-ENTRY = ["name", "stage", "row_count", "column_count", F.array_join("columns", ",").alias("columns"), "format_type"]
+ENTRY = ["name", "stage", "row_count", "column_count", "array_join(columns, ',') AS columns", "format_type"]
 
 
 @query("medallion_register", """
     SELECT 'customers' AS name, 'BRONZE' AS stage, COUNT(*) AS row_count, 4 AS column_count,
            'c_custkey,c_name,c_acctbal,c_mktsegment' AS columns, 'columnar/parquet' AS format_type FROM customer""")
 def register(spark, sf):
-    return house(spark).register("customers", "BRONZE", customers(spark, sf)).select(*ENTRY)
+    return house(spark).register("customers", "BRONZE", customers(spark, sf)).selectExpr(*ENTRY)
 
 
 @query("medallion_get", f"SELECT * FROM {CUSTOMERS}")

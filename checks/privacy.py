@@ -181,22 +181,22 @@ def fold_sql(*rules):
     return text
 
 
-def redaction_query(name, function, *rules):
+def redaction_query(name, *rules, **options):
+    options = options or {"rules": rules}
+
     @query(name, f"SELECT kind, id, {fold_sql(*rules)} AS text FROM {TEXTS}")
     def run(spark, sf):
-        return texts(spark, sf).select("kind", "id", function(F.col("text")).alias("text"))
+        return redaction.redact_table(texts(spark, sf), "text", **options)
 
 
-redaction_query("redact_uri_password", redaction.redact_uri_password, redaction.URI_PASSWORD)
-redaction_query("redact_aws_secret", redaction.redact_aws_secret, redaction.AWS_SECRET)
-redaction_query("redact_generic", redaction.redact_assignment, redaction.ASSIGNMENT)
-redaction_query("redact_aws_key", redaction.redact_aws_key, redaction.AWS_KEY_ID)
-redaction_query("redact_bearer", redaction.redact_bearer, redaction.BEARER)
-redaction_query("redact_azure", redaction.redact_azure, redaction.AZURE_KEY)
-redaction_query("redact_all", redaction.redact, redaction.URI_PASSWORD, redaction.AWS_SECRET,
-                redaction.ASSIGNMENT, redaction.AWS_KEY_ID, redaction.BEARER)
-redaction_query("redact_all_strict", lambda c: redaction.redact(c, strict=True), redaction.URI_PASSWORD_STRICT,
-                redaction.AWS_SECRET, redaction.AZURE_KEY, redaction.BEARER, redaction.ASSIGNMENT, redaction.AWS_KEY_ID)
+redaction_query("redact_uri_password", redaction.URI_PASSWORD)
+redaction_query("redact_aws_secret", redaction.AWS_SECRET)
+redaction_query("redact_generic", redaction.ASSIGNMENT)
+redaction_query("redact_aws_key", redaction.AWS_KEY_ID)
+redaction_query("redact_bearer", redaction.BEARER)
+redaction_query("redact_azure", redaction.AZURE_KEY)
+redaction_query("redact_all", *redaction.PLAIN, strict=False)
+redaction_query("redact_all_strict", *redaction.STRICT, strict=True)
 
 
 # -- verdicts ---------------------------------------------------------------
@@ -249,13 +249,12 @@ def endpoint_sql(strict):
 
 @query("classify_endpoint", endpoint_sql(strict=False))
 def endpoints(spark, sf):
-    return urls(spark, sf).withColumn("verdict", classify_endpoint(F.col("url")))
+    return classify_endpoint(urls(spark, sf), "url")
 
 
 @query("classify_endpoint_strict", endpoint_sql(strict=True))
 def endpoints_strict(spark, sf):
-    return urls(spark, sf).withColumn(
-        "verdict", classify_endpoint(F.col("url"), allow_localhost=False, block_private=True))
+    return classify_endpoint(urls(spark, sf), "url", allow_localhost=False, block_private=True)
 
 
 # A query log with one text per event.
@@ -286,4 +285,4 @@ EVENT_SQL = """CASE event_type
     FROM words""")
 def sql_log(spark, sf):
     log = table(spark, sf, "events").selectExpr("event_id", f"{EVENT_SQL} AS query")
-    return log.withColumn("verdict", classify_sql(F.col("query")))
+    return classify_sql(log, "query")

@@ -136,7 +136,7 @@ sql_query("sql_delegated_window", "events", """
            CAST(SUM(n) OVER (PARTITION BY event_type ORDER BY user_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent
     FROM typed""", EVENT)
 sql_query("sql_delegated_selfjoin", "conversations", """
-    SELECT a.conv_id, a.turn, a.role AS asked, b.role AS answered, LENGTH(b.text) AS answer_length
+    SELECT a.conv_id, a.turn, a.role AS asked, b.role AS answered, CAST(LENGTH(b.text) AS BIGINT) AS answer_length
     FROM data AS a JOIN data AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 sql_query("sql_delegated_setops", "events", """
     SELECT user_id FROM data WHERE event_type = 'view' AND value > 30 INTERSECT SELECT user_id FROM data WHERE event_type = 'click' AND value > 30

@@ -92,8 +92,9 @@ class Lakehouse:
 
 
 def _stored_bytes(spark, path):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(hadoop).getLength()
+    # lists the files; their content is not read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
 def to_silver(df, strict=False, salt=None):

@@ -39,20 +39,18 @@ def _all_set(keys):
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def estimated_bytes(df):
-    """Catalyst's size estimate of a DataFrame, an upper bound for filters and projections."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def broadcast_limit(spark):
-    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def _broadcastable(left, right, how):
-    """Whether Catalyst will broadcast a side, which leaves no key to be skewed."""
-    limit = broadcast_limit(left.sparkSession)
+    """Whether Catalyst will broadcast a side, by its own size estimate.
+
+    Then no row is shuffled and no key can be hot. Without access to the
+    estimate, as on a remote session, the answer is no.
+    """
     sides = {"inner": (left, right), "right": (left,), "outer": ()}.get(how, (right,))
-    return any(estimated_bytes(side) <= limit for side in sides)
+    try:
+        limit = left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return any(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit for side in sides)
+    except AttributeError:
+        return False
 
 
 def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=0.02, salts=32,
