@@ -9,7 +9,7 @@ import time
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import functions as F
 
 from ..errors import CycleInFlowError, FlowError
 from ..operators.conditions import safe_filter
@@ -134,8 +134,8 @@ class Flow:
             and len({frozenset(reaches[t]) for t in takers[n] if reaches[t]}) > 1
         }
 
-    def build(self, spark, place, only=None, watch=None):
-        """Lazy DataFrames by node id; ``watch`` may wrap each one as it is made."""
+    def build(self, spark, place, only=None, after=None):
+        """Lazy DataFrames by node id; ``after`` may replace each one as it is made."""
         frames = {}
         for node in self.order:
             if only is not None and node not in only:
@@ -145,7 +145,7 @@ class Flow:
                 made = KINDS[self.kind[node]](self.config[node], inputs, spark, place)
             except Exception as error:
                 raise FlowError(f"node {node!r} failed: {error}", [_failed(node, error)]) from error
-            frames[node] = watch(node, made) if watch else made
+            frames[node] = after(node, made) if after else made
         return frames
 
     def preview(self, spark, place, node, n=100, order=None):
@@ -158,34 +158,26 @@ class Flow:
 
     def node_counts(self, spark, place):
         """Exact row count of every node, as one query (node_id, rows)."""
-        frames = self.build(spark, place)
-        counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("node_id"), "rows")
-                  for n, df in frames.items()]
-        return counts[0] if len(counts) == 1 else union_frames(*counts)
+        return _counts(self.build(spark, place))
 
-    def run(self, spark, place):
+    def run(self, spark, place, count_all=False):
         """Write every sink; returns ``(outputs, log)``.
 
         Outputs are re-read from what was written. The log has one row per
-        node: sinks with the count of the written rows, other nodes with the
-        count seen while the sinks were written, which also counts the rows of
-        tasks that Spark had to run twice. A node that several sinks share is
-        written once to the shared folder. A failure carries the log so far.
+        node; sinks carry the number of rows they wrote. ``count_all`` adds
+        the rows of the other nodes by a query of its own: counts taken on the
+        way would include the rows of tasks that Spark had to run twice. A
+        node that several sinks share is written once to the shared folder. A
+        failure carries the log so far.
         """
         if place.base is None:
             raise ValueError("a run writes files and needs a base path")
-        seen, log = {}, []
-        shared = self.shared()
-
-        def watch(node, df):
-            if self.kind[node].startswith("output"):
-                return df
-            seen[node] = Observation(node)
-            df = df.observe(seen[node], F.count("*").alias("rows"))
+        shared, log, outputs = self.shared(), [], {}
+
+        def keep_shared(node, df):
             return write_through(df, shared_dir(spark, node) + ".parquet") if node in shared else df
 
-        frames = self.build(spark, place, watch=watch)
-        outputs, started = {}, time.perf_counter()
+        frames = self.build(spark, place, after=keep_shared)
         for node in self.outputs():
             path = place.path(self.config[node].get("key") or self.config[node].get("path", ""))
             begun = time.perf_counter()
@@ -197,13 +189,22 @@ class Flow:
                 log.append(_failed(node, error, _since(begun)))
                 raise FlowError(f"node {node!r} failed: {error}", log) from error
             log.append((node, "succeeded", _since(begun), rows, None))
-        written = set().union(*[self.ancestors(n) for n in self.outputs()]) if outputs else set()
-        for node, observation in seen.items():
-            rows = observation.get["rows"] if node in written else None
-            log.append((node, "succeeded" if node in written else "skipped", _since(started), rows, None))
+        others = [n for n in self.order if n not in outputs]
+        counted = {}
+        if count_all and others:
+            counted = {r["node_id"]: r["rows"] for r in _counts({n: frames[n] for n in others}).collect()}
+        used = set().union(*[self.ancestors(n) for n in outputs])
+        for node in others:
+            log.append((node, "succeeded" if node in used else "skipped", None, counted.get(node), None))
         return outputs, spark.createDataFrame(log, LOG_SCHEMA)
 
 
+def _counts(frames):
+    """Row count per node, as one query (node_id, rows)."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("node_id"), "rows") for n, df in frames.items()]
+    return counts[0] if len(counts) == 1 else union_frames(*counts)
+
+
 def _since(start):
     return round((time.perf_counter() - start) * 1000, 2)
 

@@ -1,0 +1,147 @@
+import os
+
+import pytest
+
+from conftest import plan, rows
+from sparkelt.errors import CycleInFlowError, FlowError, UnsafeQueryError
+from sparkelt.plans.flow import Flow, Place
+from sparkelt.plans.sql import pandas_transform, schema_report, sql_transform, user_transform
+from sparkelt.sources.memory import write_memory
+
+
+def spec(nodes, edges):
+    return {"nodes": [{"id": i, "type": t, "config": c} for i, t, c in nodes],
+            "edges": [dict(zip(("source", "target", "target_port"), e)) for e in edges]}
+
+
+@pytest.fixture
+def place(spark, tmp_path):
+    place = Place("tenant-a", "proj", str(tmp_path))
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "value long, kind string").write.parquet(place.path("in.parquet"))
+    spark.createDataFrame([(2, 1.0), (3, 2.0), (9, 3.0)], "value long, price double").write.parquet(place.path("price.parquet"))
+    return place
+
+
+CHAIN = spec(
+    [("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "value >= 2 and kind == 'a'"}),
+     ("out", "output", {"key": "out.csv"})], [("in", "f"), ("f", "out")])
+
+
+def test_run_writes_and_logs(spark, place):
+    outputs, log = Flow(CHAIN).run(spark, place, count_all=True)
+    assert rows(outputs["out"]) == [(3, "a")] and os.path.exists(place.path("out.csv"))
+    assert rows(log, "node_id", "status", "rows") == [("f", "succeeded", 1), ("in", "succeeded", 3), ("out", "succeeded", 1)]
+    _, log = Flow(CHAIN).run(spark, place)
+    assert rows(log, "node_id", "rows") == [("f", None), ("in", None), ("out", 1)]
+
+
+def test_sinks_that_share_a_node(spark, place):
+    nodes = [("in", "input", {"key": "in.parquet"}), ("p", "input", {"key": "price.parquet"}),
+             ("j", "join", {"on": "value", "how": "left"}), ("dear", "filter", {"condition": "price >= 2"}),
+             ("o1", "output", {"key": "o1.parquet"}), ("o2", "output", {"key": "o2.json"})]
+    edges = [("p", "j", "right"), ("in", "j", "left"), ("j", "o1"), ("j", "dear"), ("dear", "o2")]
+    flow = Flow(spec(nodes, edges))
+    assert flow.shared() == {"j"} and Flow(CHAIN).shared() == set()
+    outputs, log = flow.run(spark, place, count_all=True)
+    assert rows(outputs["o1"]) == [(1, "a", None), (2, "b", 1.0), (3, "a", 2.0)] and rows(outputs["o2"], "value") == [(3,)]
+    assert dict(rows(log, "node_id", "rows")) == {"in": 3, "p": 3, "j": 3, "dear": 1, "o1": 3, "o2": 1}
+    assert dict(rows(flow.node_counts(spark, place))) == {"in": 3, "p": 3, "j": 3, "dear": 1, "o1": 3, "o2": 1}
+
+
+def test_run_over_nothing(spark, place):
+    nothing = spec([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "not True"}),
+                    ("out", "output", {"key": "none.parquet"}), ("idle", "input", {"key": "price.parquet"})],
+                   [("in", "f"), ("f", "out")])
+    outputs, log = Flow(nothing).run(spark, place)
+    assert outputs["out"].count() == 0 and ("idle", "skipped", None) in rows(log, "node_id", "status", "rows")
+
+
+def test_preview_writes_nothing(spark, place):
+    wide = spec([("in", "input", {"key": "in.parquet"}), ("out", "output", {"key": "o.parquet"}),
+                 ("broken", "filter", {"condition": "missing == 1"})], [("in", "out"), ("in", "broken")])
+    preview = Flow(wide).preview(spark, place, "out", 2)
+    assert preview.count() == 2 and not os.path.exists(place.path("o.parquet"))
+    with pytest.raises(ValueError):
+        Flow(wide).preview(spark, place, "nowhere")
+
+
+def test_failures_name_the_node(spark, place):
+    bad = spec([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "missing == 1"})], [("in", "f")])
+    with pytest.raises(FlowError, match="'f' failed.*missing") as failure:
+        Flow(bad).run(spark, place)
+    assert failure.value.log[-1][:2] == ("f", "failed")
+    absent = spec([("in", "input", {"key": "absent.parquet"})], [])
+    with pytest.raises(FlowError, match="'in'"):
+        Flow(absent).build(spark, place)
+    with pytest.raises(ValueError):
+        Flow(CHAIN).run(spark, Place("tenant-a"))
+
+
+@pytest.mark.parametrize("nodes, edges, error", [
+    ([("a", "filter", {}), ("b", "filter", {})], [("a", "b"), ("b", "a")], CycleInFlowError),
+    ([("a", "input", {})], [("a", "b")], ValueError), ([("a", "pivot", {})], [], ValueError),
+    ([("a", "input", {}), ("b", "input", {}), ("j", "join", {})], [("a", "j", "left"), ("b", "j", "left")], ValueError),
+])
+def test_bad_specs(nodes, edges, error):
+    with pytest.raises(error):
+        Flow(spec(nodes, edges))
+
+
+@pytest.mark.parametrize("nodes, edges", [
+    ([("in", "input", {"key": "in.parquet"}), ("j", "join", {"on": "value"})], [("in", "j")]),
+    ([("in", "input", {"key": "in.parquet"}), ("u", "union", {})], [("in", "u")]),
+    ([("in", "input", {"key": "in.parquet"}), ("i2", "input", {"key": "in.parquet"})], [("in", "i2")]),
+    ([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "value > 0"})], [("in", "f", "a"), ("in", "f", "b")]),
+    ([("in", "input", {"key": "../in.parquet"})], []),
+])
+def test_wrong_inputs(spark, place, nodes, edges):
+    with pytest.raises(FlowError):
+        Flow(spec(nodes, edges)).build(spark, place)
+
+
+def test_editor_shape_and_named_tables(spark):
+    """Nodes as a graph editor stores them, over tables in memory."""
+    write_memory(spark.range(2).toDF("value"), "t", "one")
+    write_memory(spark.range(3).toDF("value"), "t", "two")
+    graph = {
+        "nodes": [{"id": "1", "type": "x", "data": {"type": "input_csv", "config": {"path": "one"}}},
+                  {"id": "2", "data": {"type": "input_parquet", "config": {"key": "two"}}},
+                  {"id": "3", "data": {"type": "union"}},
+                  {"id": "4", "data": {"type": "transform", "config": {"rename_columns": {"value": "n"}}}}],
+        "edges": [{"source": "1", "target": "3"}, {"source": "2", "target": "3"},
+                  {"source": "3", "target": "4", "targetHandle": "main"}],
+    }
+    assert [r[0] for r in rows(Flow(graph).build(spark, Place("t"))["4"], "n")] == [0, 0, 1, 1, 2]
+
+
+def test_filter_reaches_the_scan_through_a_flow(spark, place):
+    assert "GreaterThanOrEqual(value,2)" in plan(Flow(CHAIN).build(spark, place)["out"])
+
+
+# -- SQL and user code ------------------------------------------------------
+
+def test_sql(spark):
+    df = spark.createDataFrame([("USA", 100.0), ("USA", 200.0), ("Canada", 50.0)], "country string, amount double")
+    out = sql_transform(df, "SELECT country, SUM(amount) AS total FROM data GROUP BY country ORDER BY total DESC;")
+    assert [tuple(r) for r in out.collect()] == [("USA", 300.0), ("Canada", 50.0)]
+    for text in ("DROP TABLE data", "SELECT 1; SELECT 2", "", "INSERT INTO data VALUES (1)"):
+        with pytest.raises(UnsafeQueryError):
+            sql_transform(df, text)
+
+
+def test_sql_gives_the_name_back(spark):
+    spark.range(7).createOrReplaceTempView("data")
+    late = sql_transform(spark.range(3), "SELECT COUNT(*) AS n FROM data")
+    assert spark.table("data").count() == 7 and late.first()["n"] == 3
+    with pytest.raises(Exception):
+        sql_transform(spark.range(3), "SELECT nothing FROM data")
+    assert spark.table("data").count() == 7
+    spark.catalog.dropTempView("data")
+
+
+def test_user_code(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "val long")
+    squared = pandas_transform(df, lambda b: b.assign(squared=b["val"] ** 2), "val long, squared long")
+    assert rows(squared) == [(1, 1), (2, 4), (3, 9)]
+    assert user_transform(df, lambda d: d.where("val > 1")).count() == 2
+    assert rows(schema_report(df)) == [(0, "val", "bigint", 3)]
