@@ -88,7 +88,7 @@ def pseudonyms(spark, sf):
 def pseudonym_join(spark, sf):
     placed = table(spark, sf, "orders").select(pseudonymize(F.col("o_custkey"), SALT).alias("who"), "o_orderkey")
     buyers = table(spark, sf, "customer").select(pseudonymize(F.col("c_custkey"), SALT).alias("who"), "c_mktsegment")
-    return join_frames(placed, buyers, "who")
+    return join_frames(placed, buyers, "who", hot_share=0.02, hot_sides=("left",))
 
 
 MASTER = "check-master"

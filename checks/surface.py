@@ -21,7 +21,7 @@ SPEC = {
         {"id": "kept", "type": "filter", "config": {"condition": "l_discount >= 0.05 and l_returnflag in ['A', 'R']"}},
         {"id": "renamed", "type": "transform", "config": {
             "select_columns": ["o_orderkey", "o_orderpriority"], "rename_columns": {"o_orderkey": "l_orderkey"}}},
-        {"id": "joined", "type": "join", "config": {"on": "l_orderkey", "how": "inner"}},
+        {"id": "joined", "type": "join", "config": {"on": "l_orderkey", "how": "inner", "hot_share": 0.02}},
         {"id": "sink", "type": "output", "config": {"key": "joined.parquet"}},
     ],
     "edges": [
@@ -58,7 +58,7 @@ def end_to_end(spark, sf):
 def ports(spark, sf):
     """A right join with its ports given in reverse order of the edges."""
     nodes = [dict(n) for n in SPEC["nodes"]]
-    nodes[4] = {"id": "joined", "type": "join", "config": {"on": ["l_orderkey"], "how": "right"}}
+    nodes[4] = {"id": "joined", "type": "join", "config": {"on": ["l_orderkey"], "how": "right", "hot_share": 0.02}}
     edges = [SPEC["edges"][3], *SPEC["edges"][:3], SPEC["edges"][4]]
     prepare(spark, sf)
     joined = Flow({"nodes": nodes, "edges": edges}).build(spark, PLACE)["joined"]

@@ -28,13 +28,30 @@ def transform_columns(df, select=None, rename=None, drop=None):
 
 # -- joins ------------------------------------------------------------------
 
-def hot_keys(df, keys, share):
-    """Keys that hold more than ``share`` of all rows: fewer than ``1 / share`` rows."""
-    counts = df.where(_all_set(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+SAMPLED = 16
+
+
+def hot_keys(df, keys, share, sampled=SAMPLED):
+    """Keys that hold about ``share`` of all rows or more: at most ``1 / share`` rows.
+
+    Counts one row in ``sampled``, chosen by a hash of the row and its input
+    partition. The set only steers how a join is laid out, never its result;
+    it is the same whenever a lost task is run again.
+    """
+    known = df.where(_all_set(keys))
+    if sampled > 1:
+        known = known.where(F.pmod(_row_hash(df), F.lit(sampled)) == 0)
+    counts = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") > F.lit(share) * total).select(*keys)
 
 
+def _row_hash(df):
+    """A number per row that spreads equal rows of different input partitions."""
+    hashable = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return F.xxhash64(*hashable, F.spark_partition_id())
+
+
 def _all_set(keys):
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
@@ -53,19 +70,29 @@ def _broadcastable(left, right, how):
         return False
 
 
-def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=0.02, salts=32,
-                always_salt=False):
+def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=None,
+                hot_sides=("left", "right"), hot_source=None, salts=32, always_salt=False):
     """Equi-join on shared key names.
 
     Non-key columns that both sides have get a suffix. Null keys never match.
-    Unless a side is small enough to be broadcast, keys that hold more than
-    ``hot_share`` of a side's rows are split into ``salts`` parts, so that no
-    task receives all rows of one key. ``hot_share=None`` leaves skew to AQE.
+
+    Adaptive execution splits hot keys of either side of an inner join, and of
+    the left side of a left, semi or anti join. It cannot split the optional
+    side of an outer join, nor a side that an aggregation or join on the same
+    keys has left in place. ``hot_share`` covers these: keys that hold more
+    than that share of the rows of a side named in ``hot_sides`` are cut into
+    ``salts`` parts, unless a side is small enough to be broadcast. It reads
+    the keys of those sides once more, so give it inputs that are cheap to
+    read, such as scans and written tables, and name only sides whose keys
+    can repeat. ``hot_source`` is a cheaper table to find the left side's hot
+    keys in.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in JOIN_KINDS:
         raise ValueError(f"unknown join kind {how!r}; there are {sorted(JOIN_KINDS)}")
     how = JOIN_KINDS[how]
+    if hot_source is not None and how in ("right", "outer"):
+        raise ValueError("a right or outer join finds hot keys in its own left side")
     for side, df in (("left", left), ("right", right)):
         missing = [k for k in keys if k not in df.columns]
         if missing or not keys:
@@ -73,7 +100,7 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=0
 
     half = how in ("left_semi", "left_anti")
     if half:
-        right = right.select(*keys).distinct()
+        right = right.select(*keys)
     else:
         shared = (set(left.columns) & set(right.columns)) - set(keys)
         left, right = [
@@ -84,17 +111,26 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=0
         if len(names) != len(set(names)):
             raise ValueError("the suffixes lead to duplicate column names")
 
-    if hot_share is None or (not always_salt and _broadcastable(left, right, how)):
+    if not always_salt and _broadcastable(left, right, how):
+        return left.join(right, keys, how)
+    if half:
+        # A key of the right side is needed once. A few copies are left of each,
+        # so that the join still shuffles this side and can split the left one.
+        part = F.pmod(F.spark_partition_id(), F.lit(8))
+        right = right.withColumn("_part", part).distinct().drop("_part")
+        hot_sides = set(hot_sides) - {"right"}
+    if hot_share is None or not hot_sides:
         return left.join(right, keys, how)
-    return _salted_join(left, right, keys, how, hot_share, salts)
+    hot_left, hot_right = [
+        hot_keys(df, keys, hot_share) if side in hot_sides else None
+        for side, df in (("left", left if hot_source is None else hot_source), ("right", right))
+    ]
+    return _salted_join(left, right, keys, how, hot_left, hot_right, salts)
 
 
-def _salted_join(left, right, keys, how, share, salts):
+def _salted_join(left, right, keys, how, hot_left, hot_right, salts):
     columns = [c for c in left.columns + right.columns if c not in keys]
     half = how in ("left_semi", "left_anti")
-    hot_left = hot_keys(left, keys, share)
-    # the right side of a half join is distinct already
-    hot_right = None if half else hot_keys(right, keys, share)
     left = _salt(left, keys, hot_left, hot_right, salts, "l")
     right = _salt(right, keys, hot_right, hot_left, salts, "r")
     left = left.withColumnsRenamed({"_own": "_sl", "_copy": "_sr"})
@@ -115,15 +151,14 @@ def _salted_join(left, right, keys, how, share, salts):
 def _salt(df, keys, hot, other_hot, salts, side):
     """Spread own hot rows over salts and copy the rows that face the other side's hot keys.
 
-    The salt hashes the row and its input partition: both are the same when a
-    lost task runs again, and the partition keeps identical rows apart. Rows
-    with a null key match nothing and are spread as well.
+    A row's hash is the same when a lost task runs again, so a row never
+    changes its salt. Rows with a null key match nothing and are spread as well.
     """
-    hashable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    spread = F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    # shifted, because the low bits chose the sample the hot keys come from
+    spread = F.pmod(F.shiftright(_row_hash(df), 16), F.lit(salts)).cast("int")
     is_hot, copied = F.lit(False), F.lit(False)
     if hot is not None:
-        # fewer than 1/share rows, see hot_keys
+        # at most 1/share rows, see hot_keys
         df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
         is_hot = F.col("_hot").isNotNull()
     if other_hot is not None:

@@ -57,7 +57,7 @@ def _filter(config, inputs, spark, place):
 
 def _join(config, inputs, spark, place):
     left, right = left_and_right(inputs)
-    return join_frames(left, right, config.get("on", []), config.get("how", "inner"))
+    return join_frames(left, right, config.get("on", []), config.get("how", "inner"), hot_share=config.get("hot_share"))
 
 
 def _union(config, inputs, spark, place):

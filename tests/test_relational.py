@@ -54,7 +54,7 @@ def skewed(spark):
 @pytest.mark.parametrize("how", KINDS)
 def test_salting_changes_no_row(skewed, how):
     left, right = skewed
-    plain = join_frames(left, right, "k", how, hot_share=None)
+    plain = left.join(right.select("k") if how in ("left_semi", "left_anti") else right, "k", how)
     salted = join_frames(left, right, "k", how, hot_share=0.05, salts=5, always_salt=True)
     assert salted.columns == plain.columns
     assert rows(salted) == rows(plain)
@@ -63,24 +63,26 @@ def test_salting_changes_no_row(skewed, how):
 def test_salting_spreads_the_hot_key(skewed):
     left, right = skewed
     salted = join_frames(left, right, "k", "inner", hot_share=0.05, salts=5, always_salt=True)
-    assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05)) == [(7,)]
+    assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05, sampled=1)) == [(7,)]
 
 
 def test_large_sides_are_salted_without_being_asked(spark, skewed):
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "_sl" in plan(join_frames(*skewed, "k", "left"))
+        assert "_sl" in plan(join_frames(*skewed, "k", "left", hot_share=0.05))
+        assert "_sl" not in plan(join_frames(*skewed, "k", "left"))
+        assert plan(join_frames(*skewed, "k", "semi")).count("Exchange hashpartitioning(k") == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert "_sl" not in plan(join_frames(*skewed, "k", "left"))
+    assert "_sl" not in plan(join_frames(*skewed, "k", "left", hot_share=0.05))
 
 
 @pytest.mark.parametrize("how", KINDS)
 def test_empty_sides(spark, users, orders, how):
     none = users.limit(0)
     for salted in (False, True):
-        assert join_frames(none, orders, "user_id", how, always_salt=salted).count() == {"right": 2, "outer": 2}.get(how, 0)
+        assert join_frames(none, orders, "user_id", how, always_salt=salted, hot_share=0.1).count() == {"right": 2, "outer": 2}.get(how, 0)
 
 
 def test_join_errors(users, orders):
@@ -90,6 +92,15 @@ def test_join_errors(users, orders):
         join_frames(users, orders, "order_id")
     with pytest.raises(ValueError):
         join_frames(users, orders, [])
+    with pytest.raises(ValueError):
+        join_frames(users, orders, "user_id", "outer", hot_source=users)
+
+
+def test_hot_keys_of_a_sample(spark):
+    df = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
+    assert rows(hot_keys(df, ["k"], 0.02)) == [(-1,)]
+    copies = df.selectExpr("k", "0 AS id")
+    assert rows(hot_keys(copies, ["k"], 0.02, sampled=1)) == [(-1,)]
 
 
 def test_ports():
