@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.hashing import content_digest, content_hash, row_digest
 from .relational import join_frames
@@ -31,16 +31,16 @@ def try_cast_schema(df, schema):
 def dedup_by_key(df, keys, order, keep="first"):
     """One row per key: the first (or last) by ``order``, then by the other columns.
 
-    A plain aggregate instead of a window: every task keeps one row per key
-    before the shuffle, so many copies of one key cost no more than one.
+    Spark keeps one row per key in every task before the shuffle (a window
+    group limit), so many copies of one key cost no more than one.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    ranked = [c for c in order if c not in keys] + rest
+    orderable = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    ranked = [c for c in order if c not in keys] + [c for c in orderable if c not in keys and c not in order]
     if not ranked:
-        return df.distinct()
-    best = F.min if keep == "first" else F.max
-    kept = df.groupBy(*keys).agg(best(F.struct(*ranked)).alias("_row"))
-    return kept.select(*[F.col(f"_row.{c}").alias(c) if c in ranked else F.col(c) for c in df.columns])
+        return df.dropDuplicates(list(keys))
+    direction = F.asc if keep == "first" else F.desc
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[direction(c) for c in ranked]))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def dedup_by_hash(df, columns, order, keep="first"):

@@ -56,20 +56,23 @@ def _all_set(keys):
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def _broadcastable(left, right, how):
-    """Whether Catalyst will broadcast a side, by its own size estimate.
+def _small(df):
+    """Whether Catalyst would broadcast a table, by its own size estimate.
 
-    Then no row is shuffled and no key can be hot. Without access to the
-    estimate, as on a remote session, the answer is no.
+    Without access to the estimate, as on a remote session, the answer is no.
     """
-    sides = {"inner": (left, right), "right": (left,), "outer": ()}.get(how, (right,))
     try:
-        limit = left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        return any(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit for side in sides)
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
     except AttributeError:
         return False
 
 
+# sides that Spark can broadcast for a kind of join
+BROADCAST_SIDES = {"inner": {"left", "right"}, "left": {"right"}, "right": {"left"}, "outer": set(),
+                   "left_semi": {"right"}, "left_anti": {"right"}}
+
+
 def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=None,
                 hot_sides=("left", "right"), hot_source=None, salts=32, always_salt=False):
     """Equi-join on shared key names.
@@ -111,14 +114,17 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=N
         if len(names) != len(set(names)):
             raise ValueError("the suffixes lead to duplicate column names")
 
-    if not always_salt and _broadcastable(left, right, how):
+    # a broadcast join shuffles nothing, and a small side has no key worth splitting
+    small = set() if always_salt else {n for n, df in (("left", left), ("right", right)) if _small(df)}
+    if small & BROADCAST_SIDES[how]:
         return left.join(right, keys, how)
+    hot_sides = set(hot_sides) - small
     if half:
         # A key of the right side is needed once. A few copies are left of each,
         # so that the join still shuffles this side and can split the left one.
         part = F.pmod(F.spark_partition_id(), F.lit(8))
         right = right.withColumn("_part", part).distinct().drop("_part")
-        hot_sides = set(hot_sides) - {"right"}
+        hot_sides -= {"right"}
     if hot_share is None or not hot_sides:
         return left.join(right, keys, how)
     hot_left, hot_right = [

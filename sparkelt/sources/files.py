@@ -11,14 +11,19 @@ def format_of(path):
     return FORMATS.get(name.rsplit(".", 1)[-1]) if "." in name else None
 
 
-def read_dataset(spark, path, fmt=None, schema=None, multiline=False):
+def endpoint_options(endpoint, path_style=True):
+    """Reader and writer options for an S3-compatible store at its own address."""
+    return {"fs.s3a.endpoint": endpoint, "fs.s3a.path.style.access": str(path_style).lower()}
+
+
+def read_dataset(spark, path, fmt=None, schema=None, multiline=False, options=None):
     """Scan a dataset.
 
     Pass ``schema`` for CSV and JSON on large inputs: without it Spark reads
     the data once more to infer one.
     """
     fmt = fmt or format_of(path)
-    reader = spark.read
+    reader = spark.read.options(**(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
@@ -31,10 +36,10 @@ def read_dataset(spark, path, fmt=None, schema=None, multiline=False):
 
 
 def write_dataset(df, path, fmt=None, mode="overwrite", partition_by=(), compression=None,
-                  replace_partitions=False):
+                  replace_partitions=False, options=None):
     """Write a dataset; ``replace_partitions`` overwrites only partitions present in ``df``."""
     fmt = fmt or format_of(path)
-    writer = df.write.mode(mode)
+    writer = df.write.mode(mode).options(**(options or {}))
     if fmt:
         writer = writer.format(fmt)
     if fmt == "csv":

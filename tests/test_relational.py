@@ -71,11 +71,13 @@ def test_large_sides_are_salted_without_being_asked(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "_sl" in plan(join_frames(*skewed, "k", "left", hot_share=0.05))
+        assert "_sl" in plan(join_frames(*skewed, "k", "outer", hot_share=0.05))
         assert "_sl" not in plan(join_frames(*skewed, "k", "left"))
         assert plan(join_frames(*skewed, "k", "semi")).count("Exchange hashpartitioning(k") == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert "_sl" not in plan(join_frames(*skewed, "k", "left", hot_share=0.05))
+    for how in KINDS:
+        assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_share=0.05))
 
 
 @pytest.mark.parametrize("how", KINDS)

@@ -5,7 +5,7 @@ from pyspark.sql.types import StructType
 
 from conftest import rows
 from sparkelt.errors import UnsafeQueryError
-from sparkelt.sources.files import format_of, ingest_landing, read_dataset, write_dataset, write_through
+from sparkelt.sources.files import endpoint_options, format_of, ingest_landing, read_dataset, write_dataset, write_through
 from sparkelt.sources.jdbc import connection_options, jdbc_url, read_jdbc_query, split_options
 from sparkelt.sources.memory import read_memory, write_memory
 from sparkelt.sources.paths import object_store_path, scoped_key, scoped_path, shared_dir, table_name
@@ -41,6 +41,14 @@ def test_round_trips(spark, tmp_path, name):
     assert read_dataset(spark, path).count() == 1
 
 
+def test_endpoint_options(spark, tmp_path):
+    options = endpoint_options("http://minio:9000")
+    assert options == {"fs.s3a.endpoint": "http://minio:9000", "fs.s3a.path.style.access": "true"}
+    path = str(tmp_path / "x.parquet")
+    write_dataset(spark.range(3), path, options=options)
+    assert read_dataset(spark, path, options=options).count() == 3
+
+
 def test_json_document(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps([{"a": 1}, {"a": 2}], indent=1))
     assert read_dataset(spark, str(tmp_path / "d.json"), multiline=True).count() == 2
