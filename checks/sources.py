@@ -50,7 +50,8 @@ def scan_memory_table(spark, sf):
 @query("scan_object_store", "SELECT * FROM supplier")
 def scan_object_store(spark, sf):
     # the same reader and writer as for a bucket; only the scheme differs
-    base = "file://" + scratch(spark, "bucket").removeprefix("file://")
+    base = scratch(spark, "bucket")
+    base = "file://" + base if base.startswith("/") else base
     path = scoped_path(f"{base}/lakehouse", "tenant-a", "supplier.parquet", "analytics")
     write_dataset(table(spark, sf, "supplier"), path)
     return read_dataset(spark, path)

@@ -24,7 +24,7 @@ def mask_phone(column, style="short"):
 
     ``style="prefix"`` keeps a leading country code (``+1-***-***-4567``).
     """
-    digits = F.regexp_replace(column, "[^0-9]", "")
+    digits = F.regexp_replace(column, r"(?U)\D", "")
     masked = F.concat(F.lit("***-***-"), F.right(digits, F.lit(4)))
     if style == "prefix":
         code = F.regexp_extract(column, r"^\s*(\+[0-9]{1,3})[^0-9]", 1)

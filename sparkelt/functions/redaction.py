@@ -26,6 +26,9 @@ AZURE_KEY = (r"(?i)(azure_storage_key|accountkey)\s*[:=]\s*['\"]?([A-Za-z0-9/+=]
 # What a text must hold, in lower case, for a rule to find anything. A search
 # for a fixed word is several times cheaper than a pattern, and no rule writes
 # a word of another one, so the words are looked up once in the raw text.
+# A pattern that ignores case also takes three letters for "s" or "i" that do
+# not become one in lower case; a text with any of them is always searched.
+ODD_LETTERS = ("\u017f", "\u0131", "\u0130")
 WORDS = {
     URI_PASSWORD: ("://",), URI_PASSWORD_STRICT: ("://",), AWS_SECRET: ("secret",),
     ASSIGNMENT: ("passw", "secret", "api_key", "token"), AWS_KEY_ID: ("akia", "abia", "acca", "asia"),
@@ -41,8 +44,10 @@ STRICT = (URI_PASSWORD_STRICT, AWS_SECRET, AZURE_KEY, BEARER, ASSIGNMENT, AWS_KE
 def redact_rule(column, rule):
     """Apply one rule to a text column."""
     pattern, replacement = rule
+    # blanks, word ends and case as in any script, not only in ASCII
+    pattern = "(?U)" + pattern
     if rule in (URI_PASSWORD, URI_PASSWORD_STRICT):
-        pattern = WORD_START + pattern
+        pattern = "(?U)" + WORD_START + rule[0]
     return F.regexp_replace(column, F.lit(pattern), F.lit(replacement))
 
 
@@ -70,8 +75,9 @@ def redact_table(df, columns, strict=False, rules=None):
     may = {}
     for c in columns:
         lowered = F.lower(F.col(c))
+        odd = [F.col(c).contains(letter) for letter in ODD_LETTERS]
         for i, rule in enumerate(chosen):
-            may[flag(c, i)] = reduce(or_, [lowered.contains(word) for word in WORDS[rule]])
+            may[flag(c, i)] = reduce(or_, [lowered.contains(word) for word in WORDS[rule]] + odd)
     df = df.withColumns(may)
     for i, rule in enumerate(chosen):
         df = df.withColumns({

@@ -4,9 +4,9 @@ from itertools import combinations
 
 from pyspark.sql import Window, functions as F, types as T
 
-from .relational import top_k
+from .relational import join_frames, top_k
 
-SALTS = 32
+BANDS = 8192  # per doubling of a value
 
 
 def is_numeric(df, column):
@@ -121,8 +121,9 @@ def value_counts(df, group, column, as_type=None):
 
 
 def _band(value):
-    """A coarse rank of a number: bands of 0.07 % relative width, in the order of the values."""
-    size = F.least(F.log2(F.abs(value)), F.lit(1100.0)) * 1024 + 1_200_000
+    """A coarse rank of a number: bands of less than 0.01 % relative width, in the order of the values."""
+    # the smallest double is 2 ** -1074, so the added constant keeps the size positive
+    size = (F.least(F.log2(F.abs(value)), F.lit(1100.0)) + 1100) * BANDS
     return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * F.floor(size)).cast("long"))
 
 
@@ -175,10 +176,9 @@ def box_stats(df, x, y):
     quartiles = exact_quantiles(df, x, y, (0.25, 0.5, 0.75))
     reach = (F.col("q2") - F.col("q0")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q0") - reach, "_high": F.col("q2") + reach})
-    # one fence row per x, copied for each salt, so that a hot x is joined in parts
-    fences = fences.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    counted = value_counts(df, [x], y, "double").withColumn(
-        "_salt", F.pmod(F.hash("_v"), F.lit(SALTS))).join(fences, [x, "_salt"])
+    # one fence row per x; an x with many rows may have many values
+    counted = join_frames(value_counts(df, [x], y, "double"), fences, x, hot_share=0.02, hot_sides=("left",),
+                          hot_source=df.select(x))
     within = F.col("_v").between(F.col("_low"), F.col("_high"))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
     return counted.groupBy(x).agg(
@@ -279,6 +279,18 @@ def chart_payload(series, chart_type, title="ANALYTICS CHART"):
     return series.agg(rows.alias("rows")).select(F.to_json(chart).alias("payload"))
 
 
+def chart_frame(df, chart_type, x, y, measure="SUM", bins=20):
+    """The data behind a chart of the given type: bins, boxes, points, or the series of a bar or line."""
+    kind = chart_type.upper()
+    if kind == "HISTOGRAM":
+        return histogram(df, y if is_numeric(df, y) else x, bins)
+    if kind == "BOX":
+        return box_stats(df, x, y)
+    if kind == "SCATTER":
+        return scatter_points(df, x, y)
+    return aggregate_series(df, x, y, measure)
+
+
 def chart_dataset(df, x, y, measure="SUM", k=15):
     """Profile of y (or x) and the series of a chart, as one table (kind, label, value)."""
     stats = summary_stats(df, y or x)

@@ -8,6 +8,7 @@ from ..functions.redaction import redact
 from ..operators.audit import sign
 from ..operators.capacity import DISTRIBUTED, capacity_columns, size_estimate
 from ..operators.conditions import safe_filter
+from ..sources.files import write_through
 from .sql import sql_transform
 
 RUN = ("timestamp double, tenant_id string, project_id string, user_id string, engine string, code string, "
@@ -17,14 +18,15 @@ ENGINES = {"sql": sql_transform, "filter": safe_filter}
 
 
 def run_transform(df, engine, code, tenant, project="default", user="default", function=None, limit=100,
-                  order=None):
+                  order=None, path=None):
     """Run a transform and describe the run.
 
     ``engine`` is ``sql``, ``filter`` or ``function`` (then ``function`` is a
     callable and ``code`` its text). Returns ``(result, sample, record)``:
     the lazy result, at most ``limit`` rows of it, and one row with status,
     size, capacity and signature. A failed transform gives no result and a
-    record with the redacted error.
+    record with the redacted error. With ``path`` the result is written there
+    and measured and returned as written, so that it is computed once.
     """
     spark = df.sparkSession
     begun, stamp = time.perf_counter(), time.time()
@@ -37,6 +39,8 @@ def run_transform(df, engine, code, tenant, project="default", user="default", f
             result = ENGINES[engine](df, code)
         else:
             raise ValueError(f"unknown engine {engine!r}")
+        if path:
+            result = write_through(result, path)
         size = size_estimate(result).first()
         rows, columns, megabytes = size["row_count"], size["column_count"], size["size_mb"]
         sample = (result.orderBy(*order) if order else result).limit(limit)

@@ -1,5 +1,7 @@
 """File datasets: the format follows the extension of the path."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json"}
@@ -98,9 +100,10 @@ def ingest_landing(spark, landing, schema):
     names = [field.name for field in schema.fields]
     permissive = type(schema)(list(schema.fields)).add(CORRUPT, "string")
     parts = []
-    sniffed = sniff_formats(spark, landing).collect()
+    # the metadata column gives encoded addresses, a reader takes plain ones
+    sniffed = [(unquote(r["file"]), r["format"]) for r in sniff_formats(spark, landing).collect()]
     for fmt in ("csv", "json", "json_lines"):
-        files = [r["file"] for r in sniffed if r["format"] == fmt]
+        files = [file for file, kind in sniffed if kind == fmt]
         if not files:
             continue
         reader = spark.read.schema(permissive).option("mode", "PERMISSIVE")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan, rows
 from sparkelt.operators.profile import (
-    aggregate_series, box_stats, chart_dataset, chart_payload, correlation_matrix, describe_numeric, exact_quantiles,
+    aggregate_series, box_stats, chart_dataset, chart_frame, chart_payload, correlation_matrix, describe_numeric, exact_quantiles,
     histogram, kde_grid, regression_trend, rollup_first, rollup_sums, scatter_points, summary_stats)
 
 
@@ -91,6 +91,7 @@ def test_exact_quantiles_against_brute_force(spark):
         "skewed": [draw.lognormvariate(0, 9) for _ in range(500)],
         "copies": [3.0] * 400 + [4.0] * 3 + [-1.0],
         "one": [2.5],
+        "narrow": [1.7e9 + draw.random() for _ in range(300)],
         "signs": [-1e300, -1e-300, 0.0, 1e-300, 1e300, 5.0],
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))],
@@ -138,6 +139,14 @@ def test_chart(sales):
     assert both.where("kind = 'stat'").count() == 6 and both.where("kind = 'series'").count() == 3
 
 
+def test_chart_frames(sales):
+    kinds = {"histogram": {"bin", "lower", "upper", "n"}, "BOX": {"category", "n", "q1", "median", "q3", "whisker_low",
+             "whisker_high", "outliers"}, "scatter": {"x", "y"}, "LINE": {"label", "value"}, "bar": {"label", "value"}}
+    for kind, columns in kinds.items():
+        assert set(chart_frame(sales, kind, "category", "amount").columns) == columns
+    assert chart_frame(sales, "HISTOGRAM", "amount", "category", bins=4).count() == 4
+
+
 def test_rollups(spark, sales):
     assert rows(rollup_sums(sales)) == [("Clothing", 75.0), ("Electronics", 450.0), ("Home", 75.0)]
     assert rows(rollup_first(sales))[1] == ("Electronics", 3, 150.0, 450.0)

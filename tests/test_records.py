@@ -98,6 +98,12 @@ def test_run_records(spark):
     assert [r["amount"] for r in sample.collect()] == [10.0, 50.0]
 
 
+def test_a_run_can_write_its_result(spark, tmp_path):
+    path = str(tmp_path / "r.parquet")
+    result, _, record = run_transform(spark.range(9), "filter", "id > 3", "t1", path=path)
+    assert result.inputFiles()[0].startswith(f"file://{path}") and record.first()["row_count"] == 5
+
+
 @pytest.mark.parametrize("engine, code", [("sql", "DELETE FROM data"), ("filter", "password == 'x'"), ("cobol", "x")])
 def test_failed_run_leaves_a_record(spark, engine, code):
     result, sample, record = run_transform(spark.range(3), engine, code, "t1")

@@ -71,14 +71,15 @@ def test_landing(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"item": "plum", "qty": 7}\n{"item": "lime", "qty": 8}\n')
     (tmp_path / "d.csv").write_text("item,qty\ngood,1\nbad,many\n")
     (tmp_path / "e.json").write_text('[{"item": "half"')
+    (tmp_path / "f 100%.csv").write_text("item,qty\nnut,4\n")
     accepted, report = ingest_landing(spark, str(tmp_path), StructType.fromDDL("item string, qty long"))
     assert rows(accepted, "item", "qty", "format") == [
-        ("apple", 10, "csv"), ("fig", 1, "json"), ("kiwi", 2, "json"), ("lime", 8, "json_lines"), ("pear", 3, "csv"),
+        ("apple", 10, "csv"), ("fig", 1, "json"), ("kiwi", 2, "json"), ("lime", 8, "json_lines"), ("nut", 4, "csv"), ("pear", 3, "csv"),
         ("plum", 7, "json_lines")]
     found = {r["source_file"].rsplit("/", 1)[1]: (r["status"], r["row_count"], r["columns"]) for r in report.collect()}
     assert found == {
         "a.csv": ("ingested", 2, ["item", "qty"]), "b.txt": ("ingested", 2, ["item", "qty"]), "c.json": ("ingested", 2, ["item", "qty"]),
-        "d.csv": ("rejected", 0, ["item", "qty"]), "e.json": ("rejected", 0, ["item", "qty"])}
+        "f%20100%25.csv": ("ingested", 1, ["item", "qty"]), "d.csv": ("rejected", 0, ["item", "qty"]), "e.json": ("rejected", 0, ["item", "qty"])}
 
 
 def test_jdbc_without_a_database(spark):
