@@ -128,20 +128,25 @@ sql_query("sql_cte", "events", """
 sql_query("sql_delegated_agg", "lineitem", """
     SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS size,
            COUNT(DISTINCT l_suppkey) AS suppliers, MIN(l_discount) AS lowest, COUNT(*) AS lines
-    FROM data WHERE l_partkey IN (SELECT l_partkey FROM data WHERE l_quantity = 50 AND l_returnflag = 'R')
+    FROM data WHERE l_extendedprice < (SELECT MAX(l_extendedprice) FROM data WHERE l_returnflag = 'R')
     GROUP BY 1 HAVING COUNT(*) > 10""")
+# the window runs over the types of one user, which are few whatever the number of events
 sql_query("sql_delegated_window", "events", """
-    WITH typed AS (SELECT event_type, user_id, COUNT(*) AS n FROM data GROUP BY event_type, user_id)
-    SELECT event_type, user_id, n, CAST(ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) AS BIGINT) AS place,
-           LAG(n) OVER (PARTITION BY event_type ORDER BY user_id) AS before,
-           CAST(SUM(n) OVER (PARTITION BY event_type ORDER BY user_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent
+    WITH typed AS (SELECT user_id, event_type, COUNT(*) AS n FROM data GROUP BY user_id, event_type)
+    SELECT user_id, event_type, n, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS BIGINT) AS place,
+           LAG(n) OVER (PARTITION BY user_id ORDER BY event_type) AS before,
+           CAST(SUM(n) OVER (PARTITION BY user_id ORDER BY event_type ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent
     FROM typed""", EVENT)
 sql_query("sql_delegated_selfjoin", "conversations", """
     SELECT a.conv_id, a.turn, a.role AS asked, b.role AS answered, CAST(LENGTH(b.text) AS BIGINT) AS answer_length
     FROM data AS a JOIN data AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+# DISTINCT on every side: each task hands on a user once
 sql_query("sql_delegated_setops", "events", """
-    SELECT user_id FROM data WHERE event_type = 'view' AND value > 30 INTERSECT SELECT user_id FROM data WHERE event_type = 'click' AND value > 30
-    UNION SELECT user_id + 1000 FROM (SELECT user_id FROM data EXCEPT SELECT user_id FROM data WHERE event_type = 'error' AND value > 20)""", EVENT)
+    SELECT DISTINCT user_id FROM data WHERE event_type = 'view' AND value > 30
+    INTERSECT SELECT DISTINCT user_id FROM data WHERE event_type = 'click' AND value > 30
+    UNION SELECT user_id + 1000 FROM (
+        SELECT DISTINCT user_id FROM data
+        EXCEPT SELECT DISTINCT user_id FROM data WHERE event_type = 'error' AND value > 20)""", EVENT)
 SCALAR = """
     SELECT o_orderkey, UPPER(SUBSTR(o_orderpriority, 3)) AS priority, LENGTH(o_orderstatus) AS width,
            ABS(o_totalprice - 100000) AS distance, EXTRACT(YEAR FROM o_orderdate) AS year,

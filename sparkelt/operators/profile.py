@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import Window, functions as F, types as T
 
-from .relational import join_frames, top_k
+from .relational import join_few, top_k
 
 BANDS = 8192  # per doubling of a value
 
@@ -108,16 +108,10 @@ def histogram(df, column, bins=8):
     )
 
 
-def value_counts(df, group, column, as_type=None):
-    """Distinct values per group with their counts: the exact input of every order statistic here.
-
-    Grouping by the value as well keeps a hot group spread over all tasks.
-    """
-    value = F.col(f"`{column}`")
-    value = value.cast(as_type) if as_type else value
-    clean = df.where(_is_known(df, column)).dropna(subset=group) if group else df.where(_is_known(df, column))
-    clean = clean.select(*group, value.alias("_v"))
-    return clean.groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+def value_counts(df, column):
+    """Distinct values with their counts."""
+    known = df.where(_is_known(df, column))
+    return known.groupBy(F.col(f"`{column}`").cast("double").alias("_v")).agg(F.count("*").alias("_c"))
 
 
 def _band(value):
@@ -127,17 +121,23 @@ def _band(value):
     return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * F.floor(size)).cast("long"))
 
 
-def exact_quantiles(df, group, column, probabilities):
+def _grouped_values(df, group, column):
+    known = df.where(_is_known(df, column)).dropna(subset=group)
+    return known.select(*group, F.col(f"`{column}`").cast("double").alias("_v"))
+
+
+def exact_quantiles(df, group, column, probabilities, few=10_000):
     """Exact interpolated quantiles per group: (group…, n, q0, q1, …).
 
-    ``percentile`` holds all distinct values of a group in one task. Here the
-    rows of a group are counted per value and per band of values; running
-    totals over the bands tell which band holds each wanted rank, and only
-    those bands are sorted.
+    ``percentile`` holds all distinct values of a group in one task. Here a
+    first pass counts the rows per band of values, and running totals over the
+    bands tell which band holds each wanted rank. A second pass reads only
+    those bands, which are narrow, and sorts them. Up to ``few`` such bands are
+    broadcast to the second pass, so that it shuffles little; more are joined.
     """
     group = [group] if isinstance(group, str) else list(group)
-    counted = value_counts(df, group, column, "double").withColumn("_band", _band(F.col("_v")))
-    bands = counted.groupBy(*group, "_band").agg(F.sum("_c").alias("_c"))
+    values = _grouped_values(df, group, column).withColumn("_band", _band(F.col("_v")))
+    bands = values.groupBy(*group, "_band").agg(F.count("*").alias("_c"))
     ordered = Window.partitionBy(*group).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
     upto, total = F.col("_upto"), F.col("_total")
     at = [(total - 1) * F.lit(float(p)) for p in probabilities]
@@ -153,8 +153,10 @@ def exact_quantiles(df, group, column, probabilities):
         .select(*group, "_band", "_total", "_ranks", (upto - F.col("_c")).alias("_before"))
     )
     inside = Window.partitionBy(*group, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.first(c).alias(c) for c in ("_total", "_ranks", "_before")]  # one value per band
     hits = (
-        counted.join(wanted, [*group, "_band"])
+        join_few(values, wanted, [*group, "_band"], few)
+        .groupBy(*group, "_band", "_v").agg(F.count("*").alias("_c"), *same)
         .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_rank", F.explode(F.filter("_ranks", holds)))
     )
@@ -171,21 +173,22 @@ def exact_quantiles(df, group, column, probabilities):
     return found.select(*group, total.alias("n"), *quantiles)
 
 
-def box_stats(df, x, y):
-    """Box plot per x: quartiles, whiskers at the last values within 1.5 IQR, outlier count."""
-    quartiles = exact_quantiles(df, x, y, (0.25, 0.5, 0.75))
+def box_stats(df, x, y, few=10_000):
+    """Box plot per x: quartiles, whiskers at the last values within 1.5 IQR, outlier count.
+
+    Up to ``few`` boxes are broadcast to a last pass over the values; more are joined.
+    """
+    quartiles = exact_quantiles(df, x, y, (0.25, 0.5, 0.75), few)
     reach = (F.col("q2") - F.col("q0")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q0") - reach, "_high": F.col("q2") + reach})
-    # one fence row per x; an x with many rows may have many values
-    counted = join_frames(value_counts(df, [x], y, "double"), fences, x, hot_share=0.02, hot_sides=("left",),
-                          hot_source=df.select(x))
+    values = join_few(_grouped_values(df, [x], y), fences, [x], few, hot_share=0.02)
     within = F.col("_v").between(F.col("_low"), F.col("_high"))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
-    return counted.groupBy(x).agg(
+    return values.groupBy(x).agg(
         *[F.first(c).alias(name) for c, name in named.items()],
         F.min(F.when(within, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(within, F.col("_v"))).alias("whisker_high"),
-        F.sum(F.when(within, 0).otherwise(F.col("_c"))).alias("outliers"),
+        F.count_if(~within).alias("outliers"),
     )
 
 
@@ -195,7 +198,7 @@ def kde_grid(df, column, points=200):
     Exact over all rows, with Scott's bandwidth: equal values are counted
     once and their kernel weighted with the count.
     """
-    counted = value_counts(df, [], column, "double")
+    counted = value_counts(df, column)
     v, c = F.col("_v"), F.col("_c")
     first = counted.agg(F.sum("_c").alias("n"), (F.sum(v * c) / F.sum("_c")).alias("mean"),
                         F.min("_v").alias("lo"), F.max("_v").alias("hi"))

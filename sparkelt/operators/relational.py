@@ -183,6 +183,20 @@ def _salt(df, keys, hot, other_hot, salts, side):
     )
 
 
+def join_few(large, few, keys, rows=10_000, hot_share=None):
+    """Join a large table to one of narrow rows with unique keys that is likely to be short.
+
+    If it has at most ``rows`` rows it is broadcast, else both are shuffled. Its
+    plan is run to find out, unless the large table is small itself.
+    """
+    if _small(large):
+        return large.join(few, keys)
+    found = few.limit(rows + 1).collect()
+    if len(found) <= rows:
+        return large.join(F.broadcast(few.sparkSession.createDataFrame(found, few.schema)), keys)
+    return join_frames(large, few, keys, hot_share=hot_share, hot_sides=("left",))
+
+
 def left_and_right(inputs):
     """Join inputs: by the names ``left`` and ``right``, else in order."""
     if isinstance(inputs, dict):

@@ -32,6 +32,16 @@ def tables(spark):
     return {name: spark.read.parquet(f"{SMALLEST}/{name}.parquet") for name in TABLES}
 
 
+@pytest.fixture
+def all_large(spark):
+    """No table counts as small enough to be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, limit)
+
+
 def plan(df):
     """The physical plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()

@@ -84,7 +84,15 @@ def quantile(values, p):
     return low + (high - low) * (at - math.floor(at))
 
 
-def test_exact_quantiles_against_brute_force(spark):
+@pytest.fixture(params=["small table", "few groups", "many groups"])
+def few(request):
+    """The number of rows worth a broadcast, for each way to join."""
+    if request.param != "small table":
+        request.getfixturevalue("all_large")
+    return 0 if request.param == "many groups" else 10_000
+
+
+def test_exact_quantiles_against_brute_force(spark, few):
     draw = random.Random(7)
     groups = {
         "normal": [draw.gauss(0, 50) for _ in range(997)],
@@ -97,15 +105,15 @@ def test_exact_quantiles_against_brute_force(spark):
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))],
                                "g string, v double")
     chosen = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    got = {r["g"]: r for r in exact_quantiles(df, "g", "v", chosen).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "g", "v", chosen, few).collect()}
     assert {g: r["n"] for g, r in got.items()} == {g: len(v) for g, v in groups.items()}
     for g, values in groups.items():
         assert [got[g][f"q{i}"] for i in range(len(chosen))] == [quantile(values, p) for p in chosen], g
 
 
-def test_box(spark):
+def test_box(spark, few):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100, -90]] + [("b", 7.0)], "x string, y double")
-    assert rows(box_stats(df, "x", "y")) == [("a", 7, 1.5, 3.0, 4.5, 1.0, 5.0, 2), ("b", 1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)]
+    assert rows(box_stats(df, "x", "y", few)) == [("a", 7, 1.5, 3.0, 4.5, 1.0, 5.0, 2), ("b", 1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)]
 
 
 def test_kde_against_brute_force(spark):

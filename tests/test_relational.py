@@ -66,18 +66,16 @@ def test_salting_spreads_the_hot_key(skewed):
     assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05, sampled=1)) == [(7,)]
 
 
-def test_large_sides_are_salted_without_being_asked(spark, skewed):
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "_sl" in plan(join_frames(*skewed, "k", "left", hot_share=0.05))
-        assert "_sl" in plan(join_frames(*skewed, "k", "outer", hot_share=0.05))
-        assert "_sl" not in plan(join_frames(*skewed, "k", "left"))
-        assert plan(join_frames(*skewed, "k", "semi")).count("Exchange hashpartitioning(k") == 3
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+def test_large_sides_are_salted_on_request(spark, skewed, all_large):
     for how in KINDS:
-        assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_share=0.05))
+        assert "_sl" in plan(join_frames(*skewed, "k", how, hot_share=0.05))
+        assert "_sl" not in plan(join_frames(*skewed, "k", how))
+    assert plan(join_frames(*skewed, "k", "semi")).count("Exchange hashpartitioning(k") == 3
+
+
+@pytest.mark.parametrize("how", KINDS)
+def test_small_sides_are_not_salted(skewed, how):
+    assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_share=0.05))
 
 
 @pytest.mark.parametrize("how", KINDS)
