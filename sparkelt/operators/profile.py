@@ -4,9 +4,9 @@ from itertools import combinations
 
 from pyspark.sql import Window, functions as F, types as T
 
-from .relational import join_few, top_k
+from .relational import is_small, join_few, top_k
 
-BANDS = 8192  # per doubling of a value
+BANDS = 1024  # per doubling of a value
 
 
 def is_numeric(df, column):
@@ -115,7 +115,7 @@ def value_counts(df, column):
 
 
 def _band(value):
-    """A coarse rank of a number: bands of less than 0.01 % relative width, in the order of the values."""
+    """A coarse rank of a number: bands of 0.07 % relative width, in the order of the values."""
     # the smallest double is 2 ** -1074, so the added constant keeps the size positive
     size = (F.least(F.log2(F.abs(value)), F.lit(1100.0)) + 1100) * BANDS
     return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * F.floor(size)).cast("long"))
@@ -126,53 +126,82 @@ def _grouped_values(df, group, column):
     return known.select(*group, F.col(f"`{column}`").cast("double").alias("_v"))
 
 
-def exact_quantiles(df, group, column, probabilities, few=10_000):
+def exact_quantiles(df, group, column, probabilities, few=10_000, sortable=1_000_000):
     """Exact interpolated quantiles per group: (group…, n, q0, q1, …).
 
     ``percentile`` holds all distinct values of a group in one task. Here a
     first pass counts the rows per band of values, and running totals over the
-    bands tell which band holds each wanted rank. A second pass reads only
-    those bands, which are narrow, and sorts them. Up to ``few`` such bands are
-    broadcast to the second pass, so that it shuffles little; more are joined.
+    bands tell which band holds each wanted rank. Another pass reads only
+    those bands and sorts them.
+
+    On a large table, up to ``few`` such bands are broadcast to that pass, and
+    bands of more than ``sortable`` rows are first cut into finer ones.
     """
     group = [group] if isinstance(group, str) else list(group)
     values = _grouped_values(df, group, column).withColumn("_band", _band(F.col("_v")))
-    bands = values.groupBy(*group, "_band").agg(F.count("*").alias("_c"))
-    ordered = Window.partitionBy(*group).orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
-    upto, total = F.col("_upto"), F.col("_total")
+    total = F.col("_total")
     at = [(total - 1) * F.lit(float(p)) for p in probabilities]
     ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
-    holds = lambda r: (r >= upto - F.col("_c")) & (r < upto)
-    wanted = (
-        bands.withColumns({
-            "_upto": F.sum("_c").over(ordered),
-            "_total": F.sum("_c").over(Window.partitionBy(*group)),
-        })
-        .withColumn("_ranks", F.filter(ranks, holds))
-        .where(F.size("_ranks") > 0)
-        .select(*group, "_band", "_total", "_ranks", (upto - F.col("_c")).alias("_before"))
-    )
-    inside = Window.partitionBy(*group, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    same = [F.first(c).alias(c) for c in ("_total", "_ranks", "_before")]  # one value per band
-    hits = (
-        join_few(values, wanted, [*group, "_band"], few)
-        .groupBy(*group, "_band", "_v").agg(F.count("*").alias("_c"), *same)
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_rank", F.explode(F.filter("_ranks", holds)))
-    )
+
+    counted = values.groupBy(*group, "_band").agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    bands = _holding_ranks(
+        counted.withColumns({"_total": F.sum("_c").over(Window.partitionBy(*group)), "_before": F.lit(0)})
+        .withColumn("_ranks", ranks), group, "_band")
+    if not is_small(values):
+        found = bands.limit(few + 1).collect()
+        while len(found) <= few:
+            bands = F.broadcast(df.sparkSession.createDataFrame(found, bands.schema))
+            if all(r["_c"] <= sortable or r["_lo"] == r["_hi"] for r in found):
+                break
+            found = _finer(values, bands, group).collect()
+
+    state = [*group, "_band", "_lo", "_hi", "_total", "_before", "_ranks"]
+    ordered = _in_bands(values, bands.select(*state), group).groupBy(*state, "_v").agg(F.count("*").alias("_c"))
     # at most two ranks per probability are collected
-    found = hits.groupBy(*group).agg(
-        F.first("_total").alias("_total"),
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"),
+    found = (
+        _holding_ranks(ordered, [*group, "_band", "_lo"], "_v")
+        .select(*group, "_total", "_v", F.explode("_ranks").alias("_rank"))
+        .groupBy(*group).agg(
+            F.first("_total").alias("_total"),  # one value per group
+            F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     )
-    picked = F.col("_at")
     quantiles = []
     for i, a in enumerate(at):
-        low, high = picked[F.floor(a).cast("long")], picked[F.ceil(a).cast("long")]
+        low, high = [F.col("_at")[f(a).cast("long")] for f in (F.floor, F.ceil)]
         quantiles.append((low + (high - low) * (a - F.floor(a))).alias(f"q{i}"))
     return found.select(*group, total.alias("n"), *quantiles)
 
 
+def _holding_ranks(counted, within, order):
+    """The rows of ``counted`` that hold a wanted rank, by running totals of ``_c`` after ``_before``.
+
+    Leaves in ``_ranks`` the ranks a row holds and in ``_before`` the rows ahead of it.
+    """
+    upto = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.col("_before") + F.sum("_c").over(upto)
+    return (
+        counted.withColumn("_before", after - F.col("_c"))
+        .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
+        .where(F.size("_ranks") > 0)
+    )
+
+
+def _in_bands(values, bands, group):
+    return values.join(bands, [*group, "_band"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _finer(values, bands, group, parts=1024):
+    """The same bands cut into equal widths, as far as they hold a wanted rank."""
+    state = [*group, "_band", "_lo", "_total", "_before", "_ranks"]
+    place = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * parts
+    part = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(parts - 1)).alias("_part")
+    cut = _in_bands(values, bands.drop("_c"), group).groupBy(*state, part).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_hi"))
+    kept = _holding_ranks(cut, [*group, "_band", "_lo"], "_part")
+    return kept.drop("_lo", "_part").withColumnRenamed("_from", "_lo").select(*bands.columns)
+
+
 def box_stats(df, x, y, few=10_000):
     """Box plot per x: quartiles, whiskers at the last values within 1.5 IQR, outlier count.
 

@@ -56,7 +56,7 @@ def _all_set(keys):
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def _small(df):
+def is_small(df):
     """Whether Catalyst would broadcast a table, by its own size estimate.
 
     Without access to the estimate, as on a remote session, the answer is no.
@@ -115,7 +115,7 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=N
             raise ValueError("the suffixes lead to duplicate column names")
 
     # a broadcast join shuffles nothing, and a small side has no key worth splitting
-    small = set() if always_salt else {n for n, df in (("left", left), ("right", right)) if _small(df)}
+    small = set() if always_salt else {n for n, df in (("left", left), ("right", right)) if is_small(df)}
     if small & BROADCAST_SIDES[how]:
         return left.join(right, keys, how)
     hot_sides = set(hot_sides) - small
@@ -189,7 +189,7 @@ def join_few(large, few, keys, rows=10_000, hot_share=None):
     If it has at most ``rows`` rows it is broadcast, else both are shuffled. Its
     plan is run to find out, unless the large table is small itself.
     """
-    if _small(large):
+    if is_small(large):
         return large.join(few, keys)
     found = few.limit(rows + 1).collect()
     if len(found) <= rows:

@@ -111,6 +111,18 @@ def test_exact_quantiles_against_brute_force(spark, few):
         assert [got[g][f"q{i}"] for i in range(len(chosen))] == [quantile(values, p) for p in chosen], g
 
 
+@pytest.mark.parametrize("sortable", [1, 20, 200])
+def test_wide_bands_are_cut(spark, all_large, sortable):
+    """Values so close that they share one band, and copies that no cut can part."""
+    draw = random.Random(1)
+    groups = {"close": [1e9 + draw.random() for _ in range(500)], "copies": [2.0] * 300 + [2.0000001] * 10,
+              "wide": [draw.lognormvariate(0, 5) for _ in range(200)], "negative": [-5.0 - draw.random() / 1e6 for _ in range(100)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    chosen = (0.0, 0.3, 0.5, 0.97)
+    for r in exact_quantiles(df, "g", "v", chosen, sortable=sortable).collect():
+        assert [r[f"q{i}"] for i in range(4)] == [quantile(groups[r["g"]], p) for p in chosen], r["g"]
+
+
 def test_box(spark, few):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100, -90]] + [("b", 7.0)], "x string, y double")
     assert rows(box_stats(df, "x", "y", few)) == [("a", 7, 1.5, 3.0, 4.5, 1.0, 5.0, 2), ("b", 1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)]
