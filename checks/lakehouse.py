@@ -8,7 +8,7 @@ from sparkelt.operators.capacity import (
     capacity_columns, capacity_documented, size_bound_flag, size_estimate, tier_column)
 from sparkelt.operators.lakehouse import Lakehouse, star_join, with_ranks, with_running_totals
 
-from .privacy import CONTACTS, SALT, contacts, email_sql, phone_sql
+from .privacy import CONTACTS, contacts, email_sql, phone_sql
 from .registry import dec, money, query, scratch, table, total
 
 
