@@ -31,25 +31,25 @@ def transform_columns(df, select=None, rename=None, drop=None):
 SAMPLED = 16
 
 
-def hot_keys(df, keys, share, sampled=SAMPLED):
+def hot_keys(df, keys, share):
     """Keys that hold about ``share`` of all rows or more: at most ``1 / share`` rows.
 
-    Counts one row in ``sampled``, chosen by a hash of the row and its input
-    partition. The set only steers how a join is laid out, never its result;
-    it is the same whenever a lost task is run again.
+    Reads the key columns alone and counts about one row in ``SAMPLED``. The
+    keys only steer how a join is laid out, never its result.
     """
-    known = df.where(_all_set(keys))
-    if sampled > 1:
-        known = known.where(F.pmod(_row_hash(df), F.lit(sampled)) == 0)
+    known = df.select(*keys).where(_all_set(keys))
+    if SAMPLED > 1:
+        known = known.sample(1 / SAMPLED, seed=SAMPLED)
     counts = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") > F.lit(share) * total).select(*keys)
 
 
-def _row_hash(df):
-    """A number per row that spreads equal rows of different input partitions."""
-    hashable = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    return F.xxhash64(*hashable, F.spark_partition_id())
+def _found_hot_keys(df, keys, share):
+    """The hot keys as a local table, or None; both sides of a join must see the same ones."""
+    hot = hot_keys(df, keys, share)
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def _all_set(keys):
@@ -84,11 +84,11 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=N
     side of an outer join, nor a side that an aggregation or join on the same
     keys has left in place. ``hot_share`` covers these: keys that hold more
     than that share of the rows of a side named in ``hot_sides`` are cut into
-    ``salts`` parts, unless a side is small enough to be broadcast. It reads
-    the keys of those sides once more, so give it inputs that are cheap to
-    read, such as scans and written tables, and name only sides whose keys
-    can repeat. ``hot_source`` is a cheaper table to find the left side's hot
-    keys in.
+    ``salts`` parts, unless a side is small enough to be broadcast. Finding
+    them runs a query over those sides, so give it inputs that are cheap to
+    read, such as scans and written tables, and name only sides whose keys can
+    repeat. ``hot_source`` is a cheaper table to find the left side's hot keys
+    in. A join without hot keys is left as it is.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in JOIN_KINDS:
@@ -128,9 +128,11 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=N
     if hot_share is None or not hot_sides:
         return left.join(right, keys, how)
     hot_left, hot_right = [
-        hot_keys(df, keys, hot_share) if side in hot_sides else None
+        _found_hot_keys(df, keys, hot_share) if side in hot_sides else None
         for side, df in (("left", left if hot_source is None else hot_source), ("right", right))
     ]
+    if hot_left is None and hot_right is None:
+        return left.join(right, keys, how)
     return _salted_join(left, right, keys, how, hot_left, hot_right, salts)
 
 
@@ -157,14 +159,16 @@ def _salted_join(left, right, keys, how, hot_left, hot_right, salts):
 def _salt(df, keys, hot, other_hot, salts, side):
     """Spread own hot rows over salts and copy the rows that face the other side's hot keys.
 
-    A row's hash is the same when a lost task runs again, so a row never
-    changes its salt. Rows with a null key match nothing and are spread as well.
+    The salt hashes the row and its input partition. Both are the same when a
+    lost task runs again, so a row never changes its salt, and the partition
+    keeps copies of a row apart. Rows with a null key match nothing and are
+    spread as well.
     """
-    # shifted, because the low bits chose the sample the hot keys come from
-    spread = F.pmod(F.shiftright(_row_hash(df), 16), F.lit(salts)).cast("int")
+    hashable = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    spread = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int")
     is_hot, copied = F.lit(False), F.lit(False)
     if hot is not None:
-        # at most 1/share rows, see hot_keys
+        # a local table of at most 1/share rows
         df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
         is_hot = F.col("_hot").isNotNull()
     if other_hot is not None:

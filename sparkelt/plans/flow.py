@@ -2,7 +2,8 @@
 
 Node types: input, filter, join, union, transform and output. Nothing runs
 until a sink is written or a result is read, so Catalyst plans each sink as a
-whole.
+whole. The exception is a join node with ``hot_share``, which looks for hot
+keys when it is built.
 """
 
 import time

@@ -1,6 +1,7 @@
 import pytest
 
 from conftest import plan, rows
+from sparkelt.operators import relational
 from sparkelt.operators.relational import (
     hot_keys, join_frames, left_and_right, sample_with_total, top_k, transform_columns, union_frames)
 
@@ -32,7 +33,7 @@ def test_inner_join(users, orders):
 
 @pytest.mark.parametrize("how, count", [("inner", 2), ("left", 3), ("right", 3), ("outer", 4), ("semi", 2), ("anti", 1)])
 @pytest.mark.parametrize("salted", [False, True])
-def test_null_and_repeated_keys(spark, how, count, salted):
+def test_null_and_repeated_keys(spark, every_row, how, count, salted):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, v string")
     right = spark.createDataFrame([(1, "x"), (None, "z")], "k long, v string")
     joined = join_frames(left, right, "k", how, always_salt=salted, hot_share=0.3, salts=3)
@@ -42,7 +43,13 @@ def test_null_and_repeated_keys(spark, how, count, salted):
 
 
 @pytest.fixture
-def skewed(spark):
+def every_row(monkeypatch):
+    """Hot keys are looked for in all rows, as a sample of a small table may hold none."""
+    monkeypatch.setattr(relational, "SAMPLED", 1)
+
+
+@pytest.fixture
+def skewed(spark, every_row):
     """Both sides have a hot key, hot null keys, plain keys and keys of their own; the left has copies."""
     left = spark.range(3000).selectExpr(
         "CASE WHEN id < 1000 THEN 7 WHEN id < 1500 THEN NULL ELSE id % 300 END AS k", "id % 3 AS lv")
@@ -63,7 +70,7 @@ def test_salting_changes_no_row(skewed, how):
 def test_salting_spreads_the_hot_key(skewed):
     left, right = skewed
     salted = join_frames(left, right, "k", "inner", hot_share=0.05, salts=5, always_salt=True)
-    assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05, sampled=1)) == [(7,)]
+    assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05)) == [(7,)]
 
 
 def test_large_sides_are_salted_on_request(spark, skewed, all_large):
@@ -96,11 +103,16 @@ def test_join_errors(users, orders):
         join_frames(users, orders, "user_id", "outer", hot_source=users)
 
 
-def test_hot_keys_of_a_sample(spark):
+def test_hot_keys_of_a_sample(spark, monkeypatch):
     df = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
     assert rows(hot_keys(df, ["k"], 0.02)) == [(-1,)]
-    copies = df.selectExpr("k", "0 AS id")
-    assert rows(hot_keys(copies, ["k"], 0.02, sampled=1)) == [(-1,)]
+    monkeypatch.setattr(relational, "SAMPLED", 1)
+    assert rows(hot_keys(df.selectExpr("k", "0 AS id"), ["k"], 0.02)) == [(-1,)]
+
+
+def test_no_hot_key_no_salt(spark, all_large, every_row):
+    even = spark.range(1000).toDF("k")
+    assert "_sl" not in plan(join_frames(even, even, "k", "outer", hot_share=0.02))
 
 
 def test_ports():
