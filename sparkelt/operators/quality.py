@@ -94,9 +94,9 @@ def new_batches(incoming, ledger, batch):
 # -- snapshots --------------------------------------------------------------
 
 def append_version(df, path, version):
-    """Append an immutable snapshot as one partition of a versioned table."""
-    df.withColumn("version", F.lit(version).cast("long")).write.mode("append").partitionBy(
-        "version").parquet(path)
+    """Add a snapshot as one partition of a versioned table; writing it again replaces it."""
+    writer = df.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def latest_version(spark, path):

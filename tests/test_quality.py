@@ -83,6 +83,8 @@ def test_versions(spark, tmp_path):
     path = str(tmp_path / "t")
     append_version(spark.range(3), path, 1)
     append_version(spark.range(5), path, 12)
+    append_version(spark.range(5), path, 12)  # as after a retry
+    assert spark.read.parquet(path).count() == 8
     latest = latest_version(spark, path)
     assert latest.count() == 5 and "PartitionFilters: [isnotnull(version" in plan(latest)
 
