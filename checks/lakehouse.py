@@ -100,9 +100,9 @@ def star_kpi(spark, sf):
         (table(spark, sf, "region").selectExpr("r_regionkey AS n_regionkey", "r_name"), "n_regionkey"),
     ])
     placed = table(spark, sf, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
-    placed = star_join(placed, [(buyers, "o_custkey")], hot_share=0.02)
+    placed = star_join(placed, [(buyers, "o_custkey")])
     fact = money(table(spark, sf, "lineitem"), "l_extendedprice").select("l_orderkey", "l_extendedprice", "l_discount")
-    wide = star_join(fact, [(placed, "l_orderkey")], hot_share=0.02)
+    wide = star_join(fact, [(placed, "l_orderkey")])
     return wide.groupBy("r_name", "n_name", "c_mktsegment").agg(
         F.count("*").alias("line_count"), F.sum("l_extendedprice").cast("double").alias("revenue"),
         F.max("l_discount").alias("best_discount"))

@@ -127,7 +127,7 @@ RENUMBERED = "(SELECT c_custkey * 2 AS custkey, c_name, c_acctbal FROM customer)
 def join_query(name, how, sql):
     @query(name, sql)
     def run(spark, sf):
-        return join_frames(placed(spark, sf), renumbered(spark, sf), on="custkey", how=how, hot_share=0.02)
+        return join_frames(placed(spark, sf), renumbered(spark, sf), on="custkey", how=how)
 
 
 for kind, word in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
@@ -147,7 +147,7 @@ def join_multi_key(spark, sf):
     items = money(table(spark, sf, "lineitem"), "l_quantity")
     supplied = items.groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("supplied"))
     return join_frames(items.select("l_orderkey", "l_suppkey", "l_linenumber"), supplied,
-                       on=["l_orderkey", "l_suppkey"], hot_share=0.02, hot_sides=("left",))
+                       on=["l_orderkey", "l_suppkey"], hot_sides=("left",))
 
 
 @query("join_shared_column", """
@@ -160,7 +160,7 @@ def join_shared_column(spark, sf):
         F.col("c_nationkey").alias("nationkey"), "c_custkey", F.col("c_acctbal").alias("balance"))
     sellers = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nationkey")).agg(
         F.min("s_suppkey").alias("s_suppkey"), F.min("s_acctbal").alias("balance"))
-    return join_frames(buyers, sellers, on="nationkey", hot_share=0.02, hot_sides=("left",))
+    return join_frames(buyers, sellers, on="nationkey", hot_sides=("left",))
 
 
 # Events by type have five keys with a fifth of the rows each; here they are
@@ -176,8 +176,8 @@ def hot_join_query(name, how, sql):
         events = table(spark, sf, "events").select("event_type", "event_id", "value")
         seen = events.where("event_type <> 'error'").groupBy("event_type").agg(F.count("*").alias("seen"))
         other = events.agg(F.count("*").alias("seen")).select(F.lit("refund").alias("event_type"), "seen")
-        return join_frames(events, seen.unionByName(other), on="event_type", how=how, hot_share=0.1, salts=8,
-                           always_salt=True)
+        return join_frames(events, seen.unionByName(other), on="event_type", how=how, hot_share=0.1,
+                           hot_sides=("left", "right"), salts=8, always_salt=True)
 
 
 hot_join_query("join_hot_key_inner", "inner",

@@ -2,6 +2,7 @@
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Window, functions as F, types as T
 
@@ -102,18 +103,13 @@ def to_silver(df, strict=False, salt=None):
 
 # -- gold marts -------------------------------------------------------------
 
-def star_join(fact, dimensions, hot_share=None):
+def star_join(fact, dimensions):
     """Denormalise a fact table; ``dimensions`` holds (table, key) pairs with unique keys.
 
-    Catalyst broadcasts the dimensions that are small enough. For the others
-    ``hot_share`` splits the hot keys of the fact table, see ``join_frames``;
-    it counts the keys of the fact as it was given.
+    Catalyst broadcasts the dimensions that are small enough; adaptive
+    execution splits the fact's hot keys for the others.
     """
-    wide = fact
-    for dimension, key in dimensions:
-        split = hot_share if key in fact.columns else None
-        wide = join_frames(wide, dimension, key, hot_share=split, hot_sides=("left",), hot_source=fact)
-    return wide
+    return reduce(lambda wide, d: join_frames(wide, d[0], d[1]), dimensions, fact)
 
 
 def with_ranks(mart, within, by):

@@ -210,7 +210,7 @@ def box_stats(df, x, y, few=10_000):
     quartiles = exact_quantiles(df, x, y, (0.25, 0.5, 0.75), few)
     reach = (F.col("q2") - F.col("q0")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q0") - reach, "_high": F.col("q2") + reach})
-    values = join_few(_grouped_values(df, [x], y), fences, [x], few, hot_share=0.02)
+    values = join_few(_grouped_values(df, [x], y), fences, [x], few)
     within = F.col("_v").between(F.col("_low"), F.col("_high"))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
     return values.groupBy(x).agg(

@@ -71,24 +71,27 @@ def is_small(df):
 # sides that Spark can broadcast for a kind of join
 BROADCAST_SIDES = {"inner": {"left", "right"}, "left": {"right"}, "right": {"left"}, "outer": set(),
                    "left_semi": {"right"}, "left_anti": {"right"}}
+# sides whose hot keys adaptive execution cannot split
+UNSPLIT_SIDES = {"left": {"right"}, "right": {"left"}, "outer": {"left", "right"}}
 
 
-def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=None,
-                hot_sides=("left", "right"), hot_source=None, salts=32, always_salt=False):
+def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=0.02, hot_sides=None,
+                hot_source=None, salts=32, always_salt=False):
     """Equi-join on shared key names.
 
     Non-key columns that both sides have get a suffix. Null keys never match.
 
     Adaptive execution splits hot keys of either side of an inner join, and of
     the left side of a left, semi or anti join. It cannot split the optional
-    side of an outer join, nor a side that an aggregation or join on the same
-    keys has left in place. ``hot_share`` covers these: keys that hold more
-    than that share of the rows of a side named in ``hot_sides`` are cut into
-    ``salts`` parts, unless a side is small enough to be broadcast. Finding
-    them runs a query over those sides, so give it inputs that are cheap to
-    read, such as scans and written tables, and name only sides whose keys can
-    repeat. ``hot_source`` is a cheaper table to find the left side's hot keys
-    in. A join without hot keys is left as it is.
+    side of an outer join. There, keys that hold more than ``hot_share`` of a
+    side's rows are cut into ``salts`` parts, unless a side is small enough to
+    be broadcast. Finding them runs a query over the key columns of that side;
+    a join without hot keys is left as it is. ``hot_share=None`` turns this off.
+
+    ``hot_sides`` names the sides to look at instead. Adaptive execution also
+    fails for a side that an aggregation or join on the same keys has left in
+    place, so name the other side of such a join, whatever its kind.
+    ``hot_source`` is a cheaper table to find the left side's hot keys in.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in JOIN_KINDS:
@@ -118,7 +121,7 @@ def join_frames(left, right, on, how="inner", suffixes=("_x", "_y"), hot_share=N
     small = set() if always_salt else {n for n, df in (("left", left), ("right", right)) if is_small(df)}
     if small & BROADCAST_SIDES[how]:
         return left.join(right, keys, how)
-    hot_sides = set(hot_sides) - small
+    hot_sides = set(UNSPLIT_SIDES.get(how, ()) if hot_sides is None else hot_sides) - small
     if half:
         # A key of the right side is needed once. A few copies are left of each,
         # so that the join still shuffles this side and can split the left one.
@@ -187,7 +190,7 @@ def _salt(df, keys, hot, other_hot, salts, side):
     )
 
 
-def join_few(large, few, keys, rows=10_000, hot_share=None):
+def join_few(large, few, keys, rows=10_000):
     """Join a large table to one of narrow rows with unique keys that is likely to be short.
 
     If it has at most ``rows`` rows it is broadcast, else both are shuffled. Its
@@ -198,7 +201,7 @@ def join_few(large, few, keys, rows=10_000, hot_share=None):
     found = few.limit(rows + 1).collect()
     if len(found) <= rows:
         return large.join(F.broadcast(few.sparkSession.createDataFrame(found, few.schema)), keys)
-    return join_frames(large, few, keys, hot_share=hot_share, hot_sides=("left",))
+    return join_frames(large, few, keys, hot_sides=("left",))
 
 
 def left_and_right(inputs):

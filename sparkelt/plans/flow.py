@@ -2,7 +2,7 @@
 
 Node types: input, filter, join, union, transform and output. Nothing runs
 until a sink is written or a result is read, so Catalyst plans each sink as a
-whole. The exception is a join node with ``hot_share``, which looks for hot
+whole. The exception is an outer join of large tables, which looks for hot
 keys when it is built.
 """
 
@@ -58,7 +58,8 @@ def _filter(config, inputs, spark, place):
 
 def _join(config, inputs, spark, place):
     left, right = left_and_right(inputs)
-    return join_frames(left, right, config.get("on", []), config.get("how", "inner"), hot_share=config.get("hot_share"))
+    return join_frames(left, right, config.get("on", []), config.get("how", "inner"),
+                       hot_share=config.get("hot_share", 0.02), hot_sides=config.get("hot_sides"))
 
 
 def _union(config, inputs, spark, place):

@@ -36,7 +36,8 @@ def test_inner_join(users, orders):
 def test_null_and_repeated_keys(spark, every_row, how, count, salted):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, v string")
     right = spark.createDataFrame([(1, "x"), (None, "z")], "k long, v string")
-    joined = join_frames(left, right, "k", how, always_salt=salted, hot_share=0.3, salts=3)
+    joined = join_frames(left, right, "k", how, always_salt=salted, hot_share=0.3, salts=3,
+                         hot_sides=("left", "right"))
     assert joined.count() == count
     if how not in ("semi", "anti"):
         assert joined.columns == ["k", "v_x", "v_y"]
@@ -62,27 +63,38 @@ def skewed(spark, every_row):
 def test_salting_changes_no_row(skewed, how):
     left, right = skewed
     plain = left.join(right.select("k") if how in ("left_semi", "left_anti") else right, "k", how)
-    salted = join_frames(left, right, "k", how, hot_share=0.05, salts=5, always_salt=True)
+    salted = join_frames(left, right, "k", how, hot_share=0.05, salts=5, always_salt=True,
+                         hot_sides=("left", "right"))
     assert salted.columns == plain.columns
     assert rows(salted) == rows(plain)
 
 
 def test_salting_spreads_the_hot_key(skewed):
     left, right = skewed
-    salted = join_frames(left, right, "k", "inner", hot_share=0.05, salts=5, always_salt=True)
+    salted = join_frames(left, right, "k", "inner", hot_share=0.05, salts=5, always_salt=True,
+                         hot_sides=("left", "right"))
     assert "_sl" in plan(salted) and rows(hot_keys(left, ["k"], 0.05)) == [(7,)]
 
 
-def test_large_sides_are_salted_on_request(spark, skewed, all_large):
+def test_what_adaptive_execution_cannot_split_is_salted(spark, skewed, all_large):
     for how in KINDS:
-        assert "_sl" in plan(join_frames(*skewed, "k", how, hot_share=0.05))
-        assert "_sl" not in plan(join_frames(*skewed, "k", how))
+        salted = "_sl" in plan(join_frames(*skewed, "k", how))
+        assert salted is (how in ("left", "right", "outer"))
+        assert "_sl" in plan(join_frames(*skewed, "k", how, hot_sides=("left", "right")))
+        assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_share=None))
     assert plan(join_frames(*skewed, "k", "semi")).count("Exchange hashpartitioning(k") == 3
 
 
+@pytest.mark.parametrize("how", KINDS)
+def test_default_joins_of_large_tables_change_no_row(skewed, all_large, how):
+    left, right = skewed
+    assert rows(join_frames(left, right, "k", how)) == rows(
+        left.join(right.select("k") if how in ("left_semi", "left_anti") else right, "k", how))
+
+
 @pytest.mark.parametrize("how", KINDS)
 def test_small_sides_are_not_salted(skewed, how):
-    assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_share=0.05))
+    assert "_sl" not in plan(join_frames(*skewed, "k", how, hot_sides=("left", "right")))
 
 
 @pytest.mark.parametrize("how", KINDS)
