@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, token_counts
+from . import chat, decontaminate, secret_scan, token_counts
 
 ENTRIES = {}
 
@@ -33,3 +33,37 @@ def op2(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(forged)))
+
+
+_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '{_WORD_PATTERN}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII_LOWER}, '{_WORD_PATTERN}') AS w FROM benchmark),
+bn AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bi),
+sizes AS (SELECT DISTINCT n FROM windows),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT x.doc_id, x.i, x.n, y.item FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM di) x
+          JOIN windows y ON x.n = y.n AND x.k = y.k),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3(spark, sf):
+    found = decontaminate.benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_secret_scan")
+def op4(spark, sf):
+    return secret_scan.secret_report(secret_scan.scan_secrets(table(spark, sf, "documents")))
