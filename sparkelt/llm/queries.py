@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, secret_scan, token_counts
+from . import chat, decontaminate, secret_scan, simhash, token_counts
 
 ENTRIES = {}
 
@@ -67,3 +67,8 @@ def op3(spark, sf):
 @query("op4_secret_scan")
 def op4(spark, sf):
     return secret_scan.secret_report(secret_scan.scan_secrets(table(spark, sf, "documents")))
+
+
+@query("op5_simhash")
+def op5(spark, sf):
+    return simhash.near_copies(table(spark, sf, "documents"))
