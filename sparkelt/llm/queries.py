@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, secret_scan, simhash, token_counts
+from . import chat, decontaminate, mixing, resharding, secret_scan, simhash, token_counts
 
 ENTRIES = {}
 
@@ -72,3 +72,17 @@ def op4(spark, sf):
 @query("op5_simhash")
 def op5(spark, sf):
     return simhash.near_copies(table(spark, sf, "documents"))
+
+
+@query("op6_mixing", mixing.mixing_sql())
+def op6(spark, sf):
+    decided = mixing.mixing_decisions(table(spark, sf, "documents"))
+    return decided.withColumns({c: F.round(c, 6) for c in ("factor", "probability")})
+
+
+@query("op7_resharding")
+def op7(spark, sf):
+    placed = resharding.reshard(table(spark, sf, "documents")).rows()
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "old")
