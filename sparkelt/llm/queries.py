@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, resharding, secret_scan, simhash, token_counts
+from . import chat, decontaminate, forest, mixing, resharding, secret_scan, simhash, token_counts
 
 ENTRIES = {}
 
@@ -86,3 +86,8 @@ def op7(spark, sf):
     return placed.select(
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old")
+
+
+@query("op10_embedding_forest")
+def op10(spark, sf):
+    return forest.near_vectors(table(spark, sf, "embeddings"))
