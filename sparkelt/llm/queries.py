@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, mixing, resharding, secret_scan, simhash, token_counts
+from . import chat, decontaminate, forest, mixing, resharding, secret_scan, simhash, token_counts, toxicity
 
 ENTRIES = {}
 
@@ -91,3 +91,8 @@ def op7(spark, sf):
 @query("op10_embedding_forest")
 def op10(spark, sf):
     return forest.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf):
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
