@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, mixing, resharding, secret_scan, simhash, token_counts, toxicity
+from . import chat, decontaminate, forest, language, mixing, resharding, secret_scan, simhash, token_counts, toxicity
 
 ENTRIES = {}
 
@@ -96,3 +96,17 @@ def op10(spark, sf):
 @query("op9_toxicity")
 def op9(spark, sf):
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_language_id")
+def op8(spark, sf):
+    """Documents declare a language in ``lang``; their source stands for the host."""
+    docs = table(spark, sf, "documents")
+    return language.identify(docs, declared=F.col("lang"), host=F.col("source")).withColumn("probability", F.round("probability", 6))
+
+
+@query("language_id_pages")
+def pages(spark, sf):
+    """The same operator over web pages, with all four kinds of evidence."""
+    rows = table(spark, sf, "pages")
+    return language.identify(rows, "page_id", **language.page_evidence(rows)).withColumn("probability", F.round("probability", 6))
