@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .arrow import LOWER, text_slices
+from .arrow import LOWER, text_slices, totals
 from .links import cut_lineage
 
 #: Bins of trigrams; rows that a declared language needs, as a share of all, to be learnt.
@@ -61,7 +61,7 @@ class Model:
         self.logs = np.log((1 - MIXED) * own + MIXED * both)
 
     def likelihoods(self, data, offsets):
-        """(texts x languages and unknown) log-likelihoods, and trigrams per text."""
+        """(texts x languages and unknown) log-likelihoods, trigrams and letter bytes per text."""
         code, bounds = trigrams(data, offsets)
         n = np.diff(bounds)
         out = np.empty((len(n), len(self.languages) + 1))
@@ -69,7 +69,7 @@ class Model:
             sums = np.concatenate([[0.0], np.cumsum(logs[code])])
             out[:, k] = sums[bounds[1:]] - sums[bounds[:-1]]
         out[:, -1] = n * -np.log(BINS)
-        return TEMPER * out, n
+        return TEMPER * out + 0.0, n, totals(_LETTER[data] != 32, offsets)
 
 
 def primary(declared):
@@ -130,27 +130,31 @@ def _scored(rows, model):
     """``rows`` with ``logs`` (log-likelihood per language and unknown) in place of the text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in rows.columns if c != "text"]
-    schema = StructType([*(rows.schema[c] for c in kept), StructField("logs", ArrayType(DoubleType())), StructField("trigrams", LongType())])
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("logs", ArrayType(DoubleType())), StructField("trigrams", LongType()), StructField("letters", LongType())])
     width = len(model.languages) + 1
 
     def score(batches):
         for batch, data, offsets in text_slices(batches):
-            logs, n = shared.value.likelihoods(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * width, pa.int32()), pa.array(logs.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(n, pa.int64())], names=schema.names)
+            logs, *sizes = shared.value.likelihoods(data, offsets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * width, pa.int32()), pa.array(logs.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *(pa.array(n, pa.int64()) for n in sizes)], names=schema.names)
 
     return rows.select(*kept, "text").mapInArrow(score, schema)
 
 
 def _with_best(scored):
-    """Adds ``best``: where the text alone points, a text without trigrams to the last place, unknown."""
-    last = F.size("logs") - 1
-    return scored.withColumn("best", F.when(F.col("trigrams") == 0, last).otherwise(F.array_position("logs", F.array_max("logs")).cast("int") - 1))
+    """Adds ``best``: where the text alone points; without letters to the last place, unknown; null if too short to tell."""
+    likeliest = F.when(F.col("trigrams") > 0, F.array_position("logs", F.array_max("logs")).cast("int") - 1)
+    return scored.withColumn("best", F.when(F.col("letters") == 0, F.size("logs") - 1).otherwise(likeliest))
+
+
+def _is(k):
+    return F.coalesce((F.col("best") == k).cast("double"), F.lit(0.0))
 
 
 def _counted(scored, key, width):
     """Rows per value of ``key`` by best language, as an array."""
-    counts = [F.sum((F.col("best") == k).cast("double")) for k in range(width)]
+    counts = [F.sum(_is(k)) for k in range(width)]
     return scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counts).alias(f"n_{key}"))
 
 
@@ -164,7 +168,7 @@ class Evidence:
     def __init__(self, scored, width):
         self.width = width
         scored = cut_lineage(_with_best(scored).select("declared", "suffix", "host", "domain", "best"))
-        sums = scored.agg(*[F.sum((F.col("best") == k).cast("double")).alias(f"n{k}") for k in range(width)]).first()
+        sums = scored.agg(*[F.sum(_is(k)).alias(f"n{k}") for k in range(width)]).first()
         held = np.array([sums[f"n{k}"] or 0.0 for k in range(width)])
         self.held = held
         self.overall = (held + 1.0) / (held.sum() + width)
@@ -190,8 +194,8 @@ class Evidence:
         out = out.join(self.hosts.withColumnRenamed("host", "value"), F.col("host") == F.col("value")).drop("value")
 
         def log_posterior(k):
-            own = (F.col("best") == k).cast("double")
-            prior = (F.col("n_host")[k] - own + F.lit(PRIOR) * F.col("p_domain")[k]) / (_total(F.col("n_host")) - 1.0 + PRIOR)
+            counted = F.col("best").isNotNull().cast("double")
+            prior = (F.col("n_host")[k] - _is(k) + F.lit(PRIOR) * F.col("p_domain")[k]) / (_total(F.col("n_host")) - counted + PRIOR)
             log = F.col("logs")[k] + F.log(prior)
             for key in ("declared", "suffix"):
                 log = log + F.coalesce(F.col(f"log_{key}")[k], F.lit(0.0))
@@ -207,10 +211,10 @@ def _verdict(fused, languages):
     """Names and probability of the best language; kept: it is a known one, has letters to show for it and is settled."""
     names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
     top = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
-    bare = F.col("trigrams") == 0
+    bare = F.col("letters") == 0
     return fused.withColumns({
-        "language": F.when(bare, F.lit(UNKNOWN)).otherwise(names[top]), "probability": F.array_max("posterior"),
-        "text_language": names[F.col("best")],
+        "language": F.when(bare, F.lit(UNKNOWN)).otherwise(F.get(names, top)), "probability": F.array_max("posterior"),
+        "text_language": F.coalesce(F.get(names, F.col("best")), F.lit(UNKNOWN)),
         "kept": ~bare & (top < len(languages)) & (F.array_max("posterior") >= SETTLED)})
 
 
