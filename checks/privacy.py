@@ -107,7 +107,7 @@ def scoped_hmac_sql(message, scope):
 
 
 @query("pseudonymize_keyed", f"""
-    SELECT c_custkey, 'pseudo_' || substr({scoped_hmac_sql("CAST(c_custkey AS VARCHAR)", 'c_mktsegment')}, 1, 12) AS pseudonym
+    SELECT c_custkey, 'pseudo_' || substr({scoped_hmac_sql("CAST(c_custkey AS VARCHAR)", 'c_mktsegment')}, 1, 64) AS pseudonym
     FROM customer""")
 def keyed(spark, sf):
     return table(spark, sf, "customer").select(

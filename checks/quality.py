@@ -52,6 +52,19 @@ def record_hash(spark, sf):
     return dedup_by_hash(documents, ["text"], order=["doc_id"]).withColumn("kept", F.lit(True))
 
 
+@query("dedup_record_hash_time", """
+    SELECT MIN(event_id) AS event_id, event_type, epoch_us(moment) AS moment FROM (
+        SELECT event_id, event_type, date_trunc('hour', ts) + to_microseconds(event_id % 3) AS moment FROM events)
+    GROUP BY event_type, moment""")
+def record_hash_time(spark, sf):
+    """Events by the hour, told apart by microseconds alone, in plain and in nested columns."""
+    at = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    moved = F.timestamp_micros(F.unix_micros(at) + F.col("event_id") % 3)
+    events = table(spark, sf, "events").select("event_id", "event_type", F.struct(F.array(moved).alias("times")).alias("nested"))
+    kept = dedup_by_hash(events, ["event_type", "nested"], order=["event_id"])
+    return kept.select("event_id", "event_type", F.unix_micros(F.col("nested.times")[0]).alias("moment"))
+
+
 # -- quarantine -------------------------------------------------------------
 
 def rules():

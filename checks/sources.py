@@ -33,6 +33,35 @@ def scan_json_roundtrip(spark, sf):
     return write_through(table(spark, sf, "part"), scratch(spark, "json") + "/part.json")
 
 
+@query("scan_csv_roundtrip_text", """
+    SELECT doc_id, '  ' || text || chr(10) || '"quoted", \\' || chr(13) || ' ' AS text, lang, CASE WHEN doc_id % 3 = 0 THEN '' END AS gap FROM documents""")
+def scan_csv_roundtrip_text(spark, sf):
+    """Texts with outer blanks, line breaks, quotes and backslashes; empty texts beside nulls."""
+    awkward = F.concat(F.lit("  "), F.col("text"), F.lit('\n"quoted", \\\r '))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", awkward.alias("text"), "lang", F.when(F.col("doc_id") % 3 == 0, "").alias("gap"))
+    return write_through(rows, scratch(spark, "texts") + "/documents.csv", multiline=True)
+
+
+TIMES = "SELECT event_id, epoch_us(ts) + event_id % 1000000 AS moment FROM events"
+
+
+def timed(spark, sf):
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 1000000)
+    return table(spark, sf, "events").select("event_id", at.alias("moment"))
+
+
+@query("scan_json_roundtrip_time", TIMES)
+def scan_json_roundtrip_time(spark, sf):
+    """Times with microseconds."""
+    return write_through(timed(spark, sf), scratch(spark, "times") + "/events.json").withColumn("moment", F.unix_micros("moment"))
+
+
+@query("scan_csv_roundtrip_time", TIMES)
+def scan_csv_roundtrip_time(spark, sf):
+    return write_through(timed(spark, sf), scratch(spark, "times") + "/events.csv").withColumn("moment", F.unix_micros("moment"))
+
+
 @query("scan_default_format", "SELECT * FROM customer")
 def scan_default_format(spark, sf):
     path = scratch(spark, "default") + "/customer"
@@ -105,6 +134,41 @@ def ingest_report(spark, sf):
     return report.groupBy("format", "status").agg(F.sum("row_count").cast("long").alias("row_count"))
 
 
+@query("ingest_header_order", """
+    SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, 'ingested' AS status FROM customer
+    UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'ingested' FROM supplier
+    UNION ALL SELECT 1, NULL, NULL, 'rejected'""")
+def ingest_header_order(spark, sf):
+    """Two uploads with their columns in different orders, and one with other names."""
+    landing = scratch(spark, "landing")
+    buyers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    sellers = table(spark, sf, "supplier").select(
+        F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    write_dataset(buyers, f"{landing}/a.csv")
+    write_dataset(sellers, f"{landing}/b.csv")
+    write_dataset(sellers.withColumnRenamed("name", "title").coalesce(1), f"{landing}/c.csv")
+    rows, report = ingest_landing(spark, landing, StructType.fromDDL("key long, name string, balance double"))
+    # the verdicts beside the rows, as rows
+    verdicts = report.where("status <> 'ingested'").groupBy("status").agg(F.count("*").alias("key"))
+    return rows.select("key", "name", "balance", F.lit("ingested").alias("status")).unionByName(
+        verdicts.select("key", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("balance"), "status"))
+
+
+@query("ingest_inferred", """
+    SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS segment FROM customer
+    UNION ALL SELECT s_suppkey, s_name, NULL, 'seller' FROM supplier""")
+def ingest_inferred(spark, sf):
+    """Uploads without a declared schema, as CSV and as JSON lines with other columns."""
+    landing = scratch(spark, "landing")
+    write_dataset(table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), f"{landing}/a.csv")
+    write_dataset(table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit("seller").alias("segment")), f"{landing}/b.json")
+    rows, _ = ingest_landing(spark, landing)
+    return rows.select(F.col("key").cast("long").alias("key"), "name", "balance", "segment")
+
+
 # -- sample datasets, indexed by the keys of a table ------------------------
 
 def pick(i, *words):

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 BLOCK = 64  # SHA-256 block size in bytes
 INNER, OUTER = 0x36, 0x5C  # HMAC pad bytes
@@ -48,9 +48,39 @@ def hmac_sha256_scoped(message, master, scope):
     return _hmac(*pads, message)
 
 
-def row_digest(columns):
-    """SHA-256 hex of a row's named columns; equal rows give equal digests."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def _holds_time(kind):
+    if isinstance(kind, T.StructType):
+        return any(_holds_time(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_time(kind.elementType)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.MapType))
+
+
+def _exact(value, kind):
+    """A value in a form whose JSON text shows every difference, in any time zone.
+
+    Instants become whole microseconds, local times their text, and maps their
+    sorted entries, as two equal maps may list them in different orders.
+    """
+    if not _holds_time(kind):
+        return value
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        return value.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(
+            _exact(e["key"], kind.keyType).alias("key"), _exact(e["value"], kind.valueType).alias("value"))))
+    fields = [_exact(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def row_digest(df, columns):
+    """SHA-256 hex of the named columns of a row: equal rows give equal digests, and only they."""
+    values = [_exact(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns]
+    return F.sha2(F.to_json(F.struct(*values)), 256)
 
 
 def content_digest(digest):
@@ -59,7 +89,7 @@ def content_digest(digest):
     Each sum adds 60-bit slices as DECIMAL, so partial sums merge exactly.
     """
     def total(start):
-        piece = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+        piece = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(28,0)")
         return F.sum(piece).cast("decimal(38,0)")
 
     return [F.count("*").alias("row_count"), total(1).alias("sum_low"), total(16).alias("sum_high")]

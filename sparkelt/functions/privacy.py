@@ -39,24 +39,28 @@ def mask_card(column):
         digits.isNotNull(), F.concat(F.lit("****-****-****-"), F.right(digits, F.lit(4))))
 
 
-def pseudonymize(column, salt):
-    """``pseudo_`` and 12 hex digits of SHA-256 over ``salt:value``; equal values stay joinable."""
+def pseudonymize(column, salt, digits=12):
+    """``pseudo_`` and the first hex digits of SHA-256 over ``salt:value``; equal values stay joinable.
+
+    12 digits are the published form; among some ten million values two may
+    share one, so ask for more (64 at most) where pseudonyms are join keys.
+    """
     digest = F.sha2(F.concat(F.lit(f"{salt}:"), column.cast("string")), 256)
-    return F.concat(F.lit("pseudo_"), F.substring(digest, 1, 12))
+    return F.concat(F.lit("pseudo_"), F.substring(digest, 1, digits))
 
 
-def pseudonymize_scoped(column, master, scope):
+def pseudonymize_scoped(column, master, scope, digits=64):
     """Pseudonym under the tenant's own key: joinable inside a tenant, not across tenants."""
-    return F.concat(F.lit("pseudo_"), F.substring(hmac_sha256_scoped(column, master, scope), 1, 12))
+    return F.concat(F.lit("pseudo_"), F.substring(hmac_sha256_scoped(column, master, scope), 1, digits))
 
 
 def mask_table(df, email=(), phone=(), pseudonymous=(), salt=None):
     """Mask the named columns that exist in ``df``; the others pass through."""
     if pseudonymous and salt is None:
         raise ValueError("pseudonyms need a salt")
-    changed = {c: mask_email(F.col(c).cast("string")) for c in email if c in df.columns}
-    changed |= {c: mask_phone(F.col(c).cast("string")) for c in phone if c in df.columns}
-    changed |= {c: pseudonymize(F.col(c), salt) for c in pseudonymous if c in df.columns}
+    changed = {c: mask_email(F.col(f"`{c}`").cast("string")) for c in email if c in df.columns}
+    changed |= {c: mask_phone(F.col(f"`{c}`").cast("string")) for c in phone if c in df.columns}
+    changed |= {c: pseudonymize(F.col(f"`{c}`"), salt) for c in pseudonymous if c in df.columns}
     return df.withColumns(changed) if changed else df
 
 
@@ -64,7 +68,7 @@ def personal_columns(columns, strict=False):
     """Columns to mask, by name, as keyword arguments for ``mask_table``.
 
     The loose rule looks for a word anywhere in the name; the strict rule
-    takes exact names and also marks identifiers as pseudonymous.
+    takes exact names and also marks identifiers as pseudonymous. The names are fixed values.
     """
     if strict:
         return {

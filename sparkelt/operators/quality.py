@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from ..functions.hashing import content_digest, content_hash, row_digest
+from ..sources.files import write_through
+from ..sources.paths import shared_dir
 from .relational import join_frames
 
 # Texts that mean "no value".
@@ -39,13 +41,14 @@ def dedup_by_key(df, keys, order, keep="first"):
     if not ranked:
         return df.dropDuplicates(list(keys))
     direction = F.asc if keep == "first" else F.desc
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[direction(c) for c in ranked]))
+    parts = [F.col(f"`{k}`") for k in keys]
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*[direction(f"`{c}`") for c in ranked]))
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def dedup_by_hash(df, columns, order, keep="first"):
     """One row per content: rows whose ``columns`` are equal, compared by their digest."""
-    hashed = df.withColumn("_digest", row_digest([F.col(c) for c in columns]))
+    hashed = df.withColumn("_digest", row_digest(df, columns))
     return dedup_by_key(hashed, ["_digest"], order, keep).drop("_digest")
 
 
@@ -73,8 +76,7 @@ def reprocess(bad, repair, rules):
 
 def batch_hashes(df, batch):
     """Content hash per batch, the same whatever the order of its rows."""
-    content = [F.col(c) for c in df.columns if c != batch]
-    digested = df.select(batch, row_digest(content).alias("_digest"))
+    digested = df.select(batch, row_digest(df, [c for c in df.columns if c != batch]).alias("_digest"))
     return digested.groupBy(batch).agg(*content_digest(F.col("_digest"))).select(
         batch, content_hash().alias("content_hash"))
 
@@ -83,9 +85,10 @@ def new_batches(incoming, ledger, batch):
     """Batches whose content neither the ledger nor an earlier incoming batch has.
 
     ``ledger`` has a column ``content_hash``. Returns ``(rows, entries)``: the
-    accepted rows and the ledger entries (batch, content_hash) to append.
+    accepted rows and the ledger entries (batch, content_hash) to append. The
+    hashes, one row per batch, are written once to the shared folder.
     """
-    hashes = batch_hashes(incoming, batch)
+    hashes = write_through(batch_hashes(incoming, batch), shared_dir(incoming.sparkSession, "batches") + ".parquet")
     unseen = join_frames(hashes, ledger.select("content_hash"), "content_hash", "anti")
     entries = unseen.groupBy("content_hash").agg(F.min(batch).alias(batch)).select(batch, "content_hash")
     return join_frames(incoming, entries.select(batch), batch, "semi"), entries
@@ -101,6 +104,7 @@ def append_version(df, path, version):
 
 def latest_version(spark, path):
     """The newest snapshot; older partitions are pruned before the scan."""
-    versions = spark.read.parquet(path)
-    newest = versions.select("version").distinct().agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest)
+    # one row per file, from the listing alone: the content is not read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    newest = files.agg(F.max("version")).scalar()
+    return spark.read.parquet(path).where(F.col("version") == newest)

@@ -1,8 +1,11 @@
 """File datasets: the format follows the extension of the path."""
 
+import csv
+import re
+from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json"}
 
@@ -18,34 +21,51 @@ def endpoint_options(endpoint, path_style=True):
     return {"fs.s3a.endpoint": endpoint, "fs.s3a.path.style.access": str(path_style).lower()}
 
 
+#: CSV with doubled quotes and with the blanks that a value has.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Times as text, to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def read_dataset(spark, path, fmt=None, schema=None, multiline=False, options=None):
     """Scan a dataset.
 
     Pass ``schema`` for CSV and JSON on large inputs: without it Spark reads
-    the data once more to infer one.
+    the data once more to infer one. ``multiline`` reads CSV values with line
+    breaks and JSON documents over several lines; one task then reads a whole file.
     """
     fmt = fmt or format_of(path)
-    reader = spark.read.options(**(options or {}))
+    reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
         if schema is None:
             reader = reader.option("inferSchema", True)
-    if fmt == "json":
+    if fmt in ("csv", "json"):
         reader = reader.option("multiLine", multiline)
+    reader = reader.options(**(options or {}))
     return reader.load(path, format=fmt) if fmt else reader.load(path)
 
 
 def write_dataset(df, path, fmt=None, mode="overwrite", partition_by=(), compression=None,
-                  replace_partitions=False, options=None):
-    """Write a dataset; ``replace_partitions`` overwrites only partitions present in ``df``."""
+                  replace_partitions=False, multiline=False, options=None):
+    """Write a dataset; ``replace_partitions`` overwrites only partitions present in ``df``.
+
+    A CSV value with a line break fails the write unless ``multiline`` says
+    that the file will be read so: other readers would cut the row in two.
+    """
     fmt = fmt or format_of(path)
-    writer = df.write.mode(mode).options(**(options or {}))
+    if fmt == "csv" and not multiline:
+        df = _on_one_line(df)
+    writer = df.write.mode(mode)
     if fmt:
         writer = writer.format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
+    if fmt in ("csv", "json"):
+        writer = writer.options(**TIMES)
+    writer = writer.options(**(options or {}))
     if compression:
         writer = writer.option("compression", compression)
     if partition_by:
@@ -55,10 +75,23 @@ def write_dataset(df, path, fmt=None, mode="overwrite", partition_by=(), compres
     writer.save(path)
 
 
-def write_through(df, path, fmt=None, **options):
+def _on_one_line(df):
+    """``df`` with a check on its text columns; the check runs as the rows are written."""
+    def checked(name):
+        text = F.col(f"`{name}`")
+        error = F.raise_error(F.lit(f"a line break in column {name!r}: write CSV with multiline=True"))
+        return F.when(text.rlike("[\r\n]"), error.cast("string")).otherwise(text)
+
+    texts = {c: checked(c) for c, kind in df.dtypes if kind == "string"}
+    return df.withColumns(texts) if texts else df
+
+
+def write_through(df, path, fmt=None, multiline=False, **options):
     """Write ``df`` and hand back the written table, so later steps do not recompute it."""
-    write_dataset(df, path, fmt, **options)
-    return read_dataset(df.sparkSession, path, fmt, schema=df.schema)
+    write_dataset(df, path, fmt, multiline=multiline, **options)
+    # the writer leaves a null blank and quotes an empty text; a stand-in for blanks keeps them apart
+    apart = {"nullValue": "\0null"} if (fmt or format_of(path)) == "csv" else {}
+    return read_dataset(df.sparkSession, path, fmt, schema=df.schema, multiline=multiline, options=apart)
 
 
 # -- landed uploads ---------------------------------------------------------
@@ -67,14 +100,15 @@ CORRUPT = "_corrupt_record"
 
 
 def sniff_formats(spark, landing):
-    """One row (file, format) per landed file.
+    """One row (file, format, head) per landed file; ``head`` is its first line that is not blank.
 
     A leading ``[`` means one JSON array document, the ending ``.json`` alone
-    JSON lines (which Spark can split), anything else CSV. Only the first block of each file can hold its first line, so the other
-    blocks are filtered out by their offset.
+    JSON lines (which Spark can split), anything else CSV. A file without such a
+    line has no row. Only the first block of each file can hold its first
+    line, so the lines of other blocks are dropped by their offset.
     """
     lines = (
-        spark.read.option("recursiveFileLookup", True).text(landing)
+        _landed(spark, landing)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -83,78 +117,127 @@ def sniff_formats(spark, landing):
         )
         .where((F.col("block") == 0) & (F.col("line") != ""))
     )
-    first = lines.groupBy("file").agg(F.min_by("line", "at").alias("line"))
-    kind = F.when(F.col("line").startswith("["), "json").when(
+    first = lines.groupBy("file").agg(F.min_by("line", "at").alias("head"))
+    kind = F.when(F.col("head").startswith("["), "json").when(
         F.col("file").endswith(".json"), "json_lines").otherwise("csv")
-    return first.select("file", kind.alias("format"))
+    return first.select("file", kind.alias("format"), "head")
+
+
+def _landed(spark, landing):
+    return spark.read.option("recursiveFileLookup", True).text(landing)
+
+
+def _one_form(file):
+    """The address of a file written in one way, however many slashes a local one has."""
+    return re.sub("^file:/+", "file:///", file)
+
+
+def _one_form_column():
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")
 
 
-def ingest_landing(spark, landing, schema):
+def _header(line):
+    return [name.strip() for name in next(csv.reader([line.removeprefix("\ufeff")]))]
+
+
+def _reader(spark, fmt, multiline):
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if fmt == "csv":
+        return reader.options(**CSV).option("multiLine", multiline).format("csv")
+    return reader.option("multiLine", fmt == "json").format("json")
+
+
+def _common_type(a, b):
+    """The type that holds the values of two files; text if nothing else does."""
+    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    return order[max(order.index(a), order.index(b))] if a in order and b in order else T.StringType()
+
+
+def _inferred(spark, groups, multiline):
+    """A schema from the files themselves: columns in the order met, of a type that all files fit."""
+    found = {}
+    for fmt, _, files in groups:
+        reader = _reader(spark, fmt, multiline)
+        for field in reader.option("inferSchema", True).load(files).schema.fields:
+            if field.name != CORRUPT:
+                found[field.name] = _common_type(found.get(field.name, field.dataType), field.dataType)
+    return T.StructType([T.StructField(n, k if not isinstance(k, T.NullType) else T.StringType()) for n, k in found.items()])
+
+
+def ingest_landing(spark, landing, schema=None, multiline=False):
     """Ingest a folder of mixed CSV and JSON uploads against one schema.
 
-    Returns ``(rows, report)``. ``rows`` carries ``source_file`` and ``format``
-    and leaves out every file with an unparseable record; ``report`` has one
-    row per file with its verdict, row count and columns. File names are
-    collected to the driver, which lists them for the scan anyway.
+    CSV columns are matched by the names in each file's header; a file whose
+    header has other names is rejected. Without ``schema`` the files are read
+    once more to infer one, and columns that a file lacks are null. ``multiline``
+    reads CSV values with line breaks. Returns ``(rows, report)``. ``rows``
+    carries ``source_file`` and ``format`` and leaves out every file with an
+    unparseable record; ``report`` has one row per file with its status
+    (``ingested``, ``rejected`` or ``empty``), row count and columns. File names
+    and headers are collected to the driver, which lists the files for the scan anyway.
     """
-    names = [field.name for field in schema.fields]
-    permissive = type(schema)(list(schema.fields)).add(CORRUPT, "string")
-    parts = []
     # the metadata column gives encoded addresses, a reader takes plain ones
-    sniffed = [(unquote(r["file"]), r["format"]) for r in sniff_formats(spark, landing).collect()]
-    for fmt in ("csv", "json", "json_lines"):
-        files = [file for file, kind in sniffed if kind == fmt]
-        if not files:
+    sniffed = [(_one_form(r["file"]), r["format"], r["head"]) for r in sniff_formats(spark, landing).collect()]
+    filled = {file for file, _, _ in sniffed}
+    sniffed += [(file, "empty", None) for file in map(_one_form, _landed(spark, landing).inputFiles()) if file not in filled]
+    grouped = {}
+    for file, fmt, head in sniffed:
+        if fmt != "empty":
+            grouped.setdefault((fmt, tuple(_header(head)) if fmt == "csv" else None), []).append(unquote(file))
+    groups = [(fmt, header, files) for (fmt, header), files in sorted(grouped.items(), key=str)]
+    lacking = schema is None
+    if schema is None:
+        schema = _inferred(spark, groups, multiline)
+    names = [field.name for field in schema.fields]
+    fields = {field.name: field for field in schema.fields}
+    parts, refused = [], set()
+    for fmt, header, files in groups:
+        if fmt == "csv" and not (set(header) <= set(names) if lacking else sorted(header) == sorted(names)):
+            refused |= set(files)
             continue
-        reader = spark.read.schema(permissive).option("mode", "PERMISSIVE")
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-        if fmt == "csv":
-            reader = reader.option("header", True)
-        else:
-            reader = reader.option("multiLine", fmt == "json")
-        parts.append(
-            reader.format(fmt.removesuffix("_lines")).load(files).select(
-                *names, CORRUPT,
-                F.col("_metadata.file_path").alias("source_file"),
-                F.lit(fmt).alias("format"),
-            )
-        )
+        own = T.StructType([fields[n] for n in header or names]).add(CORRUPT, "string")
+        read = _reader(spark, fmt, multiline).schema(own).load(files)
+        parts.append(read.select(
+            *[F.col(f"`{n}`") if n in own.names else F.lit(None).cast(fields[n].dataType).alias(n) for n in names], CORRUPT,
+            _one_form_column().alias("source_file"), F.lit(fmt).alias("format")))
     if not parts:
-        empty = spark.createDataFrame([], permissive)
+        empty = spark.createDataFrame([], T.StructType([*schema.fields]).add(CORRUPT, "string"))
         parts = [empty.withColumns({"source_file": F.lit(""), "format": F.lit("")})]
-    everything = parts[0]
-    for part in parts[1:]:
-        everything = everything.unionByName(part)
+    everything = reduce(lambda a, b: a.unionByName(b), parts)
     # The parser checks only the columns it has to read, so the count of bad
     # records reads them all; the added remainder is always 0.
-    bad = F.when(F.col(CORRUPT).isNotNull(), 1 + F.pmod(F.xxhash64(*names), F.lit(1))).otherwise(0)
-    report = everything.groupBy("source_file", "format").agg(
-        F.count("*").alias("rows_seen"), F.sum(bad).alias("bad_rows"),
-    ).select(
+    bad = F.when(F.col(CORRUPT).isNotNull(), 1 + F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in names]), F.lit(1))).otherwise(0)
+    seen = everything.groupBy("source_file").agg(F.count("*").alias("rows_seen"), F.sum(bad).alias("bad_rows"))
+    listed = spark.createDataFrame(
+        [(file, fmt, unquote(file) in refused) for file, fmt, _ in sniffed], "source_file string, format string, refused boolean")
+    rejected = F.col("refused") | (F.coalesce("bad_rows", F.lit(0)) > 0)
+    report = listed.join(seen, "source_file", "left").select(
         "source_file", "format",
-        F.when(F.col("bad_rows") > 0, "rejected").otherwise("ingested").alias("status"),
-        F.when(F.col("bad_rows") > 0, 0).otherwise(F.col("rows_seen")).alias("row_count"),
+        F.when(F.col("format") == "empty", "empty").when(rejected, "rejected").otherwise("ingested").alias("status"),
+        F.when(rejected, 0).otherwise(F.coalesce("rows_seen", F.lit(0))).alias("row_count"),
         F.array(*[F.lit(n) for n in names]).alias("columns"),
     )
-    # rejected files are as many as the sniffed list at most, which the driver already holds
-    rejected = F.broadcast(report.where("status = 'rejected'").select("source_file"))
-    rows = everything.join(rejected, "source_file", "left_anti")
-    return rows.select(*names, "source_file", "format"), report
+    rows = everything.join(report.where("status = 'rejected'").select("source_file"), "source_file", "left_anti")
+    return rows.select(*[F.col(f"`{n}`") for n in names], "source_file", "format"), report
 
 
 def parse_lines(lines, schema, fmt, column="value", header=None):
     """Parse a column of text lines; returns ``(good, bad)``, bad rows with their error text.
 
-    ``header`` is the header line to leave out of CSV input.
+    ``header`` is the header line to leave out of CSV input. A null line is a bad one.
     """
     permissive = type(schema)(list(schema.fields)).add(CORRUPT, "string")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in permissive.fields)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     if header is not None:
-        lines = lines.where(F.col(column) != header)
+        lines = lines.where(~F.col(column).eqNullSafe(F.lit(header)))
     parse = F.from_csv if fmt == "csv" else F.from_json
     parsed = lines.withColumn("_row", parse(F.col(column), ddl, options))
-    broken = F.col(f"_row.{CORRUPT}").isNotNull()
+    broken = F.col(column).isNull() | F.col(f"_row.{CORRUPT}").isNotNull()
     good = parsed.where(~broken).select(*[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields])
     bad = parsed.where(broken).select(
         F.col(column).alias("raw"), F.lit(f"unparseable {fmt} record").alias("error"))

@@ -14,6 +14,9 @@ def scoped_key(tenant, key, project=None):
         raise ValueError("a tenant is required")
     if not key:
         raise ValueError("a dataset key is required")
+    for name in (tenant, project):
+        if "/" in name:
+            raise ValueError(f"no slash in a tenant or project: {name!r}")
     parts = [p for p in (tenant, project, key) if p]
     for part in parts:
         if {".", ".."} & set(part.split("/")):
@@ -34,14 +37,19 @@ def object_store_path(bucket, tenant, key, project=None, prefix="", scheme="s3a"
     return scoped_path(base, tenant, key, project)
 
 
-def table_name(tenant, key):
-    """Database table for a dataset key: last path part, prefixed with the tenant."""
-    last = scoped_key(tenant, key).split("/")[-1]
-    stem = re.sub(r"\.(csv|parquet|pq|json)$", "", last)
-    name = f"{tenant.strip()}_{stem}".replace("-", "_")
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
-        raise ValueError(f"not a plain table name: {name!r}")
-    return name
+def table_name(tenant, key, project=None):
+    """Database table for a dataset key: ``tenant__key`` or ``tenant__project__key``.
+
+    Different datasets have different tables: what is not a letter or digit is
+    written as an underscore and the hex code of its bytes. A name that starts
+    with a digit gets its code too, so that it needs no quotes.
+    """
+    scoped_key(tenant, key, project)
+    parts = [p for p in (tenant.strip(), (project or "").strip().lstrip("/"), key.strip().lstrip("/")) if p]
+    plain = [re.sub(r"[^A-Za-z0-9]", lambda m: "".join(f"_{b:02x}" for b in m[0].encode()), p) for p in parts]
+    if plain[0][0].isdigit():
+        plain[0] = f"_{ord(plain[0][0]):02x}{plain[0][1:]}"
+    return "__".join(plain)
 
 
 _local_root = None
@@ -61,3 +69,9 @@ def shared_dir(spark, purpose):
         _local_root = _local_root or tempfile.mkdtemp(prefix="sparkelt-")
         root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def remove(spark, path):
+    """Delete a path that ``shared_dir`` gave, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -47,6 +47,12 @@ def rules():
     return {"positive": F.col("v") > 0, "named": F.col("n").isNotNull()}
 
 
+def test_rows_that_differ_by_a_microsecond_are_kept(spark):
+    df = spark.sql("SELECT id, timestamp_micros(1000 + id) AS t, 'x' AS `a.b` FROM range(3)")
+    assert dedup_by_hash(df, ["t", "a.b"], order=["id"]).count() == 3
+    assert dedup_by_key(df, ["a.b"], order=["id"]).count() == 1
+
+
 def test_quarantine(spark):
     df = spark.createDataFrame([(1, "a"), (-1, None), (None, "b"), (5, None)], "v int, n string")
     good, bad = split_quarantine(df, rules())

@@ -42,6 +42,19 @@ def test_a_null_field_keeps_its_place(run):
     assert sign(moved).first()["manifest_signature"] != sign(other).first()["manifest_signature"]
 
 
+def test_a_missing_signature_is_not_valid(run):
+    gone = sign(run).withColumn("manifest_signature", F.lit(None).cast("string"))
+    assert gone.select("status").count() == 1 and verify(gone).where("valid").count() == 0
+    assert verify(gone).where("NOT valid").count() == 1
+
+
+def test_fields_cannot_borrow_from_each_other_under_a_key(run):
+    def signed(**fields):
+        return sign(run.withColumns({k: F.lit(v).cast("string") for k, v in fields.items()}), "k").first()["manifest_signature"]
+    assert signed(tenant_id="a:b", project_id="c") != signed(tenant_id="a", project_id="b:c")
+    assert signed(project_id=None) != signed(project_id="")
+
+
 def test_lineage_signature(spark):
     df = spark.createDataFrame([("i", "o", "c"), ("i", "o2", "c")], "i string, o string, c string")
     signed = df.select(lineage_signature(F.col("i"), F.col("o"), F.col("c"), "k").alias("s")).distinct()
@@ -58,6 +71,25 @@ def test_fingerprint(spark):
     assert fingerprint(df.limit(0)).first()["row_count"] == 0
 
 
+def test_fingerprints_see_microseconds_in_any_time_zone(spark):
+    text = "SELECT timestamp_micros({}) AS t, array(named_struct('m', map('k', timestamp_micros({}), 'a', timestamp_micros(5)))) AS deep"
+    one, two = (fingerprint(spark.sql(text.format(n, m))).first() for n, m in ((10, 20), (10, 21)))
+    assert one != two and one != fingerprint(spark.sql(text.format(11, 20))).first()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    assert fingerprint(spark.sql(text.format(10, 20))).first() == one
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_the_run_log_is_stored(spark, tmp_path):
+    df, path = spark.range(5), str(tmp_path / "log")
+    for code in ("SELECT COUNT(*) AS n FROM data", "DROP TABLE data"):
+        record = run_transform(df, "sql", code, tenant="t", log_path=path)[2]
+        assert record.count() == 1
+    assert rows(spark.read.parquet(path), "status") == [("failed",), ("succeeded",)]
+    assert verify(spark.read.parquet(path)).where("valid").count() == 2
+
+
 def test_capacity(spark):
     df = spark.createDataFrame(
         [(1, 50.0, 1.0, "TIER_0_EMBEDDED"), (2, 2000.0, 50.0, "TIER_0_EMBEDDED"), (3, 1500.0, 5.0, "TIER_1_SPARK"),

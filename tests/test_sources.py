@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql.types import StructType
 
 from conftest import rows
 from sparkelt.errors import UnsafeQueryError
+from sparkelt.functions.validation import check_read_query
 from sparkelt.sources.files import endpoint_options, format_of, ingest_landing, read_dataset, write_dataset, write_through
 from sparkelt.sources.jdbc import connection_options, jdbc_url, read_jdbc_query, split_options
 from sparkelt.sources.memory import read_memory, write_memory
@@ -15,10 +17,10 @@ from sparkelt.sources.presets import PRESETS, preset
 def test_scoped_paths():
     assert scoped_path("/base/", "t1", "/raw/x.csv", "p") == "/base/t1/p/raw/x.csv"
     assert scoped_key(" t1 ", "x.csv") == "t1/x.csv"
-    assert object_store_path("my-production-bucket", "tenant-a", "orders.parquet", "analytics", "/lakehouse/") == (
-        "s3a://my-production-bucket/lakehouse/tenant-a/analytics/orders.parquet")
+    assert object_store_path("blue-store", "acme", "bills.parquet", "y2020", "/deep/er/") == (
+        "s3a://blue-store/deep/er/acme/y2020/bills.parquet")
     for tenant, key, project in (("", "x", None), (None, "x", None), ("t", " ", None), ("t", "../x", None), ("t", "a/./b", None),
-                                 ("..", "x", None), ("t", "x", "../p")):
+                                 ("..", "x", None), ("t", "x", "../p"), ("a/b", "x", None), ("t", "x", "p/q")):
         with pytest.raises(ValueError):
             scoped_key(tenant, key, project)
     with pytest.raises(ValueError):
@@ -41,6 +43,24 @@ def test_round_trips(spark, tmp_path, name):
     assert read_dataset(spark, path).count() == 1
 
 
+AWKWARD = [(1, "  pad "), (2, 'say "hi", \\'), (3, ""), (4, None), (5, "tab\tend"), (6, '"'), (7, "\\")]
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    df = spark.createDataFrame(AWKWARD, "id long, text string")
+    assert rows(write_through(df, str(tmp_path / "a.csv"))) == rows(df)
+    broken = spark.createDataFrame([*AWKWARD, (8, "a\nb"), (9, " a\r\nb\r")], "id long, text string")
+    with pytest.raises(Exception, match="line break"):
+        write_dataset(broken, str(tmp_path / "b.csv"))
+    assert rows(write_through(broken, str(tmp_path / "c.csv"), multiline=True)) == rows(broken)
+
+
+@pytest.mark.parametrize("name", ["t.csv", "t.json"])
+def test_times_keep_their_microseconds(spark, tmp_path, name):
+    df = spark.sql("SELECT TIMESTAMP '2020-02-03 04:05:06.000007' AS t, TIMESTAMP_NTZ '2020-02-03 04:05:06.123456' AS n")
+    assert rows(write_through(df, str(tmp_path / name))) == rows(df)
+
+
 def test_endpoint_options(spark, tmp_path):
     options = endpoint_options("http://minio:9000")
     assert options == {"fs.s3a.endpoint": "http://minio:9000", "fs.s3a.path.style.access": "true"}
@@ -82,6 +102,30 @@ def test_landing(spark, tmp_path):
         "f%20100%25.csv": ("ingested", 1, ["item", "qty"]), "d.csv": ("rejected", 0, ["item", "qty"]), "e.json": ("rejected", 0, ["item", "qty"])}
 
 
+def test_landing_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,city\nbob,paris\n")
+    (tmp_path / "b.csv").write_text('city,name\nrome,"an""n"\n')
+    (tmp_path / "c.csv").write_text("town,name\noslo,eve\n")
+    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "e.csv").write_text("name,city\n")
+    (tmp_path / "f.csv").write_text('name,city\n"two\nlines",bonn\n')
+    schema = StructType.fromDDL("name string, city string")
+    accepted, report = ingest_landing(spark, str(tmp_path), schema, multiline=True)
+    assert rows(accepted, "name", "city") == [('an"n', "rome"), ("bob", "paris"), ("two\nlines", "bonn")]
+    found = {r["source_file"].rsplit("/", 1)[1]: (r["status"], r["row_count"]) for r in report.collect()}
+    assert found == {"a.csv": ("ingested", 1), "b.csv": ("ingested", 1), "c.csv": ("rejected", 0), "d.csv": ("empty", 0),
+                     "e.csv": ("ingested", 0), "f.csv": ("ingested", 1)}
+
+
+def test_landing_without_a_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("item,qty\npear,3\n")
+    (tmp_path / "b.csv").write_text("qty,item\n2.5,fig\n")
+    (tmp_path / "c.json").write_text('{"item": "nut", "kg": 7}\n')
+    accepted, report = ingest_landing(spark, str(tmp_path))
+    assert rows(accepted, "item", "qty", "kg") == [("fig", 2.5, None), ("nut", None, 7), ("pear", 3.0, None)]
+    assert report.where("status = 'ingested'").count() == 3
+
+
 def test_jdbc_without_a_database(spark):
     assert jdbc_url("postgresql", "db", "h") == "jdbc:postgresql://h:5432/db"
     assert jdbc_url("mysql", "db", "h", 99) == "jdbc:mysql://h:99/db"
@@ -91,10 +135,16 @@ def test_jdbc_without_a_database(spark):
         jdbc_url("snowflake", "db")
     assert connection_options("u", user="me") == {"url": "u", "user": "me", "fetchsize": "10000"}
     assert split_options("id", 0, 100, 8)["numPartitions"] == "8"
-    assert table_name("tenant-a", "raw/scores.csv") == "tenant_a_scores"
-    for bad in ("x;drop", "a b", "a'b"):
-        with pytest.raises(ValueError):
-            table_name("t", bad)
+    assert table_name("north", "bills") == "north__bills" and table_name("9to5", "x;y") == "_39to5__x_3by"
+    apart = [("a", "b_c", None), ("a_b", "c", None), ("a-b", "c", None), ("a", "raw/c", None), ("a", "c", None), ("a", "c.csv", None),
+             ("a", "c.json", None), ("a", "c", "raw"), ("a__b", "c", None), ("a", "b__c", None), ("ä", "c", None), ("a", "_c", None), ("a_", "c", None)]
+    names = [table_name(*a) for a in apart]
+    assert len(set(names)) == len(names) and all(re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", n) for n in names)
+    for text in ("SELECT 1; DROP TABLE t", "SELECT * FROM t WHERE x = 'a' /* ; */; SELECT 2", "/* SELECT */ UPDATE t"):
+        with pytest.raises(UnsafeQueryError):
+            check_read_query(text)
+    for text in ("SELECT 'a--b; drop' AS s -- drop", "WITH x AS (SELECT 'update') SELECT * FROM x;", 'SELECT "delete" FROM `drop`'):
+        assert check_read_query(text) == text
     with pytest.raises(UnsafeQueryError):
         read_jdbc_query(spark, {}, "DELETE FROM t")
 
