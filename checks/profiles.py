@@ -133,6 +133,18 @@ def box(spark, sf):
         {c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
+@query("box_stats_many", """
+    WITH q AS (SELECT l_partkey, COUNT(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median,
+                      quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY l_partkey)
+    SELECT l_partkey, n, ROUND(q1, 4) AS q1, ROUND(median, 4) AS median, ROUND(q3, 4) AS q3,
+           COUNT(*) FILTER (WHERE NOT l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
+    FROM lineitem JOIN q USING (l_partkey) GROUP BY ALL""")
+def box_many(spark, sf):
+    """A box per part: many groups of few rows."""
+    return box_stats(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice").select(
+        "l_partkey", "n", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "outliers")
+
+
 @query("scatter_points", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem")
 def scatter(spark, sf):
     return scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
@@ -155,6 +167,17 @@ def describe(spark, sf):
          **{c: F.round(c, 4) for c in ("q25", "median", "q75")}})
 
 
+@query("describe_null_column", f"""
+    {described('l_quantity')} UNION ALL
+    SELECT 'nothing', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
+def describe_null(spark, sf):
+    """A column without a single value is described as well."""
+    items = table(spark, sf, "lineitem").select("l_quantity", F.lit(None).cast("double").alias("nothing"))
+    return describe_numeric(items).withColumns(
+        {"mean": F.round("mean", 6), "std": F.round("std", 6),
+         **{c: F.round(c, 4) for c in ("q25", "median", "q75")}})
+
+
 @query("correlation_matrix", """
     SELECT 'l_quantity' AS column_a, 'l_discount' AS column_b, ROUND(corr(l_quantity, l_discount), 6) AS corr FROM lineitem
     UNION ALL SELECT 'l_quantity', 'l_extendedprice', ROUND(corr(l_quantity, l_extendedprice), 6) FROM lineitem
@@ -235,10 +258,22 @@ def gold_describe_fallback(spark, sf):
          **{c: F.round(c, 4) for c in ("q25", "median", "q75")}})
 
 
+def text_summary(column):
+    return f"""
+        SELECT '{column}' AS column, CAST(SUM(n) AS BIGINT) AS count, COUNT(*) AS unique, arg_min(v, (-n, v)) AS top, MAX(n) AS freq
+        FROM (SELECT {column} AS v, COUNT(*) AS n FROM orders GROUP BY {column})"""
+
+
+@query("gold_text_only", " UNION ALL ".join(map(text_summary, ("o_orderstatus", "o_orderpriority"))))
+def gold_text_only(spark, sf):
+    return rollup_sums(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+
+
 def sales(spark, sf):
     return money(preset_over(table(spark, sf, "orders"), "o_orderkey", "ecommerce"), "amount")
 
 
+# The published starter's filter, groups and names.
 STARTER = f"""
     SELECT country, category, COUNT(order_id) AS total_orders, {total('amount')} AS total_revenue
     FROM ({ECOMMERCE}) WHERE amount > 50.0 GROUP BY country, category"""

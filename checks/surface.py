@@ -7,7 +7,7 @@ from sparkelt.operators.profile import aggregate_series
 from sparkelt.plans.flow import Flow, Place
 from sparkelt.plans.runlog import run_transform
 from sparkelt.plans.sql import pandas_group_transform, pandas_transform, schema_report, sql_transform
-from sparkelt.sources.memory import write_memory
+from sparkelt.sources.memory import read_memory, write_memory
 
 from .registry import money, query, scratch, table, total
 
@@ -88,6 +88,21 @@ def flow_run(spark, sf):
     return outputs["sink"].select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
+@query("flow_named_sink", """
+    SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000""")
+def flow_named_sink(spark, sf):
+    """A flow between named tables: its output is one of them."""
+    write_memory(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), PLACE.tenant, "plain", PLACE.project)
+    spec = {
+        "nodes": [{"id": "in", "type": "input", "config": {"key": "plain"}},
+                  {"id": "big", "type": "filter", "config": {"condition": "o_totalprice > 1000"}},
+                  {"id": "out", "type": "output", "config": {"key": "large"}}],
+        "edges": [{"source": "in", "target": "big"}, {"source": "big", "target": "out"}],
+    }
+    Flow(spec).run(spark, PLACE)
+    return read_memory(spark, PLACE.tenant, "large", PLACE.project)
+
+
 @query("preview_node", """
     SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 ORDER BY o_orderkey LIMIT 100""")
 def preview(spark, sf):
@@ -169,6 +184,12 @@ def json_scalar(spark, sf):
                          "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM data")
 
 
+LITERALS = """
+    SELECT event_id, 'a/*b*/c' AS slashes, 'a--b' AS dashes, 'update; drop' AS words /* a comment */
+    FROM data WHERE event_type <> 'insert' -- the end"""
+sql_query("sql_literals", "events", LITERALS + "\n", EVENT)
+
+
 # -- user code --------------------------------------------------------------
 
 @query("udf_map_in_pandas", "SELECT l_orderkey, l_linenumber, l_quantity * l_quantity AS squared FROM lineitem")

@@ -1,10 +1,11 @@
 """Column profiles, chart series, histograms and distribution summaries."""
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Window, functions as F, types as T
 
-from .relational import is_small, join_few, top_k
+from .relational import top_k
 
 BANDS = 1024  # per doubling of a value
 
@@ -88,9 +89,11 @@ def aggregate_series(df, x, y, measure="SUM", k=15, order=None):
 def histogram(df, column, bins=8):
     """Equal-width bins (bin, lower, upper, n); the last bin is closed, empty bins are kept.
 
-    Equal values give a single bin, no values give none.
+    Equal values give a single bin, no values and text columns give none.
     """
     v = F.col("_v")
+    if not is_numeric(df, column):
+        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
     values = df.where(_is_known(df, column)).select(F.col(f"`{column}`").cast("double").alias("_v"))
     span = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")))
     lo, hi = span.scalar()["lo"], span.scalar()["hi"]
@@ -122,23 +125,26 @@ def _band(value):
 
 
 def _grouped_values(df, group, column):
-    known = df.where(_is_known(df, column)).dropna(subset=group)
-    return known.select(*group, F.col(f"`{column}`").cast("double").alias("_v"))
+    """The values without nulls, in ``_v``, by groups without nulls, in ``_g0`` and on."""
+    known = df.where(_is_known(df, column)).select(
+        *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)], F.col(f"`{column}`").cast("double").alias("_v"))
+    return known.dropna(subset=[f"_g{i}" for i in range(len(group))])
 
 
-def exact_quantiles(df, group, column, probabilities, few=10_000, sortable=1_000_000):
+def exact_quantiles(df, group, column, probabilities):
     """Exact interpolated quantiles per group: (group…, n, q0, q1, …).
 
     ``percentile`` holds all distinct values of a group in one task. Here a
     first pass counts the rows per band of values, and running totals over the
-    bands tell which band holds each wanted rank. Another pass reads only
-    those bands and sorts them.
-
-    On a large table, up to ``few`` such bands are broadcast to that pass, and
-    bands of more than ``sortable`` rows are first cut into finer ones.
+    bands tell which band holds each wanted rank. A second pass cuts those
+    bands into finer ones, and a third reads and sorts only the finer bands that
+    hold a rank. All of it is one lazy plan: adaptive execution broadcasts the
+    bands where they are few and splits a hot band where they are not. A group
+    column named like a result keeps its name, and the result gets a trailing underscore.
     """
-    group = [group] if isinstance(group, str) else list(group)
-    values = _grouped_values(df, group, column).withColumn("_band", _band(F.col("_v")))
+    names = [group] if isinstance(group, str) else list(group)
+    group = [f"_g{i}" for i in range(len(names))]
+    values = _grouped_values(df, names, column).withColumn("_band", _band(F.col("_v")))
     total = F.col("_total")
     at = [(total - 1) * F.lit(float(p)) for p in probabilities]
     ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
@@ -148,13 +154,7 @@ def exact_quantiles(df, group, column, probabilities, few=10_000, sortable=1_000
     bands = _holding_ranks(
         counted.withColumns({"_total": F.sum("_c").over(Window.partitionBy(*group)), "_before": F.lit(0)})
         .withColumn("_ranks", ranks), group, "_band")
-    if not is_small(values):
-        found = bands.limit(few + 1).collect()
-        while len(found) <= few:
-            bands = F.broadcast(df.sparkSession.createDataFrame(found, bands.schema))
-            if all(r["_c"] <= sortable or r["_lo"] == r["_hi"] for r in found):
-                break
-            found = _finer(values, bands, group).collect()
+    bands = _finer(values, bands, group)
 
     state = [*group, "_band", "_lo", "_hi", "_total", "_before", "_ranks"]
     ordered = _in_bands(values, bands.select(*state), group).groupBy(*state, "_v").agg(F.count("*").alias("_c"))
@@ -169,8 +169,16 @@ def exact_quantiles(df, group, column, probabilities, few=10_000, sortable=1_000
     quantiles = []
     for i, a in enumerate(at):
         low, high = [F.col("_at")[f(a).cast("long")] for f in (F.floor, F.ceil)]
-        quantiles.append((low + (high - low) * (a - F.floor(a))).alias(f"q{i}"))
-    return found.select(*group, total.alias("n"), *quantiles)
+        quantiles.append((low + (high - low) * (a - F.floor(a))).alias(_apart(f"q{i}", names)))
+    return found.select(*_named(group, names), total.alias(_apart("n", names)), *quantiles)
+
+
+def _named(group, names):
+    return [F.col(g).alias(n) for g, n in zip(group, names)]
+
+
+def _apart(name, taken):
+    return f"{name}_" if name in taken else name
 
 
 def _holding_ranks(counted, within, order):
@@ -202,30 +210,33 @@ def _finer(values, bands, group, parts=1024):
     return kept.drop("_lo", "_part").withColumnRenamed("_from", "_lo").select(*bands.columns)
 
 
-def box_stats(df, x, y, few=10_000):
+def box_stats(df, x, y):
     """Box plot per x: quartiles, whiskers at the last values within 1.5 IQR, outlier count.
 
-    Up to ``few`` boxes are broadcast to a last pass over the values; more are joined.
+    A statistic named like ``x`` gets a trailing underscore.
     """
-    quartiles = exact_quantiles(df, x, y, (0.25, 0.5, 0.75), few)
+    plain = df.select(F.col(f"`{x}`").alias("_x"), F.col(f"`{y}`").alias("_y"))
+    quartiles = exact_quantiles(plain, "_x", "_y", (0.25, 0.5, 0.75))
     reach = (F.col("q2") - F.col("q0")) * 1.5
     fences = quartiles.withColumns({"_low": F.col("q0") - reach, "_high": F.col("q2") + reach})
-    values = join_few(_grouped_values(df, [x], y), fences, [x], few)
+    values = _grouped_values(plain, ["_x"], "_y").join(fences.withColumnRenamed("_x", "_g0"), "_g0")
     within = F.col("_v").between(F.col("_low"), F.col("_high"))
     named = {"n": "n", "q0": "q1", "q1": "median", "q2": "q3"}
-    return values.groupBy(x).agg(
-        *[F.first(c).alias(name) for c, name in named.items()],
-        F.min(F.when(within, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(within, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~within).alias("outliers"),
+    boxes = values.groupBy("_g0").agg(
+        *[F.first(c).alias(_apart(name, [x])) for c, name in named.items()],
+        F.min(F.when(within, F.col("_v"))).alias(_apart("whisker_low", [x])),
+        F.max(F.when(within, F.col("_v"))).alias(_apart("whisker_high", [x])),
+        F.count_if(~within).alias(_apart("outliers", [x])),
     )
+    return boxes.withColumnRenamed("_g0", x)
 
 
 def kde_grid(df, column, points=200):
     """Gaussian density at equal steps from the minimum to the maximum (point, x, density).
 
     Exact over all rows, with Scott's bandwidth: equal values are counted
-    once and their kernel weighted with the count.
+    once and their kernel weighted with the count. The sums at all points are
+    one aggregate. Fewer than two different values have no density.
     """
     counted = value_counts(df, column)
     v, c = F.col("_v"), F.col("_c")
@@ -235,17 +246,17 @@ def kde_grid(df, column, points=200):
     base = lambda: first.select(around).scalar()
     spread = counted.agg(F.sum(c * F.pow(v - base()["mean"], F.lit(2))).alias("ss"))
     n, lo, hi = base()["n"], base()["lo"], base()["hi"]
-    width = F.sqrt(spread.scalar() / (n - 1)) * F.pow(n.cast("double"), F.lit(-0.2))
-    step = (hi - lo) / (points - 1)
-    at = lo + F.col("point") * step
-    kernel = F.exp(F.pow((at - v) / width, F.lit(2)) * -0.5)
-    return (
-        counted.where(width > 0)
-        .select("_v", "_c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy("point").agg(F.sum(c * kernel).alias("_sum"))
-        .select("point", at.alias("x"),
-                (F.col("_sum") / (n * width * F.sqrt(F.lit(2) * F.pi()))).alias("density"))
-    )
+    width = F.sqrt(spread.scalar() / F.nullif(n - 1, F.lit(0))) * F.pow(n.cast("double"), F.lit(-0.2))
+    step = (hi - lo) / max(points - 1, 1)
+    scale = n * width * F.sqrt(F.lit(2) * F.pi())
+    # the scalars become columns once, not once per point
+    spots = counted.where(width > 0).select(
+        "_v", "_c", lo.alias("_lo"), step.alias("_step"), width.alias("_width"), scale.alias("_scale"))
+    at = [F.col("_lo") + F.lit(k) * F.col("_step") for k in range(points)]
+    kernels = [F.sum(c * F.exp(F.pow((x - v) / F.col("_width"), F.lit(2)) * -0.5)).alias(f"_s{k}") for k, x in enumerate(at)]
+    sums = spots.agg(*[F.max(s).alias(s) for s in ("_lo", "_step", "_scale")], *kernels)
+    rows = [F.struct(F.lit(k).alias("point"), x.alias("x"), (F.col(f"_s{k}") / F.col("_scale")).alias("density")) for k, x in enumerate(at)]
+    return sums.select(F.inline(F.array(*rows))).where("density IS NOT NULL")
 
 
 def scatter_points(df, x, y):
@@ -255,22 +266,49 @@ def scatter_points(df, x, y):
 
 
 def describe_numeric(df):
-    """One row per numeric column: count, mean, std, min, quartiles, max (all exact)."""
+    """One row per numeric column: count, mean, std, min, quartiles, max (all exact).
+
+    A column without a value has the count 0 and nulls. The moments of all
+    columns are one aggregate over the wide table.
+    """
     columns = numeric_columns(df)
-    wide = df.select(*[_known(df, c).cast("double").alias(c) for c in columns])
-    tall = wide.unpivot([], columns, "column", "value").where("value IS NOT NULL")
-    stats = tall.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, max double, "
+                                               "q25 double, median double, q75 double")
+    wide = df.select(*[_known(df, c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    moments = wide.agg(*[
+        F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                 F.min(v).alias("min"), F.max(v).alias("max")).alias(v)
+        for v, c in zip(wide.columns, columns)])
+    stats = moments.select(F.inline(F.array(*moments.columns)))
+    tall = wide.withColumnsRenamed(dict(zip(wide.columns, columns))).unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value")
     quartiles = exact_quantiles(tall, "column", "value", (0.25, 0.5, 0.75)).drop("n")
     # both sides have one row per column of the table
     quartiles = quartiles.select(
         "column", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"))
-    return stats.join(quartiles, "column")
+    return stats.join(quartiles, "column", "left")
+
+
+def describe_text(df):
+    """One row per column that is not numeric: count, unique, top (the first by name of the most frequent) and freq."""
+    parts = []
+    for c in (c for c in df.columns if not is_numeric(df, c)):
+        values = df.select(F.col(f"`{c}`").cast("string").alias("v")).where("v IS NOT NULL")
+        counts = values.groupBy("v").agg(F.count("*").alias("n"))
+        parts.append(counts.agg(
+            F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("*").alias("unique"),
+            F.min(F.struct((-F.col("n")).alias("down"), "v")).alias("best")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, count long, unique long, top string, freq long")
+    best = F.col("best")
+    return reduce(lambda a, b: a.union(b), parts).select(
+        "column", "count", "unique", best["v"].alias("top"), (-best["down"]).alias("freq"))
 
 
 def correlation_matrix(df, columns):
-    """Pearson correlation of every pair of columns, in one pass."""
+    """Pearson correlation of every pair of columns, in one pass; fewer than two columns have no pair."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
     both = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                      F.corr(_known(df, a).cast("double"), _known(df, b).cast("double")).alias("corr"))
             for a, b in combinations(columns, 2)]
@@ -342,13 +380,15 @@ def _first_category(df):
 def rollup_sums(df):
     """Sums of all numeric columns per value of the first other column.
 
-    Without a category or a number, the description of the numeric columns.
+    Without a category the description of the numeric columns, without a number that of the others.
     """
     category, numbers = _first_category(df), numeric_columns(df)
-    if category is None or not numbers:
+    if not numbers:
+        return describe_text(df)
+    if category is None:
         return describe_numeric(df)
     clean = df.where(F.col(f"`{category}`").isNotNull())
-    return clean.groupBy(category).agg(
+    return clean.groupBy(F.col(f"`{category}`").alias(category)).agg(
         *[F.coalesce(F.sum(_known(df, c)).cast("double"), F.lit(0.0)).alias(c) for c in numbers])
 
 
@@ -363,5 +403,5 @@ def rollup_first(df, order=None):
             raise ValueError("the first rows need an order")
         return df.orderBy(*order).limit(10)
     v = _known(df, numbers[0])
-    return df.where(F.col(f"`{category}`").isNotNull()).groupBy(category).agg(
+    return df.where(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").alias(category)).agg(
         F.count(v).alias("count"), _mean(v).cast("double").alias("mean"), F.sum(v).cast("double").alias("sum"))

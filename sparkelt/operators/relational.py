@@ -190,29 +190,12 @@ def _salt(df, keys, hot, other_hot, salts, side):
     )
 
 
-def join_few(large, few, keys, rows=10_000):
-    """Join a large table to one of narrow rows with unique keys that is likely to be short.
-
-    If it has at most ``rows`` rows it is broadcast, else both are shuffled. Its
-    plan is run to find out, unless the large table is small itself.
-    """
-    if is_small(large):
-        return large.join(few, keys)
-    found = few.limit(rows + 1).collect()
-    if len(found) <= rows:
-        return large.join(F.broadcast(few.sparkSession.createDataFrame(found, few.schema)), keys)
-    return join_frames(large, few, keys, hot_sides=("left",))
-
-
 def left_and_right(inputs):
-    """Join inputs: by the names ``left`` and ``right``, else in order."""
-    if isinstance(inputs, dict):
-        if {"left", "right"} <= set(inputs):
-            return inputs["left"], inputs["right"]
-        inputs = list(inputs.values())
-    if len(inputs) != 2:
+    """The two inputs of a join, by port: ``left`` and ``right``, or whatever two ports there are, in order."""
+    if len(inputs) != 2 and not inputs.keys() >= {"left", "right"}:
         raise ValueError(f"a join needs a left and a right input, got {len(inputs)}")
-    return tuple(inputs)
+    first, second = (["left", "right"] if inputs.keys() >= {"left", "right"} else inputs)
+    return inputs[first], inputs[second]
 
 
 # -- unions, limits ---------------------------------------------------------

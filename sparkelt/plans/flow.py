@@ -16,8 +16,8 @@ from ..errors import CycleInFlowError, FlowError
 from ..operators.conditions import safe_filter
 from ..operators.relational import join_frames, left_and_right, transform_columns, union_frames
 from ..sources.files import read_dataset, write_dataset, write_through
-from ..sources.memory import read_memory
-from ..sources.paths import scoped_path, shared_dir
+from ..sources.memory import read_memory, write_memory
+from ..sources.paths import remove, scoped_path, shared_dir
 
 LOG_SCHEMA = "node_id string, status string, duration_ms double, rows long, error string"
 
@@ -38,6 +38,15 @@ class Place:
     def path(self, key):
         return scoped_path(self.base, self.tenant, key, self.project)
 
+    def write(self, spark, df, key):
+        """Write a sink and hand back what was written."""
+        if self.base is None:
+            write_memory(df, self.tenant, key, self.project)
+            return self.read(spark, key)
+        path = self.path(key)
+        write_dataset(df, path)
+        return read_dataset(spark, path, schema=df.schema)
+
 
 def _only(inputs, kind):
     frames = list(inputs.values())
@@ -84,13 +93,15 @@ KINDS = {
 
 
 class Flow:
-    """A checked spec: ``{"nodes": [{"id", "type", "config"}], "edges": [{"source", "target", "target_port"}]}``."""
+    """A checked spec (its shape is a fixed value): ``{"nodes": [{"id", "type", "config"}], "edges": [{"source", "target", "target_port"}]}``."""
 
     def __init__(self, spec):
         self.kind, self.config, self.feeds = {}, {}, {}
         for node in spec.get("nodes", []):
             data = node.get("data", {})
             kind = data.get("type") or node.get("type")
+            if node["id"] in self.kind:
+                raise ValueError(f"two nodes with the id {node['id']!r}")
             if kind not in KINDS:
                 raise ValueError(f"unknown type {kind!r} of node {node['id']!r}")
             self.kind[node["id"]] = kind
@@ -106,12 +117,18 @@ class Flow:
             if port in feeds:
                 raise ValueError(f"two edges into port {port!r} of node {target!r}")
             feeds[port] = source
+        targets = [self._key(n) for n, kind in self.kind.items() if kind.startswith("output")]
+        if len(targets) > len(set(targets)):
+            raise ValueError(f"two outputs write one dataset: {sorted(k for k in targets if targets.count(k) > 1)[0]!r}")
         try:
             self.order = list(TopologicalSorter(
                 {n: feeds.values() for n, feeds in self.feeds.items()}).static_order())
         except CycleError as error:
             raise CycleInFlowError(f"nodes in a circle: {error.args[1]}") from error
 
+    def _key(self, node):
+        return (self.config[node].get("key") or self.config[node].get("path", "")).strip().strip("/")
+
     def ancestors(self, node):
         if node not in self.kind:
             raise ValueError(f"no node {node!r} in the flow")
@@ -137,17 +154,22 @@ class Flow:
         }
 
     def build(self, spark, place, only=None, after=None):
-        """Lazy DataFrames by node id; ``after`` may replace each one as it is made."""
-        frames = {}
+        """Lazy DataFrames by node id; ``after`` may replace each one as it is made.
+
+        A failure carries the log: the nodes that were made, then the failed one.
+        """
+        frames, log = {}, []
         for node in self.order:
             if only is not None and node not in only:
                 continue
             inputs = {port: frames[source] for port, source in self.feeds[node].items()}
+            begun = time.perf_counter()
             try:
                 made = KINDS[self.kind[node]](self.config[node], inputs, spark, place)
+                frames[node] = after(node, made) if after else made
             except Exception as error:
-                raise FlowError(f"node {node!r} failed: {error}", [_failed(node, error)]) from error
-            frames[node] = after(node, made) if after else made
+                raise FlowError(f"node {node!r} failed: {error}", [*log, _failed(node, error, _since(begun))]) from error
+            log.append((node, "succeeded", _since(begun), None, None))
         return frames
 
     def preview(self, spark, place, node, n=100, order=None):
@@ -165,31 +187,38 @@ class Flow:
     def run(self, spark, place, count_all=False):
         """Write every sink; returns ``(outputs, log)``.
 
-        Outputs are re-read from what was written. The log has one row per
+        Outputs are re-read from what was written; without a base path they
+        become named tables of the session. The log has one row per
         node; sinks carry the number of rows they wrote. ``count_all`` adds
         the rows of the other nodes by a query of its own: counts taken on the
         way would include the rows of tasks that Spark had to run twice. A
-        node that several sinks share is written once to the shared folder. A
-        failure carries the log so far.
+        node that several file sinks share is written once to the shared folder and
+        removed after the run. A failure carries the log so far.
         """
-        if place.base is None:
-            raise ValueError("a run writes files and needs a base path")
-        shared, log, outputs = self.shared(), [], {}
+        copies, log, outputs = [], [], {}
+        shared = self.shared() if place.base is not None else set()
 
         def keep_shared(node, df):
-            return write_through(df, shared_dir(spark, node) + ".parquet") if node in shared else df
+            if node not in shared:
+                return df
+            copies.append(shared_dir(spark, node) + ".parquet")
+            return write_through(df, copies[-1])
+
+        try:
+            return self._write(spark, place, self.build(spark, place, after=keep_shared), count_all, log, outputs)
+        finally:
+            for copy in copies:
+                remove(spark, copy)
 
-        frames = self.build(spark, place, after=keep_shared)
+    def _write(self, spark, place, frames, count_all, log, outputs):
         for node in self.outputs():
-            path = place.path(self.config[node].get("key") or self.config[node].get("path", ""))
             begun = time.perf_counter()
             try:
-                write_dataset(frames[node], path)
-                outputs[node] = read_dataset(spark, path, schema=frames[node].schema)
+                outputs[node] = place.write(spark, frames[node], self._key(node))
                 rows = outputs[node].count()
             except Exception as error:
-                log.append(_failed(node, error, _since(begun)))
-                raise FlowError(f"node {node!r} failed: {error}", log) from error
+                made = [(n, "succeeded", None, None, None) for n in frames if n not in outputs and n != node and not self.kind[n].startswith("output")]
+                raise FlowError(f"node {node!r} failed: {error}", [*made, *log, _failed(node, error, _since(begun))]) from error
             log.append((node, "succeeded", _since(begun), rows, None))
         others = [n for n in self.order if n not in outputs]
         counted = {}
@@ -202,8 +231,12 @@ class Flow:
 
 
 def _counts(frames):
-    """Row count per node, as one query (node_id, rows)."""
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("node_id"), "rows") for n, df in frames.items()]
+    """Row count per node, as one query (node_id, rows); nodes that pass a table through are counted with it."""
+    same = {}
+    for node, df in frames.items():
+        same.setdefault(id(df), (df, []))[1].append(node)
+    counts = [df.agg(F.count("*").alias("rows")).select(F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node_id"), "rows")
+              for df, nodes in same.values()]
     return counts[0] if len(counts) == 1 else union_frames(*counts)
 
 

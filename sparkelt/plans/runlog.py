@@ -18,7 +18,7 @@ ENGINES = {"sql": sql_transform, "filter": safe_filter}
 
 
 def run_transform(df, engine, code, tenant, project="default", user="default", function=None, limit=100,
-                  order=None, path=None):
+                  order=None, path=None, log_path=None):
     """Run a transform and describe the run.
 
     ``engine`` is ``sql``, ``filter`` or ``function`` (then ``function`` is a
@@ -26,7 +26,8 @@ def run_transform(df, engine, code, tenant, project="default", user="default", f
     the lazy result, at most ``limit`` rows of it, and one row with status,
     size, capacity and signature. A failed transform gives no result and a
     record with the redacted error. With ``path`` the result is written there
-    and measured and returned as written, so that it is computed once.
+    and measured and returned as written, so that it is computed once. With
+    ``log_path`` the record is appended to the run log there (Parquet) and read back.
     """
     spark = df.sparkSession
     begun, stamp = time.perf_counter(), time.time()
@@ -56,4 +57,8 @@ def run_transform(df, engine, code, tenant, project="default", user="default", f
     report = measured.select("timestamp", "column_count", "memory_mb", "tier", "spark_equivalent_cu",
                              "cost_avoidance_usd", "governor_action",
                              F.when(F.col("error").isNotNull(), redact(F.col("error"), strict=True)).alias("error"))
-    return result, sample, sign(measured).join(report, "timestamp")
+    record = sign(measured).join(report, "timestamp")
+    if log_path:
+        record.write.mode("append").parquet(log_path)
+        record = spark.read.schema(record.schema).parquet(log_path).where(F.col("timestamp") == stamp)
+    return result, sample, record

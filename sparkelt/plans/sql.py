@@ -1,27 +1,87 @@
 """SQL over one table."""
 
+import threading
+
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
-from ..functions.validation import check_read_query
+from ..errors import UnsafeQueryError
 
 VIEW = "data"
+#: Functions that call into the JVM.
+CALLS_OUT = {"reflect", "java_method", "try_reflect"}
+
+_naming = threading.Lock()
+
+
+def _items(java_list):
+    return [java_list.apply(i) for i in range(java_list.size())]
+
+
+def _is(node, name):
+    return node.getClass().getSimpleName().rstrip("$") == name
+
+
+def _check_expression(expression):
+    if _is(expression, "UnresolvedFunction"):
+        called = expression.nameParts().last().lower()
+        if called in CALLS_OUT:
+            raise UnsafeQueryError(f"the function {called} is not allowed")
+    for child in _items(expression.children().toIndexedSeq()):
+        _check_expression(child)
+
+
+def _check_plan(plan, known):
+    """Only the table ``data`` and the query's own named parts may be read."""
+    if _is(plan, "UnresolvedWith"):
+        known = set(known)
+        for entry in _items(plan.cteRelations().toIndexedSeq()):
+            _check_plan(entry._2(), known)
+            known.add(entry._1().lower())
+    if _is(plan, "UnresolvedRelation"):
+        parts = _items(plan.multipartIdentifier().toIndexedSeq())
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise UnsafeQueryError(f"only the table {VIEW!r} can be read, not {'.'.join(parts)!r}")
+    for expression in _items(plan.expressions().toIndexedSeq()):
+        _check_expression(expression)
+    for inner in (*_items(plan.children().toIndexedSeq()), *_items(plan.subqueries().toIndexedSeq())):
+        _check_plan(inner, known)
+
+
+def check_confined(spark, query):
+    """Refuse a text that is not one query over ``data`` alone, as Spark's own parser reads it."""
+    if not (query or "").strip():
+        raise UnsafeQueryError("the query is empty")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except ParseException as error:
+        raise UnsafeQueryError(f"not one SQL query: {error}") from error
+    if _is(plan, "ExplainCommand"):
+        plan = plan.logicalPlan()
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    if command.isInstance(plan) or plan.getClass().getSimpleName().startswith(("Insert", "Update", "Delete", "Merge", "Create", "Replace")):
+        raise UnsafeQueryError("only queries are allowed")
+    _check_plan(plan, {VIEW})
 
 
 def sql_transform(df, query):
-    """Run one read-only statement over ``df``, which it sees as the table ``data``.
+    """Run one read-only query over ``df``, which it sees as the table ``data``, and nothing else.
 
-    The name is bound while Spark analyses the text and given back afterwards.
+    The text runs as it is given. Its name for the table is bound while Spark
+    analyses it, by one caller at a time, and given back afterwards.
     """
     spark = df.sparkSession
-    statement = check_read_query(query)
-    before = spark.table(VIEW) if spark.catalog.tableExists(VIEW) else None
-    df.createOrReplaceTempView(VIEW)
-    try:
-        return spark.sql(statement)
-    finally:
-        spark.catalog.dropTempView(VIEW)
-        if before is not None:
-            before.createOrReplaceTempView(VIEW)
+    check_confined(spark, query)
+    with _naming:
+        found = spark.catalog.getTable(VIEW) if spark.catalog.tableExists(VIEW) else None
+        before = spark.table(VIEW) if found is not None and found.isTemporary else None
+        df.createOrReplaceTempView(VIEW)
+        try:
+            return spark.sql(query)
+        finally:
+            spark.catalog.dropTempView(VIEW)
+            if before is not None:
+                before.createOrReplaceTempView(VIEW)
 
 
 def pandas_transform(df, function, schema):

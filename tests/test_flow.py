@@ -6,7 +6,7 @@ from conftest import plan, rows
 from sparkelt.errors import CycleInFlowError, FlowError, UnsafeQueryError
 from sparkelt.plans.flow import Flow, Place
 from sparkelt.plans.sql import pandas_transform, schema_report, sql_transform, user_transform
-from sparkelt.sources.memory import write_memory
+from sparkelt.sources.memory import read_memory, write_memory
 
 
 def spec(nodes, edges):
@@ -73,14 +73,47 @@ def test_failures_name_the_node(spark, place):
     absent = spec([("in", "input", {"key": "absent.parquet"})], [])
     with pytest.raises(FlowError, match="'in'"):
         Flow(absent).build(spark, place)
-    with pytest.raises(ValueError):
-        Flow(CHAIN).run(spark, Place("tenant-a"))
+
+
+def test_earlier_nodes_stay_in_the_log_of_a_failure(spark, place):
+    bad = spec([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "missing == 1"})], [("in", "f")])
+    with pytest.raises(FlowError) as failure:
+        Flow(bad).build(spark, place)
+    assert [entry[:2] for entry in failure.value.log] == [("in", "succeeded"), ("f", "failed")]
+    late = spec([("in", "input", {"key": "in.parquet"}), ("t", "transform", {"rename_columns": {"value": "a,b;"}}),
+                 ("out", "output", {"key": "../x"})], [("in", "t"), ("t", "out")])
+    with pytest.raises(FlowError) as failure:
+        Flow(late).run(spark, place)
+    assert [entry[:2] for entry in failure.value.log] == [("in", "succeeded"), ("t", "succeeded"), ("out", "failed")]
+
+
+def test_named_sinks_and_copies_that_go(spark, place, tmp_path, monkeypatch):
+    write_memory(spark.range(4).toDF("value"), "t9", "from")
+    graph = spec([("in", "input", {"key": "from"}), ("f", "filter", {"condition": "value >= 2"}), ("out", "output", {"key": "to"})],
+                 [("in", "f"), ("f", "out")])
+    outputs, log = Flow(graph).run(spark, Place("t9"))
+    assert outputs["out"].count() == 2 and rows(read_memory(spark, "t9", "to")) == [(2,), (3,)]
+    assert rows(log.where("node_id = 'out'"), "rows") == [(2,)]
+    monkeypatch.setattr("sparkelt.plans.flow.shared_dir", lambda spark, name: str(tmp_path / "shared" / name))
+    two = spec([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "value >= 2"}), ("a", "output", {"key": "a.parquet"}),
+                ("b", "output", {"key": "b.parquet"})], [("in", "f"), ("f", "a"), ("f", "b")])
+    outputs, _ = Flow(two).run(spark, place, count_all=True)
+    assert outputs["a"].count() == 2 and outputs["b"].count() == 2
+    assert not [p for p in (tmp_path / "shared").glob("*") if p.is_dir()]
+
+
+def test_a_pass_through_node_is_counted_with_its_input(spark, place):
+    counts = Flow(CHAIN).node_counts(spark, place)
+    assert plan(counts).count("FileScan") == 2
+    assert dict(map(tuple, counts.collect())) == {"in": 3, "f": 1, "out": 1}
 
 
 @pytest.mark.parametrize("nodes, edges, error", [
     ([("a", "filter", {}), ("b", "filter", {})], [("a", "b"), ("b", "a")], CycleInFlowError),
     ([("a", "input", {})], [("a", "b")], ValueError), ([("a", "pivot", {})], [], ValueError),
     ([("a", "input", {}), ("b", "input", {}), ("j", "join", {})], [("a", "j", "left"), ("b", "j", "left")], ValueError),
+    ([("a", "input", {}), ("a", "input", {})], [], ValueError),
+    ([("a", "input", {}), ("b", "output", {"key": "x"}), ("c", "output", {"path": "/x"})], [("a", "b"), ("a", "c")], ValueError),
 ])
 def test_bad_specs(nodes, edges, error):
     with pytest.raises(error):
@@ -121,14 +154,33 @@ def test_filter_reaches_the_scan_through_a_flow(spark, place):
 # -- SQL and user code ------------------------------------------------------
 
 def test_sql(spark):
-    df = spark.createDataFrame([("USA", 100.0), ("USA", 200.0), ("Canada", 50.0)], "country string, amount double")
-    out = sql_transform(df, "SELECT country, SUM(amount) AS total FROM data GROUP BY country ORDER BY total DESC;")
-    assert [tuple(r) for r in out.collect()] == [("USA", 300.0), ("Canada", 50.0)]
+    df = spark.createDataFrame([("oak", 7.0), ("oak", 5.0), ("elm", 2.0)], "tree string, height double")
+    out = sql_transform(df, "SELECT tree, SUM(height) AS total FROM data GROUP BY tree ORDER BY total DESC;")
+    assert [tuple(r) for r in out.collect()] == [("oak", 12.0), ("elm", 2.0)]
     for text in ("DROP TABLE data", "SELECT 1; SELECT 2", "", "INSERT INTO data VALUES (1)"):
         with pytest.raises(UnsafeQueryError):
             sql_transform(df, text)
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM `mem:tenant-b/private`", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM data JOIN other", "SELECT (SELECT MAX(a) FROM other) FROM data",
+    "WITH x AS (SELECT * FROM other) SELECT * FROM x", "SELECT * FROM data WHERE id IN (SELECT id FROM secret.t)",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM data", "SELECT 1 + length(java_method('a', 'b')) FROM data",
+    "SELECT try_reflect('a', 'b')", "CREATE TABLE x AS SELECT * FROM data", "EXPLAIN SELECT * FROM other", "SET x = 1", "SELECT 1; SELECT 2",
+    "SELECT * FROM (SELECT * FROM data UNION ALL SELECT * FROM `data`.`x`)", "TRUNCATE TABLE data", "SELECT * FROM VALUES (1) AS t(a), other",
+])
+def test_sql_reads_nothing_else(spark, text):
+    with pytest.raises(UnsafeQueryError):
+        sql_transform(spark.range(2), text)
+
+
+def test_sql_runs_the_text_as_it_is(spark):
+    text = "WITH a AS (SELECT id, 'a/*b*/c' AS s, 'x--y; update' AS t FROM data), b AS (SELECT * FROM a) SELECT s, t FROM b /* drop */ WHERE id = 1 -- end"
+    assert rows(sql_transform(spark.range(3), text)) == [("a/*b*/c", "x--y; update")]
+    assert rows(sql_transform(spark.range(3), "SELECT DATA.id FROM Data WHERE id IN (SELECT MAX(id) FROM data)")) == [(2,)]
+    assert sql_transform(spark.range(3), "EXPLAIN SELECT * FROM data").count() == 1
+
+
 def test_sql_gives_the_name_back(spark):
     spark.range(7).createOrReplaceTempView("data")
     late = sql_transform(spark.range(3), "SELECT COUNT(*) AS n FROM data")

@@ -75,6 +75,7 @@ def test_histogram(spark, sales):
     assert histogram(same.limit(0), "val").count() == 0
     gap = spark.createDataFrame([(0,), (1,), (10,), (None,)], "v int")
     assert [r["n"] for r in histogram(gap, "v", 5).orderBy("bin").collect()] == [2, 0, 0, 0, 1]
+    assert histogram(sales, "category").collect() == []
 
 
 def quantile(values, p):
@@ -84,15 +85,14 @@ def quantile(values, p):
     return low + (high - low) * (at - math.floor(at))
 
 
-@pytest.fixture(params=["small table", "few groups", "many groups"])
-def few(request):
-    """The number of rows worth a broadcast, for each way to join."""
-    if request.param != "small table":
+@pytest.fixture(params=["broadcast", "shuffled"])
+def either(request):
+    """The joins of a plan by broadcast, and by shuffle alone."""
+    if request.param == "shuffled":
         request.getfixturevalue("all_large")
-    return 0 if request.param == "many groups" else 10_000
 
 
-def test_exact_quantiles_against_brute_force(spark, few):
+def test_exact_quantiles_against_brute_force(spark, either):
     draw = random.Random(7)
     groups = {
         "normal": [draw.gauss(0, 50) for _ in range(997)],
@@ -105,27 +105,45 @@ def test_exact_quantiles_against_brute_force(spark, few):
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))],
                                "g string, v double")
     chosen = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    got = {r["g"]: r for r in exact_quantiles(df, "g", "v", chosen, few).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "g", "v", chosen).collect()}
     assert {g: r["n"] for g, r in got.items()} == {g: len(v) for g, v in groups.items()}
     for g, values in groups.items():
         assert [got[g][f"q{i}"] for i in range(len(chosen))] == [quantile(values, p) for p in chosen], g
 
 
-@pytest.mark.parametrize("sortable", [1, 20, 200])
-def test_wide_bands_are_cut(spark, all_large, sortable):
+def test_wide_bands_are_cut(spark, either):
     """Values so close that they share one band, and copies that no cut can part."""
     draw = random.Random(1)
     groups = {"close": [1e9 + draw.random() for _ in range(500)], "copies": [2.0] * 300 + [2.0000001] * 10,
               "wide": [draw.lognormvariate(0, 5) for _ in range(200)], "negative": [-5.0 - draw.random() / 1e6 for _ in range(100)]}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
     chosen = (0.0, 0.3, 0.5, 0.97)
-    for r in exact_quantiles(df, "g", "v", chosen, sortable=sortable).collect():
+    for r in exact_quantiles(df, "g", "v", chosen).collect():
         assert [r[f"q{i}"] for i in range(4)] == [quantile(groups[r["g"]], p) for p in chosen], r["g"]
 
 
-def test_box(spark, few):
+def test_box(spark, either):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100, -90]] + [("b", 7.0)], "x string, y double")
-    assert rows(box_stats(df, "x", "y", few)) == [("a", 7, 1.5, 3.0, 4.5, 1.0, 5.0, 2), ("b", 1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)]
+    assert rows(box_stats(df, "x", "y")) == [("a", 7, 1.5, 3.0, 4.5, 1.0, 5.0, 2), ("b", 1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)]
+
+
+def test_quantiles_and_boxes_run_nothing_when_planned(spark, all_large):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planned", "")
+    df = spark.range(100).selectExpr("id % 7 AS g", "CAST(id AS DOUBLE) AS v")
+    planned = box_stats(df, "g", "v")
+    assert not tracker.getJobIdsForGroup("planned")
+    assert planned.count() == 7
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["n", "q1", "a.b", "outliers"])
+def test_groups_with_awkward_names(spark, name):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0)], f"`{name}` string, v double")
+    assert [r[name] for r in box_stats(df, name, "v").collect()] == ["a"]
+    got = exact_quantiles(df, name, "v", (0.5,)).first()
+    assert got[name] == "a" and 2.0 in tuple(got) and 2 in tuple(got)
+    assert rollup_sums(df).count() == 1
 
 
 def test_kde_against_brute_force(spark):
@@ -137,7 +155,10 @@ def test_kde_against_brute_force(spark):
         want = sum(math.exp(-0.5 * ((r["x"] - v) / width) ** 2) for v in values) / (5 * width * math.sqrt(2 * math.pi))
         assert r["density"] == pytest.approx(want, rel=1e-12)
     assert [got[0]["x"], got[-1]["x"]] == [1.0, 9.0]
-    assert kde_grid(spark.createDataFrame([(4.0,)] * 3, "v double"), "v").count() == 0
+    for rows_without_density in ([(4.0,)] * 3, [(4.0,)], [(None,)], []):
+        assert kde_grid(spark.createDataFrame(rows_without_density, "v double"), "v").count() == 0
+    one = kde_grid(spark.createDataFrame([(1.0,), (2.0,)], "v double"), "v", 1).collect()
+    assert [(r["point"], r["x"]) for r in one] == [(0, 1.0)]
 
 
 def test_describe_correlation_regression_scatter(spark):
@@ -148,6 +169,12 @@ def test_describe_correlation_regression_scatter(spark):
     line = regression_trend(df, "i", "d").first()
     assert (line["n"], line["slope"], line["intercept"]) == (3, pytest.approx(2.0), pytest.approx(0.0))
     assert scatter_points(df, "i", "d").count() == 3
+    gaps = df.withColumn("none.at.all", F.lit(None).cast("double"))
+    got = {r["column"]: r for r in describe_numeric(gaps).collect()}
+    assert got["none.at.all"]["count"] == 0 and got["none.at.all"]["median"] is None and got["i"]["median"] == 2.5
+    assert {r["column"]: r["count"] for r in describe_numeric(df.limit(0)).collect()} == {"i": 0, "d": 0}
+    assert correlation_matrix(df, ["i"]).count() == 0
+    assert describe_numeric(df.select("s")).count() == 0
 
 
 def test_chart(sales):
@@ -171,6 +198,8 @@ def test_rollups(spark, sales):
     assert rows(rollup_sums(sales)) == [("Clothing", 75.0), ("Electronics", 450.0), ("Home", 75.0)]
     assert rows(rollup_first(sales))[1] == ("Electronics", 3, 150.0, 450.0)
     assert rollup_sums(sales.select("amount")).columns[0] == "column"
+    assert rows(rollup_sums(sales.select("category"))) == [("category", 6, 3, "Electronics", 3)]
+    assert rows(rollup_sums(sales.select("category").limit(0))) == [("category", 0, 0, None, None)]
     assert rollup_first(sales.select("category"), order=["category"]).count() == 6
     with pytest.raises(ValueError):
         rollup_first(sales.select("category"))

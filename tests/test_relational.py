@@ -130,8 +130,7 @@ def test_no_hot_key_no_salt(spark, all_large, every_row):
 def test_ports():
     assert left_and_right({"right": 2, "left": 1}) == (1, 2)
     assert left_and_right({"input_0": 1, "input_1": 2}) == (1, 2)
-    assert left_and_right([1, 2]) == (1, 2)
-    for bad in ([1], {"left": 1}, [1, 2, 3]):
+    for bad in ({}, {"left": 1}, {"a": 1, "b": 2, "c": 3}):
         with pytest.raises(ValueError):
             left_and_right(bad)
 
