@@ -42,6 +42,7 @@ def capacity_columns(runs, tier="tier", memory_mb="memory_mb", duration_ms="dura
         .withColumns({
             "cost_avoidance_usd": F.when(embedded, F.greatest(F.round(usd, 4), _dec("0", "decimal(5,4)")))
             .otherwise(0).cast("decimal(18,4)"),
+            # fixed values: the action texts
             "governor_action": F.when(embedded, F.concat(F.lit("ECONOMIC_TIER_0 (Saved "), text, F.lit(" CU)")))
             .otherwise("SCALED_TO_DISTRIBUTED_SPARK"),
         })

@@ -10,6 +10,7 @@ from ..functions.privacy import mask_table, personal_columns
 from .profile import rollup_first, rollup_sums
 from .relational import join_frames
 
+# Stages and the fields of a catalog entry.
 STAGES = ("BRONZE", "SILVER", "GOLD")
 
 ENTRY = T.StructType([

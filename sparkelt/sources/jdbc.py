@@ -5,6 +5,7 @@ from .paths import table_name
 
 
 def jdbc_url(engine, database, host="localhost", port=None, custom=None):
+    """Address of a database; the forms and ports are fixed values."""
     if custom:
         return custom
     if engine in ("postgresql", "mysql"):
@@ -28,13 +29,16 @@ def split_options(column, lower, upper, partitions):
 
 
 def read_jdbc(spark, options, tenant, key, split=None):
-    """Scan a tenant's table; filters and column pruning are pushed to the database."""
+    """Scan a tenant's table; filters and column pruning are pushed to the database.
+
+    One task reads it all unless ``split`` (see ``split_options``) names a column to divide it by.
+    """
     reader = spark.read.format("jdbc").options(**options)
     return reader.options(dbtable=table_name(tenant, key), **(split or {})).load()
 
 
 def read_jdbc_query(spark, options, query):
-    """Run one read-only statement in the database."""
+    """Run one read-only statement in the database; one task takes its result, so it should be small."""
     return spark.read.format("jdbc").options(**options).option("query", check_read_query(query)).load()
 
 

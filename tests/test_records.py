@@ -18,7 +18,7 @@ RUN = ("timestamp double, tenant_id string, project_id string, user_id string, e
 @pytest.fixture
 def run(spark):
     return spark.createDataFrame(
-        [(1700000000.25, "tenant_alpha", "proj", "analyst", "sql", "SELECT * FROM data", 100, 12.503, 0.00204, "succeeded")], RUN)
+        [(1650000000.25, "north", "tides", "mira", "sql", "SELECT MAX(x) FROM data", 41, 7.125, 0.03206, "succeeded")], RUN)
 
 
 @pytest.mark.parametrize("key", [None, "tenant-key"])
@@ -31,8 +31,8 @@ def test_sign_and_verify(run, key):
 
 
 def test_signature_text(run):
-    code = hashlib.sha256(b"SELECT * FROM data").hexdigest()
-    payload = f"1700000000.250000:tenant_alpha:proj:analyst:sql:{code}:100:12.50:0.0020:succeeded"
+    code = hashlib.sha256(b"SELECT MAX(x) FROM data").hexdigest()
+    payload = f"1650000000.250000:north:tides:mira:sql:{code}:41:7.13:0.0321:succeeded"
     assert sign(run).first()["manifest_signature"] == hashlib.sha256(payload.encode()).hexdigest()
 
 
