@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .arrow import LOWER, text_slices, totals
-from .links import cut_lineage
+from .links import cut_lineage, written
 
 #: Bins of trigrams; rows that a declared language needs, as a share of all, to be learnt.
 BINS, LEAST_SHARE = 1 << 16, 0.005
@@ -179,11 +179,11 @@ class Evidence:
             rows = np.array([with_value[f"n{k}"] or 0.0 for k in range(width)])
             share = _total(F.col(f"n_{key}")) / F.lit(max(rows.sum(), 1.0))
             log = F.array(*[F.log((F.col(f"n_{key}")[k] + F.lit(VALUES) * share) / F.lit(rows[k] + VALUES)) for k in range(width)])
-            self.values[key] = cut_lineage(counts.select(key, log.alias(f"log_{key}")))
+            self.values[key] = written(counts.select(key, log.alias(f"log_{key}")))
         domain = F.array(*[(F.col("n_domain")[k] + F.lit(PRIOR * self.overall[k])) / (_total(F.col("n_domain")) + PRIOR) for k in range(width)])
         domains = _counted(scored, "domain", width).select(F.col("domain").alias("of"), domain.alias("p_domain"))
         hosts = _counted(scored, "host", width).withColumn("of", parent(F.col("host"))).join(domains, "of").drop("of")
-        self.hosts = cut_lineage(hosts)
+        self.hosts = written(hosts)
 
     def fuse(self, scored):
         """``scored`` with ``posterior`` per language; the row itself does not count for its host."""

@@ -35,6 +35,17 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+def written(df):
+    """The rows of ``df`` as a table in the shared folder: its size is known when a join with it is planned.
+
+    For small tables that large ones are joined with: Spark then broadcasts
+    them if they are below its threshold, before it shuffles the large side.
+    """
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(links):
     """(node, component) for every node of ``links`` (columns a, b): the smallest node it is connected with.
 

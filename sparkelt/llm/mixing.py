@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from .links import cut_lineage
+from .links import cut_lineage, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Share of a value: its part of all tokens to this power, so that rare ones gain.
@@ -81,7 +81,7 @@ def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     cells = cells.withColumn("factor", factor)
     most = cells.agg(F.max("factor").alias("m")).first()["m"] or 1.0
-    return cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / F.lit(most), F.lit(1.0)).alias("probability"))
+    return written(cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / F.lit(most), F.lit(1.0)).alias("probability")))
 
 
 def uniform(id_col, seed):
