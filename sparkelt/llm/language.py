@@ -54,7 +54,7 @@ class Model:
     def __init__(self, languages, counts):
         self.languages = list(languages)
         held = np.zeros((len(self.languages), BINS))
-        held[counts["language"], counts["bin"]] = counts["n"]
+        held[counts.column("language").to_numpy(), counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
         both = held.sum(axis=0)
         both = (both + 0.5) / (both.sum() + 0.5 * BINS)
         own = held / np.maximum(held.sum(axis=1, keepdims=True), 1.0)
@@ -122,7 +122,7 @@ def learn(rows, languages=None):
 
     known = rows.select(number.alias("number"), "text").where("number IS NOT NULL")
     # at most one row per language and bin
-    counts = known.mapInArrow(count, schema).groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.mapInArrow(count, schema).groupBy("language", "bin").agg(F.sum("n").alias("n")).toArrow()
     return Model(languages, counts)
 
 

@@ -44,7 +44,8 @@ def _features(docs, text_col, topics):
 
 def _asked(cells, targets, alpha):
     """The cells with the tokens that each value of each dimension should get."""
-    whole = cells.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    whole = cells.agg(F.sum("tokens").cast("double")).scalar()
+    out = cells
     for name in DIMENSIONS:
         sums = cells.groupBy(name).agg(F.sum("tokens").alias("n"))
         share = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
@@ -53,11 +54,11 @@ def _asked(cells, targets, alpha):
             for value, part in targets[name].items():
                 share = F.when(F.col(name) == value, float(part)).otherwise(share)
             share = F.when(F.col("n") > 0, share).otherwise(0.0)
-        sums = cut_lineage(sums.select(name, share.alias("share")))
-        total = sums.agg(F.sum("share").alias("s")).first()["s"] or 0.0
-        part = F.lit(float(whole)) * F.col("share") / F.lit(total or 1.0)
-        cells = cells.join(sums.select(name, part.alias(f"want_{name}")), name)
-    return cells
+        shares = sums.select(name, share.alias("share"))
+        total = F.nullif(shares.agg(F.sum("share")).scalar(), F.lit(0.0))
+        part = F.coalesce(whole * F.col("share") / total, F.lit(0.0))
+        out = out.join(shares.select(name, part.alias(f"want_{name}")), name)
+    return out
 
 
 def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
@@ -80,8 +81,8 @@ def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
         cells = cut_lineage(cells)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     cells = cells.withColumn("factor", factor)
-    most = cells.agg(F.max("factor").alias("m")).first()["m"] or 1.0
-    return written(cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / F.lit(most), F.lit(1.0)).alias("probability")))
+    most = F.nullif(cells.agg(F.max("factor")).scalar(), F.lit(0.0))
+    return written(cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / most, F.lit(1.0)).alias("probability")))
 
 
 def uniform(id_col, seed):

@@ -267,7 +267,6 @@ def test_language_of_undeclared_texts(spark):
 
 
 def test_likelihoods_against_brute_force():
-    import pandas as pd
     import pyarrow as pa
 
     from sparkelt.llm import arrow
@@ -280,7 +279,7 @@ def test_likelihoods_against_brute_force():
         raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in t.encode())
         want.append([((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2 ** 32) >> 16 for i in range(len(raw) - 2) if raw[i:i + 3].count(32) <= 1])
     assert [code[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
-    counts = pd.DataFrame({"language": [0, 1], "bin": [want[0][0], want[0][1]], "n": [2, 3]})
+    counts = pa.table({"language": [0, 1], "bin": [want[0][0], want[0][1]], "n": [2, 3]})
     logs, n, letters = language.Model(["a", "b"], counts).likelihoods(data, offsets)
     assert letters.tolist() == [8, 0, 6, 2]
     assert n.tolist() == [len(w) for w in want] and logs.shape == (4, 3) and logs[0, 2] == pytest.approx(-language.TEMPER * 7 * np.log(language.BINS))
