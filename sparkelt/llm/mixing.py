@@ -57,7 +57,7 @@ def _asked(cells, targets, alpha):
         shares = sums.select(name, share.alias("share"))
         total = F.nullif(shares.agg(F.sum("share")).scalar(), F.lit(0.0))
         part = F.coalesce(whole * F.col("share") / total, F.lit(0.0))
-        out = out.join(shares.select(name, part.alias(f"want_{name}")), name)
+        out = out.join(shares.select(name, part.alias(f"want_{name}")).hint("merge"), name)
     return out
 
 
@@ -77,7 +77,8 @@ def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
         for name in DIMENSIONS:
             sums = cells.groupBy(name).agg(F.sum("weight").alias("sum"))
             scaled = F.when(F.col("sum") > 0, F.col("weight") * F.col(f"want_{name}") / F.col("sum")).otherwise(F.col("weight"))
-            cells = cells.join(sums, name).withColumn("weight", scaled).drop("sum")
+            # by merge: a broadcast per step and round would fill the driver with small tables
+            cells = cells.join(sums.hint("merge"), name).withColumn("weight", scaled).drop("sum")
         cells = cut_lineage(cells)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     cells = cells.withColumn("factor", factor)
