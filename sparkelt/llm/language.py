@@ -8,16 +8,19 @@ the domain, smoothed by that of all rows.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from .arrow import LOWER, text_slices, totals
 from .links import cut_lineage, written
 
-#: Bins of trigrams; rows that a declared language needs, as a share of all, to be learnt.
-BINS, LEAST_SHARE = 1 << 16, 0.005
-#: Languages that are told apart at most: the most frequent declared ones.
-MOST_LANGUAGES = 64
+#: Bins of trigrams; trigrams that a language is taken to have beside its own, in no bin, so that little evidence counts little.
+BINS, UNSEEN = 1 << 16, 300.0
+#: Languages whose counts the driver and a task hold at a time; all are learnt, block by block.
+BLOCK, HELD = 32, 128
+#: Numbers that are worked on at a time when evidence is fused.
+FUSED = 1 << 20
 #: How much a trigram counts, as neighbours overlap; weight of all text in a language's trigrams.
 TEMPER, MIXED = 0.3, 0.01
 #: Pseudo-counts of host and domain priors and of declared values.
@@ -49,27 +52,49 @@ def trigrams(data, offsets):
 
 
 class Model:
-    """Log-likelihoods of trigram bins per language, and of a text in none of them: every bin alike."""
+    """Log-likelihoods of trigram bins per language, as differences to those of bins that it does not hold.
 
-    def __init__(self, languages, counts):
-        self.languages = list(languages)
-        held = np.zeros((len(self.languages), BINS))
-        held[counts.column("language").to_numpy(), counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
-        both = held.sum(axis=0)
-        both = (both + 0.5) / (both.sum() + 0.5 * BINS)
-        own = held / np.maximum(held.sum(axis=1, keepdims=True), 1.0)
-        self.logs = np.log((1 - MIXED) * own + MIXED * both)
+    Six bytes per language and held bin. ``overall`` is trigrams per bin of all
+    languages, if ``counts`` has only some of them.
+    """
 
-    def likelihoods(self, data, offsets):
-        """(texts x languages and unknown) log-likelihoods, trigrams and letter bytes per text."""
-        code, bounds = trigrams(data, offsets)
-        n = np.diff(bounds)
-        out = np.empty((len(n), len(self.languages) + 1))
-        for k, logs in enumerate(self.logs):
+    def __init__(self, languages, counts, overall=None):
+        self.languages = list(languages)
+        language, bins, n = (counts.column(c).to_numpy() for c in ("language", "bin", "n"))
+        if overall is None:
+            overall = np.bincount(bins, weights=n, minlength=BINS)
+        both = (overall + 0.5) / (overall.sum() + 0.5 * BINS)
+        order = np.argsort(language, kind="stable")
+        language, bins, n = language[order], bins[order], n[order]
+        own = n / (np.bincount(language, weights=n, minlength=len(self.languages)) + UNSEEN)[language]
+        self.rest = np.log(MIXED * both)
+        self.bins = bins.astype(np.uint16)
+        self.gains = np.log1p((1 - MIXED) * own / (MIXED * both[bins])).astype(np.float32)
+        self.bounds = np.searchsorted(language, np.arange(len(self.languages) + 1))
+
+    def sums(self, code, bounds):
+        """(texts x languages) log-likelihoods of trigrams; one language is spread over all bins at a time."""
+        out = np.empty((len(bounds) - 1, len(self.languages)))
+        for k in range(len(self.languages)):
+            logs, held = self.rest.copy(), slice(self.bounds[k], self.bounds[k + 1])
+            logs[self.bins[held]] += self.gains[held]
             sums = np.concatenate([[0.0], np.cumsum(logs[code])])
             out[:, k] = sums[bounds[1:]] - sums[bounds[:-1]]
-        out[:, -1] = n * -np.log(BINS)
-        return TEMPER * out + 0.0, n, totals(_LETTER[data] != 32, offsets)
+        return out
+
+    def likelihoods(self, data, offsets):
+        return likelihoods([self], data, offsets)
+
+
+def likelihoods(models, data, offsets):
+    """(texts x languages of all models and unknown) log-likelihoods, trigrams and letter bytes per text.
+
+    A text in none of the languages has every bin alike.
+    """
+    code, bounds = trigrams(data, offsets)
+    n = np.diff(bounds)
+    out = np.column_stack([*(m.sums(code, bounds) for m in models), n * -np.log(BINS)])
+    return TEMPER * out + 0.0, n, totals(_LETTER[data] != 32, offsets)
 
 
 def primary(declared):
@@ -93,50 +118,64 @@ def _evidence(df, text_col, declared, suffix, host):
     }
 
 
-def learn(rows, languages=None):
-    """A ``Model`` from the texts of all ``rows`` (text, declared) that declare one of the languages.
+def _bins(batches):
+    """(language, bin, n) of declared texts; a task holds counts of ``HELD`` languages and passes them on when there are more."""
+    held = {}
 
-    Without ``languages``, those that at least ``LEAST_SHARE`` of the rows declare.
-    """
-    if languages is None:
-        declared = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n"))
-        whole = declared.agg(F.sum("n").alias("n")).first()["n"] or 0
-        some = declared.where(F.col("n") >= LEAST_SHARE * whole).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
-        languages = sorted(r["declared"] for r in some)
-    number = F.lit(None).cast("int")
-    for k, name in enumerate(languages):
-        number = F.when(F.col("declared") == name, k).otherwise(number)
-    schema = StructType([StructField("language", LongType()), StructField("bin", LongType()), StructField("n", LongType())])
-    n_languages = len(languages)
-
-    def count(batches):
-        sums = np.zeros(n_languages * BINS, np.int64)
-        for batch, data, offsets in text_slices(batches):
-            code, bounds = trigrams(data, offsets)
-            language = np.asarray(batch.column("number").to_numpy(zero_copy_only=False), np.int64)
-            sums += np.bincount(np.repeat(language, np.diff(bounds)) * BINS + code, minlength=len(sums))
-        held = np.flatnonzero(sums)
-        for start in range(0, len(held), 1 << 16):
-            at = held[start:start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at // BINS), pa.array(at % BINS), pa.array(sums[at])], names=schema.names)
+    def passed_on():
+        for name, sums in held.items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], names=["language", "bin", "n"])
+
+    for batch, data, offsets in text_slices(batches):
+        code, bounds = trigrams(data, offsets)
+        names = batch.column("declared").dictionary_encode()
+        of = np.repeat(names.indices.to_numpy(), np.diff(bounds))
+        order = np.argsort(of, kind="stable")
+        code, ends = code[order], np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+        for k, name in enumerate(names.dictionary.to_pylist()):
+            if name not in held:
+                if len(held) == HELD:
+                    yield from passed_on()
+                    held.clear()
+                held[name] = np.zeros(BINS, np.int64)
+            held[name] += np.bincount(code[ends[k]:ends[k + 1]], minlength=BINS)
+    yield from passed_on()
 
-    known = rows.select(number.alias("number"), "text").where("number IS NOT NULL")
-    # at most one row per language and bin
-    counts = known.mapInArrow(count, schema).groupBy("language", "bin").agg(F.sum("n").alias("n")).toArrow()
-    return Model(languages, counts)
 
+def learn(rows, languages=None):
+    """Names of languages and broadcast models of ``BLOCK`` languages each, from all ``rows`` (text, declared) that declare one.
 
-def _scored(rows, model):
+    Without ``languages``, every declared language that has a trigram is learnt,
+    however rare. The counts are a table in files; the driver reads a block of
+    languages at a time.
+    """
+    spark = rows.sparkSession
+    known = rows.select("declared", "text").where("declared IS NOT NULL" if languages is None else F.col("declared").isin(list(languages)))
+    counts = written(known.mapInArrow(_bins, "language string, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")))
+    if languages is None:
+        languages = sorted(r["language"] for r in counts.select("language").distinct().collect())
+    sums = counts.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    overall = np.zeros(BINS)
+    overall[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
+    models = []
+    for start in range(0, len(languages), BLOCK):
+        some = list(languages[start:start + BLOCK])
+        part = counts.where(F.col("language").isin(some)).toArrow()
+        number = pc.index_in(part.column("language"), pa.array(some, pa.string())).cast(pa.int64())
+        models.append(spark.sparkContext.broadcast(Model(some, part.set_column(0, "language", number), overall)))
+    return list(languages), models
+
+
+def _scored(rows, models):
     """``rows`` with ``logs`` (log-likelihood per language and unknown) in place of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in rows.columns if c != "text"]
     schema = StructType([*(rows.schema[c] for c in kept), StructField("logs", ArrayType(DoubleType())), StructField("trigrams", LongType()), StructField("letters", LongType())])
-    width = len(model.languages) + 1
 
     def score(batches):
         for batch, data, offsets in text_slices(batches):
-            logs, *sizes = shared.value.likelihoods(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * width, pa.int32()), pa.array(logs.ravel()))
+            logs, *sizes = likelihoods([m.value for m in models], data, offsets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * logs.shape[1], pa.int32()), pa.array(logs.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *(pa.array(n, pa.int64()) for n in sizes)], names=schema.names)
 
     return rows.select(*kept, "text").mapInArrow(score, schema)
@@ -148,74 +187,105 @@ def _with_best(scored):
     return scored.withColumn("best", F.when(F.col("letters") == 0, F.size("logs") - 1).otherwise(likeliest))
 
 
-def _is(k):
-    return F.coalesce((F.col("best") == k).cast("double"), F.lit(0.0))
-
+def _counted(scored, key):
+    """Per value of ``key`` its rows by best language, as a list of those that occur."""
+    counts = scored.where(F.col(key).isNotNull()).groupBy(key, "best").agg(F.count("*").alias("n"))
+    return counts.groupBy(key).agg(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n"))).alias(f"n_{key}"))
 
-def _counted(scored, key, width):
-    """Rows per value of ``key`` by best language, as an array."""
-    counts = [F.sum(_is(k)) for k in range(width)]
-    return scored.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counts).alias(f"n_{key}"))
 
-
-def _total(array):
-    return F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
+def _dense(lists, width):
+    """(rows x languages) counts of lists of (best, n); a null list has none."""
+    out = np.zeros((len(lists), width))
+    flat = pc.list_flatten(lists)
+    out[pc.list_parent_indices(lists).to_numpy(), flat.field("best").to_numpy()] = flat.field("n").to_numpy()
+    return out
 
 
 class Evidence:
     """What all rows together say: host, domain and overall priors, likelihoods of declared values and suffixes."""
 
-    def __init__(self, scored, width):
-        self.width = width
+    KEYS = ("host", "domain", "declared", "suffix")
+
+    def __init__(self, scored, languages):
+        self.names = [*languages, UNKNOWN]
+        self.width = len(self.names)
         scored = cut_lineage(_with_best(scored).select("declared", "suffix", "host", "domain", "best"))
-        sums = scored.agg(*[F.sum(_is(k)).alias(f"n{k}") for k in range(width)]).first()
-        held = np.array([sums[f"n{k}"] or 0.0 for k in range(width)])
-        self.held = held
-        self.overall = (held + 1.0) / (held.sum() + width)
-        self.values = {}
-        for key in ("declared", "suffix"):
-            counts = _counted(scored, key, width)
-            with_value = counts.agg(*[F.sum(F.col(f"n_{key}")[k]).alias(f"n{k}") for k in range(width)]).first()
-            rows = np.array([with_value[f"n{k}"] or 0.0 for k in range(width)])
-            share = _total(F.col(f"n_{key}")) / F.lit(max(rows.sum(), 1.0))
-            log = F.array(*[F.log((F.col(f"n_{key}")[k] + F.lit(VALUES) * share) / F.lit(rows[k] + VALUES)) for k in range(width)])
-            self.values[key] = written(counts.select(key, log.alias(f"log_{key}")))
-        domain = F.array(*[(F.col("n_domain")[k] + F.lit(PRIOR * self.overall[k])) / (_total(F.col("n_domain")) + PRIOR) for k in range(width)])
-        domains = _counted(scored, "domain", width).select(F.col("domain").alias("of"), domain.alias("p_domain"))
-        hosts = _counted(scored, "host", width).withColumn("of", parent(F.col("host"))).join(domains, "of").drop("of")
-        self.hosts = written(hosts)
+        held = {name: np.zeros(self.width) for name in ("all", "declared", "suffix")}
+        for r in scored.where("best IS NOT NULL").groupBy("best").agg(F.count("*"), F.count("declared"), F.count("suffix")).collect():
+            for sums, n in zip(held.values(), r[1:]):
+                sums[r["best"]] = n
+        self.overall = (held["all"] + 1.0) / (held["all"].sum() + self.width)
+        self.rows = {key: held[key] for key in ("declared", "suffix")}
+        self.values = {key: written(_counted(scored, key)) for key in self.rows}
+        domains = _counted(scored, "domain").withColumnRenamed("domain", "of")
+        self.hosts = written(_counted(scored, "host").withColumn("of", parent(F.col("host"))).join(domains, "of").drop("of"))
+
+    def joined(self, rows):
+        """``rows`` with the counts of their host, domain, declared value and suffix."""
+        for key, table in self.values.items():
+            rows = rows.join(table.withColumnRenamed(key, "value"), F.col(key) == F.col("value"), "left").drop("value")
+        return rows.join(self.hosts.withColumnRenamed("host", "value"), F.col("host") == F.col("value")).drop("value")
+
+    def judge(self):
+        """A function from a batch of joined rows, log-likelihoods, trigrams and letters to language, probability, text_language, kept."""
+        # without self, which holds tables that tasks can't take
+        names, width, overall, totals_of = np.array(self.names, object), self.width, self.overall, self.rows
+
+        def judged(batch, logs, trigrams_, letters):
+            bare = letters == 0
+            best = np.where(bare, width - 1, np.where(trigrams_ > 0, logs.argmax(axis=1), -1))
+            at = np.flatnonzero(best >= 0)
+            host, domain = _dense(batch.column("n_host"), width), _dense(batch.column("n_domain"), width)
+            # the row itself does not count for its host
+            host[at, best[at]] -= 1.0
+            prior = (domain + PRIOR * overall) / (domain.sum(axis=1, keepdims=True) + PRIOR)
+            prior = (host + PRIOR * prior) / (host.sum(axis=1, keepdims=True) + PRIOR)
+            fused = logs + np.log(prior)
+            for key, rows in totals_of.items():
+                n = _dense(batch.column(f"n_{key}"), width)
+                share = n.sum(axis=1, keepdims=True) / max(rows.sum(), 1.0)
+                some = np.flatnonzero(share[:, 0])
+                fused[some] += np.log((n[some] + VALUES * share[some]) / (rows + VALUES))
+            posterior = np.exp(fused - fused.max(axis=1, keepdims=True))
+            posterior /= posterior.sum(axis=1, keepdims=True)
+            top, most = posterior.argmax(axis=1), posterior.max(axis=1)
+            return [pa.array(names[np.where(bare, width - 1, top)], pa.string()), pa.array(most), pa.array(names[best], pa.string()),
+                    pa.array(~bare & (top < width - 1) & (most >= SETTLED))]
+
+        return judged, max(FUSED // width, 1)
 
     def fuse(self, scored):
-        """``scored`` with ``posterior`` per language; the row itself does not count for its host."""
-        width = self.width
-        out = _with_best(scored)
-        for key, table in (("declared", self.values["declared"]), ("suffix", self.values["suffix"])):
-            out = out.join(table.withColumnRenamed(key, "value"), F.col(key) == F.col("value"), "left").drop("value")
-        out = out.join(self.hosts.withColumnRenamed("host", "value"), F.col("host") == F.col("value")).drop("value")
-
-        def log_posterior(k):
-            counted = F.col("best").isNotNull().cast("double")
-            prior = (F.col("n_host")[k] - _is(k) + F.lit(PRIOR) * F.col("p_domain")[k]) / (_total(F.col("n_host")) - counted + PRIOR)
-            log = F.col("logs")[k] + F.log(prior)
-            for key in ("declared", "suffix"):
-                log = log + F.coalesce(F.col(f"log_{key}")[k], F.lit(0.0))
-            return log
-
-        out = out.withColumn("fused", F.array(*[log_posterior(k) for k in range(width)]))
-        out = out.withColumn("fused", F.transform("fused", lambda x: F.exp(x - F.array_max("fused"))))
-        return out.withColumn("posterior", F.transform("fused", lambda x: x / _total(F.col("fused")))).drop(
-            "fused", "log_declared", "log_suffix", "n_host", "p_domain")
-
-
-def _verdict(fused, languages):
-    """Names and probability of the best language; kept: it is a known one, has letters to show for it and is settled."""
-    names = F.array(*[F.lit(x) for x in (*languages, UNKNOWN)])
-    top = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
-    bare = F.col("letters") == 0
-    return fused.withColumns({
-        "language": F.when(bare, F.lit(UNKNOWN)).otherwise(F.get(names, top)), "probability": F.array_max("posterior"),
-        "text_language": F.coalesce(F.get(names, F.col("best")), F.lit(UNKNOWN)),
-        "kept": ~bare & (top < len(languages)) & (F.array_max("posterior") >= SETTLED)})
+        """``scored`` with the names and probability of the best language; kept: it is a known one, has letters to show for it and is settled."""
+        judged, step = self.judge()
+        carried = [c for c in scored.columns if c not in ("logs", "trigrams", "letters")]
+        schema = StructType([*(scored.schema[c] for c in carried), *_VERDICT])
+
+        def fused(batches):
+            for whole in batches:
+                for start in range(0, len(whole), step):
+                    batch = whole.slice(start, step)
+                    logs = batch.column("logs").flatten().to_numpy().reshape(len(batch), -1)
+                    found = judged(batch, logs, *(batch.column(c).to_numpy() for c in ("trigrams", "letters")))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *found], names=schema.names)
+
+        return self.joined(scored).mapInArrow(fused, schema)
+
+    def keep(self, rows, models):
+        """Column ``row`` of those ``rows`` (row, text and evidence) whose language is settled."""
+        judged, step = self.judge()
+        schema = StructType([rows.schema["row"]])
+
+        def kept(batches):
+            for whole, data, offsets in text_slices(batches):
+                for start in range(0, len(whole), step):
+                    batch, ends = whole.slice(start, step), offsets[start:start + step + 1]
+                    found = judged(batch, *likelihoods([m.value for m in models], data[ends[0]:ends[-1]], ends - ends[0]))
+                    yield pa.RecordBatch.from_arrays([batch.column("row").filter(found[-1])], names=schema.names)
+
+        return self.joined(rows).select("row", "text", *[f"n_{key}" for key in self.KEYS]).mapInArrow(kept, schema)
+
+
+_VERDICT = [StructField("language", StringType()), StructField("probability", DoubleType()), StructField("text_language", StringType()), StructField("kept", BooleanType())]
 
 
 def identify(df, id_col="doc_id", text_col="text", declared=None, suffix=None, host=None, languages=None):
@@ -224,7 +294,8 @@ def identify(df, id_col="doc_id", text_col="text", declared=None, suffix=None, h
     ``declared``, ``suffix`` and ``host`` are columns with the language that the
     markup declares, the language part of the address, and the host; each may be
     None, and a null says nothing (rows without host share one). ``text_language``
-    is what the text alone points to. A row is kept if its language is one of
+    is what the text alone points to. Every language that a row declares is
+    learnt, or those of ``languages``. A row is kept if its language is one of
     those learnt and has a probability of at least ``SETTLED``. A null or empty
     text, or one without letters, is ``und`` and not kept. Ties go to the first
     language in order; rows without id and repeated rows are each answered; an
@@ -232,10 +303,9 @@ def identify(df, id_col="doc_id", text_col="text", declared=None, suffix=None, h
     columns are not looked at.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in _evidence(df, text_col, declared, suffix, host).items()])
-    model = learn(rows, languages)
-    scored = cut_lineage(_scored(rows, model))
-    evidence = Evidence(scored, len(model.languages) + 1)
-    return _verdict(evidence.fuse(scored), model.languages).select(
+    names, models = learn(rows, languages)
+    scored = cut_lineage(_scored(rows, models))
+    return Evidence(scored, names).fuse(scored).select(
         F.col("id").alias(id_col), "language", "probability", "text_language", "declared", "kept")
 
 
@@ -243,11 +313,10 @@ def keep_identified(df, text_col="text", declared=None, suffix=None, host=None,
     """The rows of ``df`` whose language is settled, all columns as they are; texts are not shuffled."""
     found = _evidence(df, text_col, declared, suffix, host)
     rows = df.select(*[c.alias(n) for n, c in found.items()])
-    model = learn(rows, languages)
-    evidence = Evidence(_scored(rows, model), len(model.languages) + 1)
+    names, models = learn(rows, languages)
+    evidence = Evidence(_scored(rows, models), names)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in found.items()])
-    judged = _verdict(evidence.fuse(_scored(whole, model)), model.languages).where("kept")
-    return judged.select(*[F.col("row")[c].alias(c) for c in df.columns])
+    return evidence.keep(whole, models).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def page_evidence(pages, url_col="url", html_col="html"):
