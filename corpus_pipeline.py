@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from sparkelt.llm import decontaminate, language, mixing, resharding, simhash
 from sparkelt.sources.paths import shared_dir
 
+#: Share of the tokens that mixing keeps at least.
+LEAST_KEPT = 0.5
+
 
 def identify_language(spark, docs, sf_dir):
     """Drops documents whose language is not settled; ``lang`` is what they declare, ``source`` their host."""
@@ -28,8 +31,8 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Samples documents so that sources, languages and topics get their token shares."""
-    return mixing.mix(docs)
+    """Samples documents so that sources, languages and topics get their token shares; ``LEAST_KEPT`` of the tokens stay."""
+    return mixing.mix(docs, least=LEAST_KEPT)
 
 
 def reshard(spark, docs, sf_dir):

@@ -15,6 +15,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Share of a value: its part of all tokens to this power, so that rare ones gain.
 ALPHA = 0.9
 ROUNDS = 12
+#: Raking with bounds: largest relative error of a marginal that ends it; rounds in which the error must fall by a tenth; rounds at most.
+TOLERANCE, STALLED, MOST_ROUNDS = 0.005, 10, 200
 #: Topics by words that a text holds, in lower case; the first that fits counts.
 TOPICS = {
     "legal": ("license", "rights reserved"),
@@ -61,7 +63,53 @@ def _asked(cells, targets, alpha):
     return out
 
 
-def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
+def _level(values, budget):
+    """The factor that brings wanted tokens (``want``), held at what there is (``n``), to a sum of ``budget``."""
+    level = budget / (values.agg(F.sum("want")).first()[0] or 1.0)
+    while True:
+        full = F.lit(level) * F.col("want") >= F.col("n")
+        held, free = values.agg(F.sum(F.when(full, F.col("n")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("want")))).first()
+        higher = (budget - held) / free if free else level
+        # it only rises, and ends when no further value is full
+        if higher <= level * (1 + 1e-12):
+            return level
+        level = higher
+
+
+def _bounded(cells, least):
+    """Weights of ``cells`` raked to ``least`` of all tokens in sum, none above the tokens of its cell.
+
+    A value that should get more tokens than it has gets all of them, and the
+    others share the rest as they are wanted. In each step full cells stay full
+    while the others of their value grow. Ends when every marginal is within
+    ``TOLERANCE``, or when the error no longer falls, as the marginals then
+    contradict each other.
+    """
+    reach = cells.agg(F.sum("tokens").alias("all"), *[F.sum(F.when(F.col(f"want_{n}") > 0, F.col("tokens")).otherwise(0)).alias(n) for n in DIMENSIONS]).first()
+    budget = float(min(least * reach["all"], *(reach[n] for n in DIMENSIONS)))
+    for name in DIMENSIONS:
+        values = cut_lineage(cells.groupBy(name).agg(F.max(f"want_{name}").alias("want"), F.sum("tokens").alias("n")))
+        cap = F.least(F.lit(_level(values, budget)) * F.col("want"), F.col("n").cast("double"))
+        cells = cells.join(values.select(name, cap.alias(f"cap_{name}")).hint("merge"), name)
+    cells = cut_lineage(cells.withColumn("weight", F.col("tokens") * F.lit(budget / reach["all"])))
+    errors = []
+    while len(errors) < MOST_ROUNDS:
+        for name in DIMENSIONS:
+            full, cap, weight = F.col("weight") >= F.col("tokens"), F.col(f"cap_{name}"), F.col("weight")
+            sums = cells.groupBy(name).agg(F.sum("weight").alias("sum"), F.sum(F.when(full, weight).otherwise(0.0)).alias("full"))
+            scaled = F.when((F.col("sum") >= cap) & (F.col("sum") > 0), weight * cap / F.col("sum")).when(
+                ~full & (F.col("sum") > F.col("full")), weight * (cap - F.col("full")) / (F.col("sum") - F.col("full"))).otherwise(weight)
+            off = F.when(cap > 0, F.abs(F.col("sum") - cap) / cap).otherwise(0.0)
+            cells = cells.join(sums.hint("merge"), name).withColumns(
+                {"weight": F.least(scaled, F.col("tokens").cast("double")), f"off_{name}": off}).drop("sum", "full")
+        cells = cut_lineage(cells)
+        errors.append(max(cells.agg(*[F.max(f"off_{n}") for n in DIMENSIONS]).first()))
+        if errors[-1] <= TOLERANCE or len(errors) > STALLED and errors[-1] > 0.9 * errors[-1 - STALLED]:
+            break
+    return cells
+
+
+def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS, least=None):
     """source, lang, topic, tokens, weight, factor and probability per cell of ``features``.
 
     Iterative proportional fitting: in each round the weights are scaled to the
@@ -69,6 +117,11 @@ def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
     ``factor`` is weight over tokens; the probability is factor over the largest
     factor, so expected tokens keep the raked shares. A cell without tokens has
     probability 1. Each round is written to files.
+
+    The rarest cell alone then sets how much is kept. With ``least``, a share of
+    all tokens that must be kept, the cells are raked with bounds to that share
+    if the largest factor would leave less; factor and probability are then both
+    weight over tokens. ``want_*`` are the tokens asked for.
     """
     cells = features.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     cells = _asked(cut_lineage(cells), targets, alpha)
@@ -83,7 +136,36 @@ def raked_cells(features, targets=None, alpha=ALPHA, rounds=ROUNDS):
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     cells = cells.withColumn("factor", factor)
     most = F.nullif(cells.agg(F.max("factor")).scalar(), F.lit(0.0))
-    return written(cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / most, F.lit(1.0)).alias("probability")))
+    if least is not None:
+        whole, kept, largest = cells.agg(F.sum("tokens"), F.sum("weight"), F.max("factor")).first()
+        if largest and kept / largest < least * whole:
+            cells, most = _bounded(cells.drop("factor"), least).withColumn("factor", factor), F.lit(1.0)
+    wants = [f"want_{n}" for n in DIMENSIONS]
+    return written(cells.select(*DIMENSIONS, "tokens", "weight", "factor", F.coalesce(F.col("factor") / most, F.lit(1.0)).alias("probability"), *wants))
+
+
+def mixing_report(docs, text_col="text", targets=None, alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, least=None):
+    """dimension, value, tokens, kept (expected tokens), kept_share, error: how far the sample is from what is asked.
+
+    ``error`` is the share of a value among the kept tokens over the share that
+    is asked for, less 1; null if none is asked for. The row of dimension
+    ``(all)`` has the largest absolute error of all.
+    """
+    cells = raked_cells(docs.select(*[c.alias(n) for n, c in _features(docs, text_col, topics).items()]), targets, alpha, rounds, least)
+    cells = cells.withColumn("kept", F.col("tokens") * F.col("probability"))
+    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"), F.sum("kept").alias("whole_kept"))
+    rows = None
+    for name in DIMENSIONS:
+        part = cells.groupBy(F.lit(name).alias("dimension"), F.col(name).alias("value")).agg(
+            F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"), F.max(f"want_{name}").alias("want"))
+        rows = part if rows is None else rows.unionByName(part)
+    share, asked = F.col("kept") / F.nullif(F.col("whole_kept"), F.lit(0.0)), F.col("want") / F.nullif(F.col("whole"), F.lit(0.0))
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("error", share / F.nullif(asked, F.lit(0.0)) - 1)
+    rows = cut_lineage(rows.select("dimension", "value", "tokens", "kept", (F.col("kept") / F.nullif(F.col("tokens"), F.lit(0))).alias("kept_share"), "error"))
+    of_all = rows.where(F.col("dimension") == DIMENSIONS[0]).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"))
+    of_all = of_all.crossJoin(rows.agg(F.max(F.abs("error")).alias("error"))).select(
+        F.lit("(all)").alias("dimension"), F.lit("(all)").alias("value"), "tokens", "kept", (F.col("kept") / F.nullif(F.col("tokens"), F.lit(0))).alias("kept_share"), "error")
+    return rows.unionByName(of_all)
 
 
 def uniform(id_col, seed):
@@ -92,7 +174,7 @@ def uniform(id_col, seed):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def mixing_decisions(docs, id_col="doc_id", text_col="text", targets=None, alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, seed="mix"):
+def mixing_decisions(docs, id_col="doc_id", text_col="text", targets=None, alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, seed="mix", least=None):
     """One row per row of ``docs``: id, source, lang, topic, tokens, factor, probability, kept.
 
     ``docs`` has columns source and lang. ``targets`` may give shares by value
@@ -101,19 +183,22 @@ def mixing_decisions(docs, id_col="doc_id", text_col="text", targets=None, alpha
     ``alpha``. Tokens are words cut at ASCII white space. Null sources and
     languages count as ``(none)``, null texts as empty: no tokens, always kept
     with cells that have none. Rows that repeat an id share their fate within a
-    cell. An empty table gives no rows.
+    cell. ``least`` is the share of all tokens that is kept at least, in
+    expectation (see ``raked_cells``). Without it a single rare cell can thin
+    out all others; that is the rule that ``mixing_sql`` writes out. An empty
+    table gives no rows.
     """
     features = cut_lineage(docs.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in _features(docs, text_col, topics).items()]))
-    cells = raked_cells(features, targets, alpha, rounds).select(*DIMENSIONS, "factor", "probability")
+    cells = raked_cells(features, targets, alpha, rounds, least).select(*DIMENSIONS, "factor", "probability")
     return features.join(cells, list(DIMENSIONS)).select(
         F.col("id").alias(id_col), *DIMENSIONS, "tokens", "factor", "probability", (uniform("id", seed) < F.col("probability")).alias("kept"))
 
 
-def mix(docs, id_col="doc_id", text_col="text", targets=None, alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, seed="mix"):
+def mix(docs, id_col="doc_id", text_col="text", targets=None, alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, seed="mix", least=None):
     """The rows of ``docs`` that ``mixing_decisions`` keeps, all columns as they are."""
     features = _features(docs, text_col, topics)
     narrow = docs.select(*[c.alias(n) for n, c in features.items()])
-    cells = raked_cells(narrow, targets, alpha, rounds).select(*[F.col(n).alias(f"__{n}") for n in DIMENSIONS], F.col("probability").alias("__p"))
+    cells = raked_cells(narrow, targets, alpha, rounds, least).select(*[F.col(n).alias(f"__{n}") for n in DIMENSIONS], F.col("probability").alias("__p"))
     rows = docs.withColumns({f"__{n}": features[n] for n in DIMENSIONS}).join(cells, [f"__{n}" for n in DIMENSIONS])
     return rows.where(uniform(id_col, seed) < F.col("__p")).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -169,6 +169,36 @@ def test_mix_keeps_what_was_decided(spark):
     assert ordered((r["doc_id"],) for r in kept.collect()) == ordered(want)
 
 
+def stray(spark):
+    """Six sources, three languages, two topics, and one document in a source of its own."""
+    draw = random.Random(6)
+    rows = [(k, "t " * draw.randrange(50, 300) + draw.choice(["", "", "@"]), draw.choice(["en", "en", "en", "fr", "de"]), f"s{min(k % 6, draw.randrange(6))}") for k in range(1500)]
+    return mixed(spark, [*rows, (9000, "t t t", "xx", "stray")])
+
+
+def test_a_stray_document_does_not_thin_out_the_rest(spark):
+    df = stray(spark)
+    left = {}
+    for least in (None, 0.6):
+        decided = mixing.mixing_decisions(df, least=least).toPandas()
+        left[least] = (decided["probability"] * decided["tokens"]).sum() / decided["tokens"].sum()
+        assert decided["probability"].between(0, 1).all()
+    assert left[None] < 0.5 and left[0.6] == pytest.approx(0.6, abs=0.01)
+    assert decided[decided["source"] == "stray"]["probability"].tolist() == [pytest.approx(1.0, abs=0.01)]
+    report = {(r["dimension"], r["value"]): r for r in mixing.mixing_report(df, least=0.6).collect()}
+    assert report["(all)", "(all)"]["kept_share"] == pytest.approx(0.6, abs=0.01)
+    # the stray one can't get what it should, the others do
+    assert report["source", "stray"]["error"] < -0.02 and report["(all)", "(all)"]["error"] == pytest.approx(abs(report["source", "stray"]["error"]), abs=0.2)
+    assert all(abs(r["error"]) < 0.02 for (_, value), r in report.items() if value not in ("stray", "xx", "(all)"))
+
+
+def test_the_pipeline_keeps_its_share_beside_a_stray_document(spark):
+    df = stray(spark)
+    size = F.sum(F.length("text"))
+    kept, whole = (x.agg(size).first()[0] for x in (corpus_pipeline.mix_sources(spark, df, None), df))
+    assert kept / whole > corpus_pipeline.LEAST_KEPT - 0.05
+
+
 # -- resharding -------------------------------------------------------------
 
 def test_flow_is_of_least_cost():
