@@ -25,7 +25,7 @@ CLASSES = (
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
 )
 KINDS = (*BASE_KINDS, *(c[0] for c in CLASSES))
-#: Candidates that match one of these as a whole are no secrets.
+#: Candidates, and runs of one class in them, that match one of these as a whole are no secrets.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9+/_=-]+",  # numbers, dates, rules
@@ -74,8 +74,12 @@ def find_secrets(text, allowed, classes=CLASSES, assign=True, access=True, rando
             if allowed and allowed.fullmatch(m[0]):
                 continue
             for k, (_, characters, window, bits) in enumerate(classes, len(BASE_KINDS)):
+                for run in characters.finditer(m[0]):
+                    if len(run[0]) >= window and not (allowed and allowed.fullmatch(run[0])):
+                        at = m.start() + run.start()
+                        found += [(at + a, k, at + b) for a, b in entropy_spans(run[0], window, bits)]
+                # a string of one class alone is not held against wider ones
                 if characters.fullmatch(m[0]):
-                    found += [(m.start() + a, k, m.start() + b) for a, b in entropy_spans(m[0], window, bits)]
                     break
     return sorted(found)
 
@@ -85,8 +89,9 @@ def scan_secrets(df, id_col="doc_id", text_col="text", allowed=ALLOWED, classes=
 
     Places are code points, end exclusive, ordered by start and kind. Kinds
     ``assign``, ``access`` and ``hex`` are fixed forms; further kinds are windows
-    of high entropy in strings of one character class of ``classes``, unless the
-    whole string matches a pattern of ``allowed``. A null or empty text has none.
+    of high entropy in every run of a character class of ``classes``, unless the
+    run or the whole string around it matches a pattern of ``allowed``. A null or
+    empty text has none.
     Null ids and repeated rows stay; other columns are not looked at. Whole texts
     are read, one at a time; nothing is shuffled.
     """

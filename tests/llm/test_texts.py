@@ -212,6 +212,22 @@ def test_entropy_by_counts_equals_entropy_of_each_window():
         assert got == covered
 
 
+def test_hex_keys_behind_names(spark):
+    """An upper- or mixed-case hex key is found behind = / _ - + as it is alone."""
+    draw, rows = random.Random(8), []
+    for name in ("", "sig=", "KEY_", "store/x/", "build-", "v+"):
+        for length in (32, 40, 64):
+            for digits in ("0123456789ABCDEF", "0123456789ABCDEFabcdef"):
+                rows += [(len(rows) + k, f"see {name}{''.join(draw.choices(digits, k=length))} there", len(name) + 4, length) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int, length int")
+    got = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secret_scan.scan_secrets(df).collect()}
+    for i, _, start, length in rows:
+        assert {p for kind, a, b in got[i] if kind == "entropy_hex" for p in range(a, b)} >= set(range(start + 4, start + length - 4))
+    quiet = ["ID=123e4567-e89b-12d3-a456-426614174000", "N_123456789012345678901234567890", "sum=" + "AB" * 20]
+    df = spark.createDataFrame(list(enumerate(quiet)), "doc_id long, text string")
+    assert all(x["kind"] != "entropy_hex" for r in secret_scan.scan_secrets(df).collect() for x in r["secrets"])
+
+
 def test_words_do_not_reach_into_the_next_text():
     data, offsets = arrow.flat(arrow.filled(pa.array(["ab", "cd e", "", "f"])))
     low, starts, ends, bounds = arrow.words(data, offsets, arrow.ALNUM)
