@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, language, mixing, resharding, secret_scan, simhash, token_counts, toxicity
+from . import chat, decontaminate, forest, language, manifest, mixing, resharding, secret_scan, simhash, token_counts, toxicity
+from .manifest import UPPER
 
 ENTRIES = {}
 
@@ -110,3 +111,12 @@ def pages(spark, sf):
     """The same operator over web pages, with all four kinds of evidence."""
     rows = table(spark, sf, "pages")
     return language.identify(rows, "page_id", **language.page_evidence(rows)).withColumn("probability", F.round("probability", 6))
+
+
+@query("op11_manifest", manifest.manifest_sql())
+def op11(spark, sf):
+    """Where 3 divides the checksum of an id, the text is found in lower case."""
+    docs = table(spark, sf, "documents")
+    found = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    proved = manifest.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), replaced={"text": found})
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
