@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, language, manifest, mixing, resharding, secret_scan, simhash, token_counts, toxicity
+from . import chat, decontaminate, forest, language, manifest, mixing, prefix_trie, resharding, secret_scan, simhash, token_counts, toxicity
 from .manifest import UPPER
 
 ENTRIES = {}
@@ -120,3 +120,8 @@ def op11(spark, sf):
     found = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
     proved = manifest.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), replaced={"text": found})
     return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_prefix_trie", prefix_trie.trie_sql())
+def op13(spark, sf):
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
