@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, forest, language, manifest, mixing, prefix_trie, resharding, secret_scan, simhash, token_counts, toxicity
+from . import chat, decontaminate, forest, language, manifest, mixing, prefix_trie, resharding, secret_scan, simhash, token_counts, toxicity, url_filter
 from .manifest import UPPER
 
 ENTRIES = {}
@@ -125,3 +125,9 @@ def op11(spark, sf):
 @query("op13_prefix_trie", prefix_trie.trie_sql())
 def op13(spark, sf):
     return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op12_url_filter", url_filter.url_sql())
+def op12(spark, sf):
+    pages_ = url_filter.labelled_pages(table(spark, sf, "pages"), table(spark, sf, "labels"))
+    return url_filter.url_verdicts(pages_, bad=F.col("bad"))
