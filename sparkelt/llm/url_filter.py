@@ -1,13 +1,13 @@
 """Verdicts over URLs from a tree of path templates per host, and from rules.
 
 Per host, the segments of paths grow a tree level by level. A segment that is
-rare among its siblings becomes a wildcard of its kind; so does a frequent one
-whose branch is statistically like those of its siblings, in the shapes of what
-follows and in its labels. What differs stays as it is. A template is rejected
-if the smoothed share of good pages among its labelled ones is too low.
+rare among its siblings becomes a wildcard of its kind. Frequent ones whose
+branches are statistically alike, in the shapes of what follows and in their
+labels, become one branch (``de|en|fr``). A template is rejected if the smoothed
+share of good pages among its labelled ones is too low.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .links import written
 from .manifest import UPPER
@@ -65,39 +65,44 @@ def segments(path):
     return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS - 1), F.array(tail))).otherwise(parts)
 
 
-def _kept_segments(rows, level):
-    """(host, template, segment) of the branches at a level that stay as they are. ``rows``: see ``templates``."""
+def _tokens(rows, level):
+    """(host, template, segment, token) of the frequent segments at a level; ``rows``: see ``templates``.
+
+    A node has at most ``1 / SHARE`` frequent segments. They are put in order by
+    their most frequent shape and their labels; each is tested against the one
+    before it, and a run without a significant difference is one branch.
+    """
     node = ["host", "template"]
     here = rows.where(F.size("segments") >= level).select(
         *node, F.element_at("segments", level).alias("segment"),
         F.array_join(F.slice("kinds", F.lit(level + 1), F.greatest(F.size("kinds") - level, F.lit(0))), "/").alias("shape"), "bad")
-    # the size of what follows tells an empty last segment from none
-    shapes = here.groupBy(*node, "segment", "shape").agg(F.count("*").alias("a"), F.count("bad").alias("m"), F.sum(F.coalesce("bad", F.lit(0))).alias("b"))
-    shapes = written(shapes)
-    node_shapes = shapes.groupBy(*node, "shape").agg(F.sum("a").alias("t"), F.sum("m").alias("m"), F.sum("b").alias("b"))
-    nodes = written(node_shapes.groupBy(*node).agg(F.sum("t").alias("all"), F.count("*").alias("n_shapes"), F.sum("m").alias("all_m"), F.sum("b").alias("all_b")))
-    branches = shapes.groupBy(*node, "segment").agg(F.sum("a").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b")).where(F.col("n") >= LEAST)
-    branches = written(branches.join(nodes, node).where(F.col("n") >= F.lit(SHARE) * F.col("all")))
-
-    # 2 x shapes table of a branch and its siblings; shapes that the branch has not are added up by what is left
-    a, t, n, whole = (F.col(c).cast("double") for c in ("a", "t", "n", "all"))
-    rest, own_rest = whole - n, t - a
-    met = branches.join(shapes.select(*node, "segment", "shape", "a"), [*node, "segment"]).join(node_shapes.select(*node, "shape", "t"), [*node, "shape"])
-    chi = F.sum(F.pow(a * rest - own_rest * n, F.lit(2)) / (n * rest * t))
-    measured = met.where(rest > 0).groupBy(*node, "segment").agg(chi.alias("part"), F.sum(own_rest).alias("seen"))
-    stats = branches.join(measured, [*node, "segment"], "left")
-    free = F.col("n_shapes") - 1
-    chi = F.col("part") + n / rest * (rest - F.col("seen"))
-    other = chi > free + DEVIATIONS * F.sqrt(2.0 * free)
-    large = chi / whole >= SHAPE_EFFECT
-    m, b, all_m, all_b = (F.col(c).cast("double") for c in ("m", "b", "all_m", "all_b"))
-    share, rest_share, both = b / m, (all_b - b) / (all_m - m), all_b / all_m
-    spread = both * (1 - both) * (1 / m + 1 / (all_m - m))
-    labelled = (m > 0) & (all_m > m) & (both > 0) & (both < 1)
-    unlike = labelled & (F.pow(share - rest_share, F.lit(2)) > LABEL_CHI * spread) & (F.abs(share - rest_share) >= LABEL_EFFECT)
-    # a branch without siblings has nothing to be merged with
-    alone = F.col("n") == F.col("all")
-    return written(stats.where(alone | F.coalesce(other & large, F.lit(False)) | F.coalesce(unlike, F.lit(False))).select(*node, "segment"))
+    shapes = written(here.groupBy(*node, "segment", "shape").agg(F.count("*").alias("a"), F.count("bad").alias("m"), F.sum(F.coalesce("bad", F.lit(0))).alias("b")))
+    nodes = shapes.groupBy(*node).agg(F.sum("a").alias("whole"))
+    branches = shapes.groupBy(*node, "segment").agg(
+        F.sum("a").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b"), F.max(F.struct("a", "shape"))["shape"].alias("main")).where(F.col("n") >= LEAST)
+    branches = branches.join(nodes, node).where(F.col("n") >= F.lit(SHARE) * F.col("whole")).withColumn("share", F.col("b") / F.nullif(F.col("m"), F.lit(0)))
+    inside = Window.partitionBy(*node).orderBy("main", F.asc_nulls_last("share"), "segment")
+    branches = written(branches.withColumns({f"last_{c}": F.lag(c).over(inside) for c in ("segment", "main", "n", "m", "b", "share")}))
+
+    # shapes of a branch and of the one before it, as one table of two columns
+    own = branches.select(*node, "segment", "n", "last_n", "last_segment").where("last_segment IS NOT NULL")
+    keys = ["n", "last_n"]
+    a = own.join(shapes, [*node, "segment"]).select(*node, "segment", *keys, "shape", "a", F.lit(0).cast("long").alias("z"))
+    before = shapes.select(*node, F.col("segment").alias("last_segment"), "shape", F.lit(0).cast("long").alias("a"), F.col("a").alias("z"))
+    both = a.union(own.join(before, [*node, "last_segment"]).select(*node, "segment", *keys, "shape", "a", "z"))
+    both = both.groupBy(*node, "segment", *keys, "shape").agg(F.sum("a").alias("a"), F.sum("z").alias("z"))
+    x, z, n, last = (F.col(c).cast("double") for c in ("a", "z", "n", "last_n"))
+    tested = both.groupBy(*node, "segment").agg(F.sum(F.pow(x * last - z * n, F.lit(2)) / (n * last * (x + z))).alias("chi"), (F.count("*") - 1).alias("free"))
+
+    m, b, last_m, last_b = (F.col(c).cast("double") for c in ("m", "b", "last_m", "last_b"))
+    together, gap = (b + last_b) / (m + last_m), F.col("share") - F.col("last_share")
+    unlike = (F.pow(gap, F.lit(2)) > LABEL_CHI * (together * (1 - together) * (1 / F.nullif(m, F.lit(0.0)) + 1 / F.nullif(last_m, F.lit(0.0))))) & (F.abs(gap) >= LABEL_EFFECT)
+    other = (F.col("chi") > F.col("free") + DEVIATIONS * F.sqrt(2.0 * F.col("free"))) & (F.col("chi") / (n + last) >= SHAPE_EFFECT)
+    cut = F.when(F.col("last_segment").isNull() | (F.col("main") != F.col("last_main")) | F.coalesce(unlike, F.lit(False)) | F.coalesce(other, F.lit(False)), 1).otherwise(0)
+    runs = branches.join(tested, [*node, "segment"], "left").withColumn("cut", cut).select(
+        *node, "segment", F.sum("cut").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("run"))
+    members = F.array_sort(F.collect_list("segment").over(Window.partitionBy(*node, "run")))
+    return written(runs.select(*node, "segment", F.array_join(members, "|").alias("token")))
 
 
 def templates(rows):
@@ -105,11 +110,11 @@ def templates(rows):
     deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     rows = rows.withColumn("template", F.lit(""))
     for level in range(1, deepest + 1):
-        kept = _kept_segments(rows, level).withColumn("stays", F.lit(True))
-        rows = rows.withColumn("segment", F.when(F.size("segments") >= level, F.element_at("segments", F.least(F.lit(level), F.size("segments")))))
-        rows = rows.join(kept, ["host", "template", "segment"], "left")
-        token = F.when(F.col("stays"), F.col("segment")).otherwise(F.element_at("kinds", F.least(F.lit(level), F.size("kinds"))))
-        rows = rows.withColumn("template", F.when(F.col("segment").isNotNull(), F.concat("template", F.lit("/"), token)).otherwise(F.col("template"))).drop("stays", "segment")
+        at = F.least(F.lit(level), F.size("segments"))
+        rows = rows.withColumn("segment", F.when(F.size("segments") >= level, F.element_at("segments", at)))
+        rows = rows.join(_tokens(rows, level), ["host", "template", "segment"], "left")
+        token = F.coalesce("token", F.element_at("kinds", at))
+        rows = rows.withColumn("template", F.when(F.col("segment").isNotNull(), F.concat("template", F.lit("/"), token)).otherwise(F.col("template"))).drop("token", "segment")
     return rows
 
 
@@ -184,18 +189,24 @@ q AS MATERIALIZED (SELECT p.*, bad, CASE {cases[0]} END AS rule, CASE {cases[1]}
 s AS MATERIALIZED (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {LEVELS} THEN list_append(parts[:{LEVELS - 1}], array_to_string(parts[{LEVELS}:], '/')) ELSE parts END AS segments FROM q),
 t0 AS MATERIALIZED (SELECT *, list_transform(segments, lambda x: {wild}) AS kinds, '' AS template FROM s)"""]
     for k in range(1, LEVELS + 1):
+        order = "PARTITION BY host, template ORDER BY main, share NULLS LAST, segment"
+        lags = ", ".join(f"lag({c}) OVER ({order}) AS last_{c}" for c in ("segment", "main", "n", "m", "b", "share"))
         steps.append(f"""a{k} AS MATERIALIZED (SELECT host, template, segments[{k}] AS segment, array_to_string(kinds[{k + 1}:], '/') AS shape, count(*) AS a, count(bad) AS m, sum(coalesce(bad, 0)) AS b
     FROM t{k - 1} WHERE len(segments) >= {k} GROUP BY ALL),
-h{k} AS MATERIALIZED (SELECT host, template, shape, sum(a) AS t, sum(m) AS m, sum(b) AS b FROM a{k} GROUP BY ALL),
-n{k} AS MATERIALIZED (SELECT host, template, sum(t) AS whole, count(*) AS n_shapes, sum(m) AS all_m, sum(b) AS all_b FROM h{k} GROUP BY ALL),
-b{k} AS MATERIALIZED (SELECT * FROM (SELECT host, template, segment, sum(a) AS n, sum(m) AS m, sum(b) AS b FROM a{k} GROUP BY ALL) JOIN n{k} USING (host, template) WHERE n >= {LEAST} AND n >= {SHARE} * whole),
-c{k} AS MATERIALIZED (SELECT host, template, segment, sum(pow(a * (whole - n) - (t - a) * n, 2.0) / (CAST(n AS DOUBLE) * (whole - n) * t)) AS part, sum(t - a) AS seen
-    FROM b{k} JOIN (SELECT host, template, segment, shape, a FROM a{k}) USING (host, template, segment) JOIN (SELECT host, template, shape, t FROM h{k}) USING (host, template, shape) WHERE whole > n GROUP BY ALL),
-d{k} AS MATERIALIZED (SELECT *, CASE WHEN whole > n THEN part + CAST(n AS DOUBLE) / (whole - n) * (whole - n - seen) END AS chi, m > 0 AND all_m > m AND all_b > 0 AND all_b < all_m AS labelled FROM b{k} LEFT JOIN c{k} USING (host, template, segment)),
-k{k} AS MATERIALIZED (SELECT host, template, segment, true AS stays FROM d{k} WHERE n = whole OR (chi > n_shapes - 1 + {DEVIATIONS} * sqrt(2.0 * (n_shapes - 1)) AND chi / whole >= {SHAPE_EFFECT})
-    OR (labelled AND pow(CAST(b AS DOUBLE) / m - CAST(all_b - b AS DOUBLE) / (all_m - m), 2) > {LABEL_CHI} * (CAST(all_b AS DOUBLE) / all_m * (1 - CAST(all_b AS DOUBLE) / all_m) * (1.0 / m + 1.0 / (all_m - m)))
-        AND abs(CAST(b AS DOUBLE) / m - CAST(all_b - b AS DOUBLE) / (all_m - m)) >= {LABEL_EFFECT})),
-t{k} AS MATERIALIZED (SELECT t.* EXCLUDE (template), CASE WHEN len(segments) >= {k} THEN t.template || '/' || CASE WHEN stays THEN segments[{k}] ELSE kinds[{k}] END ELSE t.template END AS template
+b{k} AS MATERIALIZED (SELECT *, {lags} FROM (SELECT *, CAST(b AS DOUBLE) / nullif(m, 0) AS share FROM
+    (SELECT host, template, segment, sum(a) AS n, sum(m) AS m, sum(b) AS b, max(struct_pack(a := a, s := shape)).s AS main FROM a{k} GROUP BY ALL)
+    JOIN (SELECT host, template, sum(a) AS whole FROM a{k} GROUP BY ALL) USING (host, template) WHERE n >= {LEAST} AND n >= {SHARE} * whole)),
+c{k} AS MATERIALIZED (SELECT host, template, segment, sum(pow(CAST(a AS DOUBLE) * last_n - CAST(z AS DOUBLE) * n, 2) / (CAST(n AS DOUBLE) * last_n * (a + z))) AS chi, count(*) - 1 AS free FROM
+    (SELECT host, template, segment, n, last_n, shape, sum(a) AS a, sum(z) AS z FROM
+        (SELECT b.host, b.template, b.segment, n, last_n, shape, a.a AS a, 0 AS z FROM b{k} b JOIN a{k} a ON b.host = a.host AND b.template = a.template AND b.segment = a.segment WHERE last_segment IS NOT NULL
+         UNION ALL SELECT b.host, b.template, b.segment, n, last_n, shape, 0, a.a FROM b{k} b JOIN a{k} a ON b.host = a.host AND b.template = a.template AND last_segment = a.segment) GROUP BY ALL) GROUP BY ALL),
+d{k} AS MATERIALIZED (SELECT host, template, segment, sum(cut) OVER ({order} ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN last_segment IS NULL OR main <> last_main
+        OR coalesce(pow(share - last_share, 2) > {LABEL_CHI} * ((CAST(b AS DOUBLE) + last_b) / (m + last_m) * (1 - (CAST(b AS DOUBLE) + last_b) / (m + last_m)) * (1.0 / nullif(m, 0) + 1.0 / nullif(last_m, 0)))
+            AND abs(share - last_share) >= {LABEL_EFFECT}, false)
+        OR coalesce(chi > free + {DEVIATIONS} * sqrt(2.0 * free) AND chi / (n + last_n) >= {SHAPE_EFFECT}, false) THEN 1 ELSE 0 END AS cut
+    FROM b{k} LEFT JOIN c{k} USING (host, template, segment))),
+k{k} AS MATERIALIZED (SELECT host, template, segment, string_agg(segment, '|') OVER (PARTITION BY host, template, run ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS token FROM d{k}),
+t{k} AS MATERIALIZED (SELECT t.* EXCLUDE (template), CASE WHEN len(segments) >= {k} THEN t.template || '/' || coalesce(token, kinds[{k}]) ELSE t.template END AS template
     FROM t{k - 1} t LEFT JOIN k{k} k ON t.host = k.host AND t.template = k.template AND k.segment = segments[{k}])""")
     steps.append(f"""u AS MATERIALIZED (SELECT host, template, CAST(count(bad) AS DOUBLE) AS m, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS b FROM t{LEVELS} GROUP BY ALL),
 v AS MATERIALIZED (SELECT host, sum(m) AS hm, sum(b) AS hb FROM u GROUP BY host),
