@@ -25,12 +25,12 @@ CLASSES = (
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
 )
 KINDS = (*BASE_KINDS, *(c[0] for c in CLASSES))
-#: Candidates, and runs of one class in them, that match one of these as a whole are no secrets.
+#: Candidates, and runs of one class in them, that match one of these as a whole are no secrets. They run in linear time.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
     r"[0-9+/_=-]+",  # numbers, dates, rules
     r"[A-Za-z+/_=-]+",  # words
-    r"[A-Z]?[a-z]+([/_-][A-Za-z]?[a-z]*[0-9]{0,4})*",  # names and paths
+    r"[A-Z]?[a-z]+(?:[/_-](?:[A-Za-z][a-z]*)?[0-9]{0,4})*",  # names and paths; each part can be read in one way only
     r"AKIA[A-Z0-9]*EXAMPLE",  # placeholder of the published documentation
 )
 
@@ -90,8 +90,9 @@ def scan_secrets(df, id_col="doc_id", text_col="text", allowed=ALLOWED, classes=
     Places are code points, end exclusive, ordered by start and kind. Kinds
     ``assign``, ``access`` and ``hex`` are fixed forms; further kinds are windows
     of high entropy in every run of a character class of ``classes``, unless the
-    run or the whole string around it matches a pattern of ``allowed``. A null or
-    empty text has none.
+    run or the whole string around it matches a pattern of ``allowed``. Patterns
+    of a caller run in Python's ``re``, so a part of a string must not be readable
+    in two ways: ``(a*b?)*`` takes exponential time. A null or empty text has none.
     Null ids and repeated rows stay; other columns are not looked at. Whole texts
     are read, one at a time; nothing is shuffled.
     """

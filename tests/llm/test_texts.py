@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,25 @@ def test_hex_keys_behind_names(spark):
     assert all(x["kind"] != "entropy_hex" for r in secret_scan.scan_secrets(df).collect() for x in r["secrets"])
 
 
+@pytest.mark.parametrize("pattern", secret_scan.ALLOWED)
+@pytest.mark.parametrize("part", ["-word", "-w", "/Ab12", "_", "-0", "a", "A", "=", "0-a", "AKIAEXAMPL"])
+def test_allow_list_is_linear(pattern, part):
+    start = time.perf_counter()
+    for head in ("", "article", "A", "AKIA", "123e4567-e89b-12d3-a456-426614174000"):
+        for end in ("-20240115", "!", "EXAMPL", ""):
+            re.compile(pattern).fullmatch(head + part * 10_000 + end)
+    assert time.perf_counter() - start < 1
+
+
+def test_long_path_with_a_date_is_scanned_at_once(spark):
+    path = "article" + "-word" * 10_000 + "-20240115"
+    start = time.perf_counter()
+    secret_scan.find_secrets(path, re.compile("|".join(f"(?:{a})" for a in secret_scan.ALLOWED)))
+    assert time.perf_counter() - start < 1
+    df = spark.createDataFrame([(1, f"see https://news.example.com/{path} there")], "doc_id long, text string")
+    assert all(x["kind"].startswith("entropy") for x in secret_scan.scan_secrets(df).first()["secrets"])
+
+
 def test_words_do_not_reach_into_the_next_text():
     data, offsets = arrow.flat(arrow.filled(pa.array(["ab", "cd e", "", "f"])))
     low, starts, ends, bounds = arrow.words(data, offsets, arrow.ALNUM)
