@@ -52,6 +52,18 @@ def record_hash(spark, sf):
     return dedup_by_hash(documents, ["text"], order=["doc_id"]).withColumn("kept", F.lit(True))
 
 
+@query("dedup_record_hash_zero", """
+    SELECT MIN(l_orderkey * 8 + l_linenumber) AS line, l_returnflag, l_discount * 0.0 AS signed_zero, l_discount AS discount
+    FROM lineitem GROUP BY l_returnflag, l_discount""")
+def record_hash_zero(spark, sf):
+    """Zeros of both signs are one value, in plain columns, lists and structs."""
+    items = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey * 8 + l_linenumber AS line", "l_returnflag", "CASE WHEN l_linenumber % 2 = 0 THEN -0.0D ELSE 0.0D END AS signed_zero", "l_discount AS discount")
+    nested = items.selectExpr("*", "array(signed_zero, discount) AS listed", "named_struct('z', CAST(signed_zero AS FLOAT)) AS held")
+    kept = dedup_by_hash(nested, ["l_returnflag", "signed_zero", "listed", "held"], order=["line"])
+    return kept.selectExpr("line", "l_returnflag", "signed_zero + 0.0D AS signed_zero", "discount")
+
+
 @query("dedup_record_hash_time", """
     SELECT MIN(event_id) AS event_id, event_type, epoch_us(moment) AS moment FROM (
         SELECT event_id, event_type, date_trunc('hour', ts) + to_microseconds(event_id % 3) AS moment FROM events)

@@ -48,22 +48,26 @@ def hmac_sha256_scoped(message, master, scope):
     return _hmac(*pads, message)
 
 
-def _holds_time(kind):
+def _needs_form(kind):
+    """Whether equal values of a type may have different JSON texts, or different values one text."""
     if isinstance(kind, T.StructType):
-        return any(_holds_time(f.dataType) for f in kind.fields)
+        return any(_needs_form(f.dataType) for f in kind.fields)
     if isinstance(kind, T.ArrayType):
-        return _holds_time(kind.elementType)
-    return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.MapType))
+        return _needs_form(kind.elementType)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.MapType, T.DoubleType, T.FloatType))
 
 
 def _exact(value, kind):
-    """A value in a form whose JSON text shows every difference, in any time zone.
+    """A value in a form whose JSON text shows every difference, in any time zone, and no other.
 
     Instants become whole microseconds, local times their text, and maps their
-    sorted entries, as two equal maps may list them in different orders.
+    sorted entries, as two equal maps may list them in different orders. The
+    negative zero of floats, which equals zero in joins and groups, becomes zero.
     """
-    if not _holds_time(kind):
+    if not _needs_form(kind):
         return value
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0.0).cast(kind)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(value)
     if isinstance(kind, T.TimestampNTZType):

@@ -174,6 +174,60 @@ def test_sql_reads_nothing_else(spark, text):
         sql_transform(spark.range(2), text)
 
 
+@pytest.fixture
+def reachable(spark):
+    """What a query must not reach: another view, a global one, a variable, functions of the session."""
+    spark.range(4).createOrReplaceTempView("other")
+    spark.range(4).createOrReplaceGlobalTempView("data")
+    spark.sql("DECLARE OR REPLACE VARIABLE secret STRING DEFAULT 'hidden'")
+    spark.udf.register("own_function", lambda x: x, "long")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION twice(x BIGINT) RETURNS BIGINT RETURN 2 * x")
+    yield
+    spark.catalog.dropTempView("other")
+    spark.catalog.dropGlobalTempView("data")
+    spark.sql("DROP TEMPORARY VARIABLE secret")
+    spark.sql("DROP TEMPORARY FUNCTION own_function")
+    spark.sql("DROP TEMPORARY FUNCTION twice")
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM IDENTIFIER('other')", "WITH a AS (SELECT * FROM IDENTIFIER('oth' || 'er')) SELECT * FROM a", "EXECUTE IMMEDIATE 'SELECT * FROM other'",
+    "SELECT IDENTIFIER('reflect')('java.lang.System','getProperty','user.home') FROM data", "SELECT IDENTIFIER('id') FROM data",
+    "SELECT * FROM global_temp.data", "SELECT secret FROM data", "SELECT session.secret FROM data", "SELECT own_function(id) FROM data", "SELECT twice(id) FROM data",
+    "SELECT session.twice(id) FROM data", "SELECT TRANSFORM(id) USING 'cat' AS x FROM data", "BEGIN SELECT 1; END", "SELECT * FROM sql_keywords()",
+    "SELECT input_file_name() FROM data", "SELECT * FROM data, LATERAL (SELECT * FROM other)", "FROM data |> JOIN other USING (id)", "TABLE other",
+    "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')", "VALUES ((SELECT max(id) FROM other))", "DESCRIBE data", "SHOW TABLES",
+    "SELECT * FROM data WHERE EXISTS (SELECT 1 FROM other)", "SELECT * FROM read_files('/tmp')", "FROM data INSERT INTO t SELECT *", "CACHE TABLE data",
+    "SELECT * FROM data LATERAL VIEW own_function(id) t AS x", "EXPLAIN SELECT * FROM IDENTIFIER('other')", "WITH other AS (SELECT * FROM other) SELECT * FROM other",
+])
+def test_sql_is_not_led_out(spark, reachable, text):
+    with pytest.raises(UnsafeQueryError):
+        sql_transform(spark.range(2), text)
+
+
+def test_sql_function_of_the_session_with_a_known_name(spark):
+    """A function that the session has put in the place of one of Spark's own is refused after analysis, or Spark's own runs."""
+    spark.udf.register("soundex", lambda x: "taken", "string")
+    try:
+        assert sql_transform(spark.range(2), "SELECT soundex('Miller') FROM data").first()[0] == "M460"
+    except UnsafeQueryError:
+        pass
+
+
+@pytest.mark.parametrize("text, want", [
+    ("SELECT k, sum(id) OVER w AS s FROM data WINDOW w AS (PARTITION BY k)", 4), ("SELECT * FROM data PIVOT (sum(id) FOR k IN (0, 1))", 1),
+    ("SELECT k, count(*) FROM data GROUP BY ROLLUP(k) HAVING count(*) > 0 ORDER BY 1 LIMIT 5 OFFSET 1", 2), ("SELECT * FROM VALUES (1, 2) AS t(a, b), data", 4),
+    ("SELECT x FROM data LATERAL VIEW explode(array(1, 2)) t AS x", 8), ("SELECT * FROM data, LATERAL (SELECT id + 1 AS y)", 4),
+    ("WITH RECURSIVE r(n) AS (VALUES (1) UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r, data", 12), ("TABLE data", 4),
+    ("SELECT * FROM data UNPIVOT (v FOR n IN (id, k))", 8), ("SELECT id FROM data d WHERE EXISTS (SELECT 1 FROM data e WHERE e.id = d.id + 1)", 3),
+    ("SELECT * FROM range(3) r JOIN data USING (id)", 3), ("SELECT /*+ BROADCAST(data) */ DISTINCT k FROM data EXCEPT SELECT 7 INTERSECT SELECT 7", 2),
+    ("FROM data |> WHERE id > 1 |> SELECT id", 2), ("SELECT * FROM data AS d(a, b) CLUSTER BY a", 4), ("SELECT transform(array(id), x -> x + 1) FROM data", 4),
+    ("SELECT stack(2, id, k) FROM data", 8), ("SELECT (SELECT max(id) FROM data) AS m, CASE WHEN id BETWEEN 1 AND 2 THEN 'a' END FROM data", 4),
+])
+def test_sql_clauses_that_stay_inside(spark, text, want):
+    assert sql_transform(spark.range(4).selectExpr("id", "id % 2 AS k"), text).count() == want
+
+
 def test_sql_runs_the_text_as_it_is(spark):
     text = "WITH a AS (SELECT id, 'a/*b*/c' AS s, 'x--y; update' AS t FROM data), b AS (SELECT * FROM a) SELECT s, t FROM b /* drop */ WHERE id = 1 -- end"
     assert rows(sql_transform(spark.range(3), text)) == [("a/*b*/c", "x--y; update")]

@@ -101,3 +101,15 @@ def test_partitions(spark, tmp_path):
     write_dataset(spark.createDataFrame([(99, 1)], "id long, part long"), path, partition_by=["part"], replace_partitions=True)
     assert [r[0] for r in rows(read_dataset(spark, path), "id")] == [0, 2, 4, 6, 8, 99]
     assert "PartitionFilters: [isnotnull(part" in plan(read_dataset(spark, path).where("part = 1"))
+
+
+def test_zeros_of_both_signs_are_one_value(spark):
+    from sparkelt.operators.audit import fingerprint
+
+    kind = "k int, v double, a array<float>, s struct<x: double>, m map<string, double>"
+    plus = spark.createDataFrame([(1, 0.0, [0.0, None], (0.0,), {"x": 0.0})], kind)
+    minus = spark.createDataFrame([(1, -0.0, [-0.0, None], (-0.0,), {"x": -0.0})], kind)
+    assert fingerprint(plus).collect() == fingerprint(minus).collect()
+    assert dedup_by_hash(plus.union(minus), ["v", "a", "s"], order=["k"]).count() == 1
+    nan = spark.createDataFrame([(1, float("nan"), None, None, None)], kind)
+    assert fingerprint(nan).collect() != fingerprint(plus).collect()
