@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from .arrow import LOWER, text_slices, totals
+from .arrow import LOWER, NOT_SPACE, spread, text_slices, totals, word_hashes, words
 from .links import cut_lineage, written
 
 #: Bins of trigrams; trigrams that a language is taken to have beside its own, in no bin, so that little evidence counts little.
@@ -23,6 +23,10 @@ BLOCK, HELD = 32, 128
 FUSED = 1 << 20
 #: How much a trigram counts, as neighbours overlap; weight of all text in a language's trigrams.
 TEMPER, MIXED = 0.3, 0.01
+#: Words of a shingle and marks per text, by which a language's different texts are counted; other texts that count as half a language.
+SHINGLE, MARKS, HALF = 5, 8, 2.0
+#: A language has a script of its own if so much of its text is in bins of which it has so large a part.
+OWN_SCRIPT, OWN_BIN = 0.5, 0.9
 #: Pseudo-counts of host and domain priors and of declared values.
 PRIOR, VALUES = 5.0, 1.0
 #: Below this probability a language is not settled.
@@ -51,49 +55,100 @@ def trigrams(data, offsets):
     return code[at].astype(np.int64), np.searchsorted(at, offsets)
 
 
+_FACTORS = np.random.default_rng(MARKS).integers(1 << 62, 1 << 63, MARKS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def marks(data, offsets):
+    """The texts that have a word, and ``MARKS`` numbers of each: the smallest of its shingles in as many orders.
+
+    Near copies share most of their marks, different texts none.
+    """
+    low, starts, ends, bounds = words(data, offsets, NOT_SPACE)
+    n = np.maximum(np.diff(bounds) - (SHINGLE - 1), np.minimum(np.diff(bounds), 1))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return some, np.empty((0, MARKS), np.int64)
+    first = spread(bounds[:-1], n)
+    last = np.minimum(first + SHINGLE - 1, np.repeat(bounds[1:] - 1, n))
+    h, at = word_hashes(low, starts[first], ends[last]), np.cumsum(n[some]) - n[some]
+    return some, np.column_stack([np.minimum.reduceat(h * f >> np.uint64(2), at).astype(np.int64) for f in _FACTORS])
+
+
+def trust_of(different):
+    """How far a language is believed that has so many different texts: not at all with one, fully with many."""
+    others = np.where(different > 1 + 1e-6, different - 1, 0.0)
+    return others / (others + HALF)
+
+
 class Model:
     """Log-likelihoods of trigram bins per language, as differences to those of bins that it does not hold.
 
     Six bytes per language and held bin. ``overall`` is trigrams per bin of all
-    languages, if ``counts`` has only some of them.
+    languages, if ``counts`` has only some of them. A language has a share of its
+    likelihood as large as its ``trust``, in the rest every bin is alike; one
+    with a script of its own has full trust.
     """
 
-    def __init__(self, languages, counts, overall=None):
+    def __init__(self, languages, counts, overall=None, trust=None):
         self.languages = list(languages)
         language, bins, n = (counts.column(c).to_numpy() for c in ("language", "bin", "n"))
         if overall is None:
             overall = np.bincount(bins, weights=n, minlength=BINS)
-        both = (overall + 0.5) / (overall.sum() + 0.5 * BINS)
+        self.both = (overall + 0.5) / (overall.sum() + 0.5 * BINS)
         order = np.argsort(language, kind="stable")
         language, bins, n = language[order], bins[order], n[order]
-        own = n / (np.bincount(language, weights=n, minlength=len(self.languages)) + UNSEEN)[language]
-        self.rest = np.log(MIXED * both)
-        self.bins = bins.astype(np.uint16)
-        self.gains = np.log1p((1 - MIXED) * own / (MIXED * both[bins])).astype(np.float32)
-        self.bounds = np.searchsorted(language, np.arange(len(self.languages) + 1))
-
-    def sums(self, code, bounds):
-        """(texts x languages) log-likelihoods of trigrams; one language is spread over all bins at a time."""
+        size = len(self.languages)
+        self.totals = np.bincount(language, weights=n, minlength=size)
+        alone = np.bincount(language, weights=np.where(n >= OWN_BIN * overall[bins], n, 0), minlength=size)
+        self.own_script = alone > OWN_SCRIPT * self.totals
+        self.trust = np.where(self.own_script, 1.0, np.ones(size) if trust is None else trust)
+        self.bins, self.n = bins.astype(np.uint16), n.astype(np.float32)
+        self.bounds = np.searchsorted(language, np.arange(size + 1))
+
+    def sums(self, code, bounds, declared=()):
+        """(texts x languages) log-likelihoods of trigrams; one language is spread over all bins at a time.
+
+        A text that declares a language is not held against its own trigrams
+        there, unless nobody else could confirm them: in a script of its own.
+        """
         out = np.empty((len(bounds) - 1, len(self.languages)))
-        for k in range(len(self.languages)):
-            logs, held = self.rest.copy(), slice(self.bounds[k], self.bounds[k + 1])
-            logs[self.bins[held]] += self.gains[held]
+        of = {}
+        for row, name in enumerate(declared):
+            of.setdefault(name, []).append(row)
+        for k, name in enumerate(self.languages):
+            held = slice(self.bounds[k], self.bounds[k + 1])
+            bins, n = self.bins[held], self.n[held].astype(np.float64)
+            rest = self.trust[k] * MIXED * self.both + (1 - self.trust[k]) / BINS
+            logs = np.log(rest)
+            logs[bins] = np.log(rest[bins] + self.trust[k] * (1 - MIXED) * n / (self.totals[k] + UNSEEN))
             sums = np.concatenate([[0.0], np.cumsum(logs[code])])
             out[:, k] = sums[bounds[1:]] - sums[bounds[:-1]]
+            if name in of and not self.own_script[k]:
+                dense = np.zeros(BINS)
+                dense[bins] = n
+                self._without_own(out, k, dense, rest, code, bounds, np.array(of[name]))
         return out
 
-    def likelihoods(self, data, offsets):
-        return likelihoods([self], data, offsets)
+    def _without_own(self, out, k, n, rest, code, bounds, rows):
+        sizes = (bounds[1:] - bounds[:-1])[rows]
+        key, own = np.unique(np.repeat(np.arange(len(rows)) << 16, sizes) | code[spread(bounds[rows], sizes)], return_counts=True)
+        row, bins = key >> 16, key & 0xFFFF
+        others = np.maximum(n[bins] - own, 0) / (np.maximum(self.totals[k] - sizes, 0) + UNSEEN)[row]
+        logs = np.log(rest[bins] + self.trust[k] * (1 - MIXED) * others)
+        out[rows, k] = np.bincount(row, weights=own * logs, minlength=len(rows))
+
+    def likelihoods(self, data, offsets, declared=()):
+        return likelihoods([self], data, offsets, declared)
 
 
-def likelihoods(models, data, offsets):
+def likelihoods(models, data, offsets, declared=()):
     """(texts x languages of all models and unknown) log-likelihoods, trigrams and letter bytes per text.
 
-    A text in none of the languages has every bin alike.
+    A text in none of the languages has every bin alike. ``declared`` names what each text declares.
     """
     code, bounds = trigrams(data, offsets)
     n = np.diff(bounds)
-    out = np.column_stack([*(m.sums(code, bounds) for m in models), n * -np.log(BINS)])
+    out = np.column_stack([*(m.sums(code, bounds, declared) for m in models), n * -np.log(BINS)])
     return TEMPER * out + 0.0, n, totals(_LETTER[data] != 32, offsets)
 
 
@@ -119,7 +174,10 @@ def _evidence(df, text_col, declared, suffix, host):
 
 
 def _bins(batches):
-    """(language, bin, n) of declared texts; a task holds counts of ``HELD`` languages and passes them on when there are more."""
+    """(language, bin, n) of declared texts; a task holds counts of ``HELD`` languages and passes them on when there are more.
+
+    The marks of texts are counted like bins, beyond ``BINS``.
+    """
     held = {}
 
     def passed_on():
@@ -133,6 +191,10 @@ def _bins(batches):
         of = np.repeat(names.indices.to_numpy(), np.diff(bounds))
         order = np.argsort(of, kind="stable")
         code, ends = code[order], np.searchsorted(of[order], np.arange(len(names.dictionary) + 1))
+        some, found = marks(data, offsets)
+        if len(some):
+            by_mark = names.dictionary.take(names.indices.take(pa.array(np.repeat(some, MARKS)))).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([by_mark, pa.array(BINS + found.ravel()), pa.array(np.ones(found.size, np.int64))], names=["language", "bin", "n"])
         for k, name in enumerate(names.dictionary.to_pylist()):
             if name not in held:
                 if len(held) == HELD:
@@ -147,24 +209,40 @@ def learn(rows, languages=None):
     """Names of languages and broadcast models of ``BLOCK`` languages each, from all ``rows`` (text, declared) that declare one.
 
     Without ``languages``, every declared language that has a trigram is learnt,
-    however rare. The counts are a table in files; the driver reads a block of
-    languages at a time.
+    however rare. It is trusted by the number of its different texts, of which a
+    group of copies counts as one; a code of one text alone is left out, unless
+    it has a script of its own. Those of ``languages`` are all believed. The counts are a table in files; the driver
+    reads a block of languages at a time.
     """
     spark = rows.sparkSession
     known = rows.select("declared", "text").where("declared IS NOT NULL" if languages is None else F.col("declared").isin(list(languages)))
     counts = written(known.mapInArrow(_bins, "language string, bin long, n long").groupBy("language", "bin").agg(F.sum("n").alias("n")))
-    if languages is None:
-        languages = sorted(r["language"] for r in counts.select("language").distinct().collect())
-    sums = counts.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins, found = counts.where(F.col("bin") < BINS), counts.where(F.col("bin") >= BINS)
+    # as many texts as marks would be shared by, if all texts were alike in that; one for a group of copies
+    different = (F.pow(F.sum("n").cast("double"), F.lit(2)) / (MARKS * F.sum(F.col("n").cast("double") * F.col("n")))).alias("different")
+    texts = {r["language"]: r["different"] for r in found.groupBy("language").agg(different).collect()}
+    given = languages is not None
+    if not given:
+        languages = sorted(r["language"] for r in bins.select("language").distinct().collect())
+    sums = bins.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     overall = np.zeros(BINS)
     overall[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
-    models = []
+    names, models = [], []
     for start in range(0, len(languages), BLOCK):
         some = list(languages[start:start + BLOCK])
-        part = counts.where(F.col("language").isin(some)).toArrow()
-        number = pc.index_in(part.column("language"), pa.array(some, pa.string())).cast(pa.int64())
-        models.append(spark.sparkContext.broadcast(Model(some, part.set_column(0, "language", number), overall)))
-    return list(languages), models
+        part = bins.where(F.col("language").isin(some)).toArrow()
+
+        def model(some):
+            number = pc.index_in(part.column("language"), pa.array(some, pa.string()))
+            known = part.set_column(0, "language", number.cast(pa.int64())).filter(pc.is_valid(number))
+            return Model(some, known, overall, None if given else trust_of(np.array([texts.get(name, 0.0) for name in some])))
+
+        made = model(some)
+        believed = [name for name, trust in zip(some, made.trust) if trust > 0]
+        if believed:
+            names += believed
+            models.append(spark.sparkContext.broadcast(made if len(believed) == len(some) else model(believed)))
+    return names, models
 
 
 def _scored(rows, models):
@@ -174,7 +252,7 @@ def _scored(rows, models):
 
     def score(batches):
         for batch, data, offsets in text_slices(batches):
-            logs, *sizes = likelihoods([m.value for m in models], data, offsets)
+            logs, *sizes = likelihoods([m.value for m in models], data, offsets, batch.column("declared").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * logs.shape[1], pa.int32()), pa.array(logs.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *(pa.array(n, pa.int64()) for n in sizes)], names=schema.names)
 
@@ -279,10 +357,10 @@ class Evidence:
             for whole, data, offsets in text_slices(batches):
                 for start in range(0, len(whole), step):
                     batch, ends = whole.slice(start, step), offsets[start:start + step + 1]
-                    found = judged(batch, *likelihoods([m.value for m in models], data[ends[0]:ends[-1]], ends - ends[0]))
+                    found = judged(batch, *likelihoods([m.value for m in models], data[ends[0]:ends[-1]], ends - ends[0], batch.column("declared").to_pylist()))
                     yield pa.RecordBatch.from_arrays([batch.column("row").filter(found[-1])], names=schema.names)
 
-        return self.joined(rows).select("row", "text", *[f"n_{key}" for key in self.KEYS]).mapInArrow(kept, schema)
+        return self.joined(rows).select("row", "text", "declared", *[f"n_{key}" for key in self.KEYS]).mapInArrow(kept, schema)
 
 
 _VERDICT = [StructField("language", StringType()), StructField("probability", DoubleType()), StructField("text_language", StringType()), StructField("kept", BooleanType())]

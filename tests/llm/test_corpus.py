@@ -335,6 +335,133 @@ def test_no_declared_language_is_left_out(spark):
     assert language.keep_identified(df, declared=F.col("lang"), host=F.col("host")).count() == len(rows)
 
 
+def english(spark, n=400):
+    return spark.read.parquet(f"{SMALLEST.replace('0.001', '0.01')}/documents.parquet").where(f"doc_id < {n}")
+
+
+def test_a_code_of_one_text_does_not_confirm_itself(spark):
+    docs = english(spark)
+    first = docs.where("lang = 'en' AND length(text) BETWEEN 600 AND 3000").orderBy("doc_id").first()
+    text, words = first["text"], first["text"].split()
+    near = text.replace(words[40], "changed", 1)
+    copies = [(90_001, text, "zz"), (90_002, text, "en"), (90_003, near, "en"), (90_004, near, "zz")]
+    known = docs.union(spark.createDataFrame([(i, t, code, first["source"], 1) for i, t, code in copies], docs.schema))
+    got = {r["doc_id"]: r for r in language.identify(known, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(got[i]["language"] == "en" and got[i]["kept"] for i in (first["doc_id"], *(c[0] for c in copies)))
+    assert all(got[r["doc_id"]]["language"] == r["lang"] for r in docs.collect())
+
+
+def test_a_rare_language_of_different_texts_wins(spark):
+    draw = random.Random(11)
+    words = ["talossa", "kissa", "juoksee", "yö", "päivä", "hyvää", "ystävä", "metsässä", "lintu", "laulaa", "kaunis", "vesi", "järvellä", "aurinko", "paistaa", "minä", "olen", "suomalainen"]
+    rows = [(90_000 + k, " ".join(draw.choices(words, k=60)), "fi", "src0", 1) for k in range(10)]
+    docs = english(spark)
+    got = {r["doc_id"]: r for r in language.identify(docs.union(spark.createDataFrame(rows, docs.schema)), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(got[r[0]]["language"] == "fi" and got[r[0]]["kept"] for r in rows)
+    alone = [(90_000, "ქართული ენა არის ლამაზი და ძველი " * 8, "ka", "src0", 1)]
+    got = language.identify(docs.union(spark.createDataFrame(alone, docs.schema)), declared=F.col("lang"), host=F.col("source")).where("doc_id = 90000").first()
+    assert got["language"] == "ka" and got["kept"]
+
+
+def test_marks_count_different_texts():
+    import pyarrow as pa
+
+    from sparkelt.llm import arrow
+
+    draw = random.Random(6)
+    one = [f"w{draw.randrange(10 ** 6)}" for _ in range(200)]
+    near = [" ".join(one[:k] + ["x"] + one[k + 1:]) for k in range(0, 200, 10)]
+    other = [" ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(50)) for _ in range(20)]
+
+    def different(texts):
+        some, found = language.marks(*arrow.flat(arrow.filled(pa.array(["", *texts, " "]))))
+        assert some.tolist() == list(range(1, len(texts) + 1))
+        n = np.unique(found, return_counts=True)[1].astype(float)
+        return n.sum() ** 2 / (language.MARKS * (n ** 2).sum())
+
+    assert different([near[0]] * 9) == 1 and different(near) < 2 and different(other) == 20 and different(["a", "b c"]) == 2
+
+
+def plain_language(rows):
+    """(language, probability) per row of (id, text, declared, host), by loops over texts and trigrams."""
+    import pyarrow as pa
+
+    from sparkelt.llm import arrow
+
+    def trigrams(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2 ** 32) >> 16 for i in range(len(raw) - 2) if raw[i:i + 3].count(32) <= 1]
+
+    bins = [trigrams(r[1]) for r in rows]
+    counts, seen = {}, {}
+    for (_, text, declared, _), own in zip(rows, bins):
+        if declared:
+            held = counts.setdefault(declared, {})
+            for b in own:
+                held[b] = held.get(b, 0) + 1
+            for m in language.marks(*arrow.flat(arrow.filled(pa.array([text]))))[1].ravel().tolist():
+                seen.setdefault(declared, {})[m] = seen.get(declared, {}).get(m, 0) + 1
+    overall = {}
+    for held in counts.values():
+        for b, n in held.items():
+            overall[b] = overall.get(b, 0) + n
+    whole = sum(overall.values())
+    trust, own_script = {}, {}
+    for name, held in counts.items():
+        ns = list(seen.get(name, {}).values())
+        d = sum(ns) ** 2 / (8 * sum(n * n for n in ns)) if ns else 0
+        own_script[name] = sum(n for b, n in held.items() if n >= 0.9 * overall[b]) > 0.5 * sum(held.values())
+        trust[name] = 1.0 if own_script[name] else max(d - 1, 0) / (max(d - 1, 0) + 2) if d > 1 + 1e-6 else 0.0
+    names = [n for n in sorted(counts) if trust[n] > 0]
+
+    def log(name, own, declared):
+        held, total, out = counts[name], sum(counts[name].values()), 0.0
+        leave = declared == name and not own_script[name]
+        for b in own:
+            n, t = held.get(b, 0), total
+            if leave:
+                n, t = n - own.count(b), total - len(own)
+            both = (overall.get(b, 0) + 0.5) / (whole + 0.5 * 65536)
+            out += np.log(trust[name] * (0.01 * both + 0.99 * n / (t + 300)) + (1 - trust[name]) / 65536)
+        return 0.3 * out
+
+    logs = [[*(log(n, own, r[2]) for n in names), 0.3 * len(own) * -np.log(65536)] for r, own in zip(rows, bins)]
+    width = len(names) + 1
+    best = [width - 1 if not any(c.isalpha() for c in r[1]) else int(np.argmax(x)) if own else None for r, x, own in zip(rows, logs, bins)]
+
+    def tally(chosen):
+        return np.array([sum(best[i] == k for i in chosen) for k in range(width)], float)
+
+    everyone, found = tally(range(len(rows))), []
+    overall_prior = (everyone + 1) / (everyone.sum() + width)
+    declared_rows = tally([i for i, r in enumerate(rows) if r[2]])
+    for i, (_, text, declared, host) in enumerate(rows):
+        domain = tally([j for j, r in enumerate(rows) if r[3].split(".", 1)[1] == host.split(".", 1)[1]])
+        own_host = tally([j for j, r in enumerate(rows) if j != i and r[3] == host])
+        prior = (domain + 5 * overall_prior) / (domain.sum() + 5)
+        prior = (own_host + 5 * prior) / (own_host.sum() + 5)
+        fused = np.array(logs[i]) + np.log(prior)
+        if declared:
+            n = tally([j for j, r in enumerate(rows) if r[2] == declared])
+            share = n.sum() / max(declared_rows.sum(), 1)
+            fused += np.log((n + share) / (declared_rows + 1))
+        posterior = np.exp(fused - fused.max())
+        posterior /= posterior.sum()
+        bare = not any(c.isalpha() for c in text)
+        found.append(([*names, "und"][width - 1 if bare else int(posterior.argmax())], posterior.max()))
+    return found
+
+
+def test_fused_posterior_against_brute_force(spark):
+    rows = [(r[0], r[1], r[2], r[3]) for r in spoken(4, 60)]
+    rows += [(700, SENTENCES["en"], "zz", "en.example.org"), (701, "le der and", "de", "fr.example.org"), (702, "12 !", "en", "en.example.org"), (703, "ქართული ენა", "ka", "a.b.org"),
+             (704, "das ist", None, "b.b.org"), (705, "x", "fr", "b.b.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    got = {r["doc_id"]: r for r in language.identify(df, declared=F.col("lang"), host=F.col("host")).collect()}
+    for (i, *_), (name, probability) in zip(rows, plain_language(rows)):
+        assert got[i]["language"] == name and got[i]["probability"] == pytest.approx(probability, abs=1e-6)
+
+
 def test_evidence_of_pages(spark):
     html = "<!DOCTYPE html><html class=x lang='de-AT'><style>p{}</style><!-- the --><body>Der &amp; <b>Hund</b><script>var the</script></body>"
     df = spark.createDataFrame([(1, "https://user@www.Example.de:80/fr/x?y", html), (2, "http://a.example.de", None), (3, None, "x")], "page_id long, url string, html string")
