@@ -564,18 +564,18 @@ def some_vectors(n, dimension, seed):
     return rows
 
 
-@pytest.mark.parametrize("group, leaf", [(8192, 256), (40, 16)])
-def test_vectors_against_brute_force(spark, group, leaf):
+@pytest.mark.parametrize("leaf, block", [(8192, 4096), (8192, 50), (64, 4096), (64, 20)])
+def test_vectors_against_brute_force(spark, leaf, block):
     rows = some_vectors(300, 16, 4)
     rows += [(1000 + k, rows[0][1]) for k in range(40)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [None, *rows[1][1][1:]]), (2004, [float("nan"), *rows[1][1][1:]]), (2005, [float("inf")] * 16), (2006, [1.0, 2.0]), (2007, [2.0, 4.0])]
     df = spark.createDataFrame([(i, v, 1, True) for i, v in rows], "vec_id long, embedding array<double>, cid int, fine boolean").repartition(5)
-    got = ordered(map(tuple, forest.near_vectors(df, group=group, leaf=leaf).collect()))
+    got = ordered(map(tuple, forest.near_vectors(df, leaf=leaf, block=block).collect()))
     want = plain_vectors(rows)
     assert len(got) == len(want)
     found, real = sum(r[1] for r in got), sum(r[1] for r in want)
     assert found <= real and found >= 0.97 * real
-    if leaf == 256:
+    if leaf == 8192:
         assert got == want
 
 
@@ -583,20 +583,43 @@ def test_vectors_of_an_empty_table(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
-def test_recall_at_the_threshold():
-    """Pairs just above the threshold among many others, in one tree after the other."""
+def test_dense_cluster_is_counted_in_blocks(spark):
+    """5,000 different vectors of one cluster: all links are counted, and only a forest of them leaves a task."""
+    draw = np.random.default_rng(9)
+    centre = draw.standard_normal(32)
+    rows = [(k, (centre + 0.05 * draw.standard_normal(32)).tolist()) for k in range(5000)] + [(9000 + k, draw.standard_normal(32).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in forest.near_vectors(df).collect()}
+    unit = forest.units(np.array([v for _, v in rows]))
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [got[i]["n_links"] for i, _ in rows] == want.tolist() and want[:5000].min() == 4999
+    assert all(got[k]["component_id"] == 0 for k in range(5000))
+    classes = df.select(F.col("vec_id").alias("cid"), F.lit(1).alias("n"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"))
+    assert forest.vector_links(classes).count() < 200_000
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold among many others, through cuts of all levels and through the whole operator."""
     draw = np.random.default_rng(3)
     base = forest.units(draw.standard_normal((3000, 64)))
     other = forest.units(draw.standard_normal((3000, 64)))
     other = forest.units(other - (other * base).sum(axis=1, keepdims=True) * base)
     rows = np.concatenate([base, 0.901 * base + np.sqrt(1 - 0.901 ** 2) * other])
-    found = np.zeros(3000, bool)
-    for tree in range(forest.TREES):
-        for own in forest.leaves(rows, [forest.SEED, tree], 0.9):
-            seen = np.zeros(6000, bool)
-            seen[own] = True
-            found |= seen[:3000] & seen[3000:]
-    assert found.mean() > 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    classes = df.select(F.col("vec_id").alias("cid"), F.lit(1).alias("n"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"))
+    cuts = forest.fit_forest(classes)[64]
+    assert all(len(tree) == 3 and np.isfinite(tree[0]).all() for tree in cuts)
+    got = {r["vec_id"]: r["n_links"] for r in forest.near_vectors(df).collect()}
+    want = (rows @ rows.T >= 0.9).sum(axis=1) - 1
+    assert sum(got.values()) <= want.sum() and sum(got.values()) >= 0.95 * want.sum()
+
+
+def test_cuts_avoid_clusters():
+    draw = np.random.default_rng(2)
+    side = np.sort(np.concatenate([draw.standard_normal(500) * 0.001, draw.standard_normal(500)]))
+    cut = forest._best_cut(side, 0.05)
+    assert np.isfinite(cut) and abs(cut) > 0.05
+    assert forest._best_cut(np.zeros(100), 0.05) == np.inf and forest._best_cut(np.arange(3.0), 0.05) == np.inf
 
 
 # -- the pipeline -----------------------------------------------------------
