@@ -3,11 +3,17 @@
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window, functions as F, types as T
 
 from .relational import top_k
 
 BANDS = 1024  # per doubling of a value
+REACH = 39.0  # bandwidths beyond which a normal kernel is zero in doubles
+# Bits of a double below those that name its band: sign, exponent and 12 bits are kept.
+FINE_BITS = 40
+PENDING = 1 << 18  # counts of a column that a task holds before it adds up equal ones
 
 
 def is_numeric(df, column):
@@ -210,6 +216,86 @@ def _finer(values, bands, group, parts=1024):
     return kept.drop("_lo", "_part").withColumnRenamed("_from", "_lo").select(*bands.columns)
 
 
+def _band_codes(values):
+    """Whole numbers in the order of the doubles, cut to bands of 1 / 4096 of a doubling."""
+    bits = (values + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))) >> FINE_BITS
+
+
+def _counted_in_tasks(wide, keys_of, kind):
+    """(c, key, n): rows per column number and key; a task adds up its own before anything is shuffled.
+
+    ``keys_of(c, values)`` gives the keys of an array of doubles without nulls.
+    """
+    def count(batches):
+        held = {}
+
+        def merged(c):
+            keys, at = np.unique(np.concatenate([k for k, _ in held[c]]), return_inverse=True)
+            held[c] = [(keys, np.bincount(at, weights=np.concatenate([n for _, n in held[c]]), minlength=len(keys)))]
+            return held[c][0]
+
+        for batch in batches:
+            for c, column in enumerate(batch.columns):
+                values = keys_of(c, column.drop_null().to_numpy(zero_copy_only=False))
+                if len(values):
+                    held.setdefault(c, []).append(np.unique(values, return_counts=True))
+                    if sum(len(k) for k, _ in held[c]) > PENDING and len(held[c]) > 1:
+                        merged(c)
+        for c in held:
+            keys, n = merged(c)
+            for start in range(0, len(keys), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), c, np.int32)), pa.array(keys[part]), pa.array(n[part].astype(np.int64))], names=["c", "key", "n"])
+
+    return wide.mapInArrow(count, f"c int, key {kind}, n long").groupBy("c", "key").agg(F.sum("n").alias("_c"))
+
+
+def column_quantiles(wide, probabilities):
+    """Exact interpolated quantiles of all columns of doubles of ``wide`` (no NaN): (c, q0, q1, ...), c the column's number.
+
+    Two scans however many columns there are, and no row per value: the first
+    counts rows per column and band of values, the second only the values of
+    bands that hold a wanted rank. Those bands, two per column and
+    probability at most, come to the driver between the two.
+    """
+    total = F.col("_total")
+    at = [(total - 1) * F.lit(float(p)) for p in probabilities]
+    ranks = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    bands = _counted_in_tasks(wide, lambda c, values: _band_codes(values), "long")
+    bands = bands.withColumns({"_total": F.sum("_c").over(Window.partitionBy("c")), "_before": F.lit(0)}).withColumn("_ranks", ranks)
+    bands = _holding_ranks(bands, ["c"], "key").select("c", F.col("key").alias("band"), "_total", "_before", "_ranks").toArrow()
+    chosen = {}
+    for c, band in zip(bands.column("c").to_pylist(), bands.column("band").to_pylist()):
+        chosen.setdefault(c, []).append(band)
+
+    def within(c, values):
+        return values[np.isin(_band_codes(values), chosen.get(c, []))] + 0.0
+
+    # which value holds a rank follows from what is ahead of its band; a band is named by where it begins
+    wanted = [(r["c"], float(_band_start(r["band"])), r["_total"], r["_before"], r["_ranks"]) for r in bands.to_pylist()]
+    wanted = wide.sparkSession.createDataFrame(wanted, "c int, low double, _total long, _before long, _ranks array<long>")
+    by_column = wanted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("low", "_total", "_before", "_ranks"))).alias("bands"))
+    counts = _counted_in_tasks(wide, within, "double").join(F.broadcast(by_column), "c")  # one row per column
+    own = F.element_at(F.filter("bands", lambda b: b["low"] <= F.col("key")), -1)
+    placed = counts.withColumn("band", own).select("c", "key", "_c", *[F.col("band")[name].alias(name) for name in ("low", "_total", "_before", "_ranks")])
+    found = _holding_ranks(placed, ["c", "low"], "key")
+    found = found.select("c", "_total", "key", F.explode("_ranks").alias("_rank")).groupBy("c").agg(
+        F.first("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_rank", "key"))).alias("_at"))
+    quantiles = []
+    for i, a in enumerate(at):
+        low, high = [F.col("_at")[f(a).cast("long")] for f in (F.floor, F.ceil)]
+        quantiles.append(F.when(low == high, low).otherwise(low + (high - low) * (a - F.floor(a))).alias(f"q{i}"))
+    return found.select("c", *quantiles)
+
+
+def _band_start(band):
+    """The smallest double of a band; below the finite ones there is only minus infinity."""
+    code = np.array([band << FINE_BITS], np.int64)
+    start = (code ^ ((code >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)[0]
+    return -np.inf if np.isnan(start) else start
+
+
 def box_stats(df, x, y):
     """Box plot per x: quartiles, whiskers at the last values within 1.5 IQR, outlier count.
 
@@ -235,8 +321,10 @@ def kde_grid(df, column, points=200):
     """Gaussian density at equal steps from the minimum to the maximum (point, x, density).
 
     Exact over all rows, with Scott's bandwidth: equal values are counted
-    once and their kernel weighted with the count. The sums at all points are
-    one aggregate. Fewer than two different values have no density.
+    once and their kernel weighted with the count. A kernel is 0.0 in doubles
+    beyond ``REACH`` bandwidths, so a point meets only the values within them:
+    each task sorts its values a batch at a time and adds up one sum per point.
+    Fewer than two different values have no density.
     """
     counted = value_counts(df, column)
     v, c = F.col("_v"), F.col("_c")
@@ -252,11 +340,28 @@ def kde_grid(df, column, points=200):
     # the scalars become columns once, not once per point
     spots = counted.where(width > 0).select(
         "_v", "_c", lo.alias("_lo"), step.alias("_step"), width.alias("_width"), scale.alias("_scale"))
-    at = [F.col("_lo") + F.lit(k) * F.col("_step") for k in range(points)]
-    kernels = [F.sum(c * F.exp(F.pow((x - v) / F.col("_width"), F.lit(2)) * -0.5)).alias(f"_s{k}") for k, x in enumerate(at)]
-    sums = spots.agg(*[F.max(s).alias(s) for s in ("_lo", "_step", "_scale")], *kernels)
-    rows = [F.struct(F.lit(k).alias("point"), x.alias("x"), (F.col(f"_s{k}") / F.col("_scale")).alias("density")) for k, x in enumerate(at)]
-    return sums.select(F.inline(F.array(*rows))).where("density IS NOT NULL")
+
+    def kernels(batches):
+        sums, grid = np.zeros(points), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, counts = (batch.column(name).to_numpy() for name in ("_v", "_c"))
+            low, between, width_, scale_ = (batch.column(name)[0].as_py() for name in ("_lo", "_step", "_width", "_scale"))
+            grid = low + np.arange(points) * between
+            order = np.argsort(values)
+            values, counts = values[order], counts[order].astype(np.float64)
+            begins = np.searchsorted(values, grid - REACH * width_)
+            ends = np.searchsorted(values, grid + REACH * width_, side="right")
+            for k, (begin, end) in enumerate(zip(begins, ends)):
+                away = (grid[k] - values[begin:end]) / width_
+                sums[k] += counts[begin:end] @ np.exp(away * away * -0.5)
+        if grid is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(grid), pa.array(sums), pa.array(np.full(points, scale_))], names=["point", "x", "_sum", "_scale"])
+
+    sums = spots.mapInArrow(kernels, "point int, x double, _sum double, _scale double").groupBy("point").agg(
+        F.max("x").alias("x"), (F.sum("_sum") / F.max("_scale")).alias("density"))
+    return sums.where("density IS NOT NULL")
 
 
 def scatter_points(df, x, y):
@@ -269,7 +374,7 @@ def describe_numeric(df):
     """One row per numeric column: count, mean, std, min, quartiles, max (all exact).
 
     A column without a value has the count 0 and nulls. The moments of all
-    columns are one aggregate over the wide table.
+    columns are one aggregate over the wide table, their quartiles two scans of it (see ``column_quantiles``).
     """
     columns = numeric_columns(df)
     if not columns:
@@ -281,11 +386,10 @@ def describe_numeric(df):
                  F.min(v).alias("min"), F.max(v).alias("max")).alias(v)
         for v, c in zip(wide.columns, columns)])
     stats = moments.select(F.inline(F.array(*moments.columns)))
-    tall = wide.withColumnsRenamed(dict(zip(wide.columns, columns))).unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value")
-    quartiles = exact_quantiles(tall, "column", "value", (0.25, 0.5, 0.75)).drop("n")
+    quartiles = column_quantiles(wide, (0.25, 0.5, 0.75))
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
     # both sides have one row per column of the table
-    quartiles = quartiles.select(
-        "column", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"))
+    quartiles = quartiles.select(named.alias("column"), F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"))
     return stats.join(quartiles, "column", "left")
 
 

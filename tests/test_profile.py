@@ -208,3 +208,40 @@ def test_rollups(spark, sales):
 def test_profiles_read_only_their_columns(tables):
     text = plan(summary_stats(tables["lineitem"], "l_tax"))
     assert "ReadSchema: struct<l_tax:double>" in text and "BatchEvalPython" not in text
+
+
+def test_quantiles_of_columns_against_numpy(spark):
+    import numpy as np
+
+    from sparkelt.operators.profile import column_quantiles, _band_codes, _band_start
+
+    draw = np.random.default_rng(5)
+    columns = [draw.standard_normal(3000), draw.integers(-3, 4, 3000).astype(float), np.exp(draw.standard_normal(3000) * 40), -np.abs(draw.standard_normal(3000)) * 1e-310,
+               np.full(3000, 7.5), np.where(draw.random(3000) < 0.5, 0.0, -0.0)]
+    df = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*columns)], ", ".join(f"_{i} double" for i in range(6))).repartition(7)
+    got = {r["c"]: tuple(r)[1:] for r in column_quantiles(df, (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for c, values in enumerate(columns):
+        assert got[c] == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]).tolist(), rel=1e-12, abs=0)
+    some = np.sort(np.concatenate([*columns, [np.inf, -np.inf, 1e308, -1e308]]))
+    codes = _band_codes(some)
+    assert (np.diff(codes) >= 0).all() and all(_band_start(int(k)) <= v for k, v in zip(codes, some) if np.isfinite(v))
+    assert column_quantiles(df.limit(0), (0.5,)).collect() == []
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "_0 double")
+    assert tuple(column_quantiles(ends, (0.0, 0.5, 1.0)).first())[1:] == (float("-inf"), 1.0, float("inf"))
+
+
+def test_description_has_no_row_per_value(spark):
+    text = plan(describe_numeric(spark.range(100).selectExpr("id", "id * 0.5D AS half")))
+    assert "Expand" not in text and "Generate" not in text.split("MapInArrow")[-1]
+
+
+def test_density_is_truncated_without_loss(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    values = np.concatenate([draw.standard_normal(3000), 1e6 + draw.standard_normal(5)])
+    got = kde_grid(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", 50).orderBy("point").collect()
+    width = values.std(ddof=1) * len(values) ** -0.2
+    for r in got:
+        want = np.exp(-0.5 * ((r["x"] - values) / width) ** 2).sum() / (len(values) * width * np.sqrt(2 * np.pi))
+        assert r["density"] == pytest.approx(want, rel=1e-12, abs=1e-300)
