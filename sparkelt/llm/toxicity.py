@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .arrow import ALNUM, text_slices, totals, word_hashes, words
-from .links import cut_lineage
+from .links import cut_lineage, written
 
 #: Labelled documents that the model is fitted on at most, chosen by a digest of the id.
 FIT_ROWS = 50_000
@@ -22,8 +22,6 @@ STEMS = (3, 4, 5, 6, 7, 8)
 BINS = 1 << 19
 #: Pseudo-counts that a word or beginning has from the next shorter one.
 PRIOR = 4.0
-#: Bins that fewer labelled documents hold are left to the shorter beginnings.
-LEAST_HELD = 2
 #: What every word costs, so that segments end; scores below the floor are no passages.
 DRIFT, FLOOR = 1.0, 2.0
 #: Grid for the decay of chance scores.
@@ -76,7 +74,7 @@ def _label_counts(docs, sample):
     # the sample has at most FIT_ROWS rows of two numbers
     known = docs.join(F.broadcast(sample), docs["id"] == sample["known"]).select("label", "text")
     counts = known.mapInArrow(count, schema).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    return counts.where(F.col("n") >= LEAST_HELD).select(*[F.col(c).cast("int") for c in ("bin", "n", "toxic")])
+    return counts.select(*[F.col(c).cast("int") for c in ("bin", "n", "toxic")])
 
 
 class Odds:
@@ -86,7 +84,9 @@ class Odds:
         base = (toxic + 0.5) / (n + 1.0)
         self.base = np.float32(base)
         self.n, self.toxic = (np.zeros((len(STEMS) + 1) * BINS, np.float32) for _ in range(2))
-        self.n[counts["bin"]], self.toxic[counts["bin"]] = counts["n"], counts["toxic"]
+        for part in (batch for kind in counts for batch in kind.to_batches()):
+            bins, held, toxic_ = (part.column(c).to_numpy() for c in ("bin", "n", "toxic"))
+            self.n[bins], self.toxic[bins] = held, toxic_
 
     def scores(self, codes):
         rate = np.full(len(codes[0]), self.base, np.float32)
@@ -235,9 +235,10 @@ def toxicity(df, labels, id_col="doc_id", text_col="text", label_col="toxic", fi
     known = cut_lineage(known.withColumn("part", _remainder("known")))
     fitted = known.where("part <> 3").select("known", "label")
     size = fitted.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    # at most one row per bin
-    counts = _label_counts(docs, fitted).toPandas()
-    odds = df.sparkSession.sparkContext.broadcast(Odds(counts, size["n"], size["toxic"]))
+    # one kind of bins at a time: at most one row per bin, twelve bytes each
+    counts = written(_label_counts(docs, fitted))
+    kinds = (counts.where(F.col("bin").between(k * BINS, (k + 1) * BINS - 1)).toArrow() for k in range(len(STEMS) + 1))
+    odds = df.sparkSession.sparkContext.broadcast(Odds(kinds, size["n"], size["toxic"]))
     scanned = cut_lineage(_scan(docs, odds))
     decay, factor = chance_law(scanned)
     def rarity(segment_score):
