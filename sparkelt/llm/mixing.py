@@ -198,9 +198,11 @@ def mix(docs, id_col="doc_id", text_col="text", targets=None, alpha=ALPHA, round
     """The rows of ``docs`` that ``mixing_decisions`` keeps, all columns as they are."""
     features = _features(docs, text_col, topics)
     narrow = docs.select(*[c.alias(n) for n, c in features.items()])
-    cells = raked_cells(narrow, targets, alpha, rounds, least).select(*[F.col(n).alias(f"__{n}") for n in DIMENSIONS], F.col("probability").alias("__p"))
-    rows = docs.withColumns({f"__{n}": features[n] for n in DIMENSIONS}).join(cells, [f"__{n}" for n in DIMENSIONS])
-    return rows.where(uniform(id_col, seed) < F.col("__p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cells = raked_cells(narrow, targets, alpha, rounds, least).select(*DIMENSIONS, "probability")
+    # columns in a struct, so that no name of the caller's meets those used here
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), uniform(id_col, seed).alias("drawn"), *[features[n].alias(n) for n in DIMENSIONS])
+    rows = whole.join(cells, list(DIMENSIONS))
+    return rows.where(F.col("drawn") < F.col("probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixing_sql(documents="documents", alpha=ALPHA, rounds=ROUNDS, topics=TOPICS, seed="mix"):

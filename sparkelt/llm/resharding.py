@@ -149,7 +149,7 @@ class Placement:
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in self.columns.items()])
         kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
         placed = self._slotted(self._assigned(whole))
-        return placed.select(*[F.col("row")[c].alias(c) for c in kept], "shard", "slot", F.col("old").alias("__old")).drop("__old")
+        return placed.select(*[F.col("row")[c].alias(c) for c in kept], "shard", "slot")
 
     def rewrite(self, docs, path):
         """Write the shards whose documents change to ``path`` (shard=K folders there are replaced); returns them.

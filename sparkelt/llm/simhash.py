@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrow import NOT_SPACE, text_slices, words
-from .links import connected_components, cut_lineage, merge
+from .links import connected_components, cut_lineage, merge, written
 
 BYTES, BITS, SEED = 8, 3, 42
 LEAST_SHARED = BYTES - BITS
@@ -222,9 +222,16 @@ def drop_near_copies(df, id_col="doc_id", text_col="text"):
     stay as they are.
     """
     prints = cut_lineage(fingerprint_table(df, id_col, text_col, keyed=True))
-    kept = (prints.join(_components(prints), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-            .groupBy("component").agg(F.min("row_key").alias("__key")).select("__key"))
-    rows = df.withColumn("__row", row_key(id_col, text_col))
-    rows = rows.join(kept, rows["__row"] == kept["__key"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return rows.withColumn("__rank", first).where("__rank = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    named = prints.join(_components(prints), "fp").select("id", "row_key", "component", "component_id")
+    kept = named.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("key"))
+    named = cut_lineage(named.select("row_key", "component").join(kept, "component").select("row_key", (F.col("row_key") == F.col("key")).alias("stays")))
+    # few rows leave and fewer repeat, so these keys are the smaller tables; texts are shuffled only to drop repeated rows
+    leave = written(named.where("NOT stays").select("row_key").distinct())
+    again = written(named.where("stays").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
+    # columns in a struct, so that no name of the caller's meets those used here
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key(id_col, text_col).alias("row_key")).join(leave, "row_key", "left_anti")
+    if not again.isEmpty():
+        first = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+        once = rows.join(again, "row_key", "left_semi").withColumn("rank", first).where("rank = 1").drop("rank")
+        rows = rows.join(again, "row_key", "left_anti").union(once)
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns])
