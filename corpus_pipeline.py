@@ -9,7 +9,7 @@ again, so a lost executor costs one stage at most.
 from pyspark.sql import functions as F
 
 from sparkelt.llm import decontaminate, language, mixing, resharding, simhash
-from sparkelt.sources.paths import shared_dir
+from sparkelt.sources.paths import remove, shared_dir
 
 #: Share of the tokens that mixing keeps at least.
 LEAST_KEPT = 0.5
@@ -53,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages in a row, over the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in a row, over the table of documents; a stage's folder goes when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
