@@ -225,11 +225,13 @@ def drop_near_copies(df, id_col="doc_id", text_col="text"):
     named = prints.join(_components(prints), "fp").select("id", "row_key", "component", "component_id")
     kept = named.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row_key").alias("key"))
     named = cut_lineage(named.select("row_key", "component").join(kept, "component").select("row_key", (F.col("row_key") == F.col("key")).alias("stays")))
-    # few rows leave and fewer repeat, so these keys are the smaller tables; texts are shuffled only to drop repeated rows
+    # few rows leave and fewer repeat, so these keys are the smaller tables
     leave = written(named.where("NOT stays").select("row_key").distinct())
     again = written(named.where("stays").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"))
     # columns in a struct, so that no name of the caller's meets those used here
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key(id_col, text_col).alias("row_key")).join(leave, "row_key", "left_anti")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), row_key(id_col, text_col).alias("row_key"))
+    # by merge at every size, as these keys grow with the rows
+    rows = rows.join(leave.hint("merge"), "row_key", "left_anti")
     if not again.isEmpty():
         first = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
         once = rows.join(again, "row_key", "left_semi").withColumn("rank", first).where("rank = 1").drop("rank")
