@@ -82,7 +82,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n):
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * len(_powers[0]))
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for k, base in enumerate((_BASE, inverse)):
             steps = np.full(size, base, np.uint64)

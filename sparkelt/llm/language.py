@@ -19,6 +19,8 @@ from .links import cut_lineage, written
 BINS, UNSEEN = 1 << 16, 300.0
 #: Languages whose counts the driver and a task hold at a time; all are learnt, block by block.
 BLOCK, HELD = 32, 128
+#: Bytes of text that a task works on at a time: several arrays of numbers per byte are held beside the models.
+TEXT_BYTES = 1 << 20
 #: Numbers that are worked on at a time when evidence is fused.
 FUSED = 1 << 20
 #: How much a trigram counts, as neighbours overlap; weight of all text in a language's trigrams.
@@ -185,7 +187,7 @@ def _bins(batches):
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], names=["language", "bin", "n"])
 
-    for batch, data, offsets in text_slices(batches):
+    for batch, data, offsets in text_slices(batches, TEXT_BYTES):
         code, bounds = trigrams(data, offsets)
         names = batch.column("declared").dictionary_encode()
         of = np.repeat(names.indices.to_numpy(), np.diff(bounds))
@@ -251,7 +253,7 @@ def _scored(rows, models):
     schema = StructType([*(rows.schema[c] for c in kept), StructField("logs", ArrayType(DoubleType())), StructField("trigrams", LongType()), StructField("letters", LongType())])
 
     def score(batches):
-        for batch, data, offsets in text_slices(batches):
+        for batch, data, offsets in text_slices(batches, TEXT_BYTES):
             logs, *sizes = likelihoods([m.value for m in models], data, offsets, batch.column("declared").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * logs.shape[1], pa.int32()), pa.array(logs.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *(pa.array(n, pa.int64()) for n in sizes)], names=schema.names)
@@ -354,7 +356,7 @@ class Evidence:
         schema = StructType([rows.schema["row"]])
 
         def kept(batches):
-            for whole, data, offsets in text_slices(batches):
+            for whole, data, offsets in text_slices(batches, TEXT_BYTES):
                 for start in range(0, len(whole), step):
                     batch, ends = whole.slice(start, step), offsets[start:start + step + 1]
                     found = judged(batch, *likelihoods([m.value for m in models], data[ends[0]:ends[-1]], ends - ends[0], batch.column("declared").to_pylist()))
