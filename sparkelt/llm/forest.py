@@ -233,7 +233,7 @@ def near_vectors(df, id_col="vec_id", vector_col="embedding", threshold=0.9, tre
     named = (sizes.join(degrees, sizes["cid"] == degrees["a"], "left").join(members, sizes["cid"] == members["node"], "left")
              .select("cid", "first", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = classes.select("cid", "vector").join(named, "cid").join(smallest, "component").select("vector", "n_links", "component_id")
-    linked = useful.join(known, "vector").select("id", "n_links", "component_id")
+    known = classes.select("cid", "vector").join(named, "cid").join(smallest, "component").select(F.col("vector").alias("same"), "n_links", "component_id")
+    linked = useful.join(known, F.col("vector") == F.col("same")).select("id", "n_links", "component_id")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
