@@ -62,13 +62,15 @@ class Benchmark:
         hashes = word_hashes(joined, self.word_ends[:-1], self.word_ends[1:])
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        if (np.diff(self.hashes) == 0).any():
-            raise ValueError("two benchmark words have one hash")
+        # the next word of the same hash, 0 behind the last one
+        self.after = np.zeros(len(spelling) + 1, np.int64)
+        same = np.flatnonzero(np.diff(self.hashes) == 0)
+        self.after[self.order[same] + 1] = self.order[same + 1] + 1
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
 
     def numbers(self, hashes):
-        """Word numbers by hash, 0 for others."""
+        """Word numbers by hash, 0 for others; of several words with one hash the first, ``after`` leads to the rest."""
         out = np.zeros(len(hashes), np.int64)
         likely = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - _FILTER_BITS)])
         at = np.minimum(np.searchsorted(self.hashes, hashes[likely]), len(self.hashes) - 1)
@@ -142,9 +144,12 @@ def look_up(bench, low, starts, ends, bounds, hashes):
     begin, size = _runs(numbers, first)
     keep = size >= bench.least
     candidates = spread(begin[keep], size[keep])
-    wrong = candidates[~bench.really(numbers[candidates], low, starts[candidates], ends[candidates])]
-    if wrong.size:
-        numbers[wrong] = 0
+    changed = False
+    while candidates.size:
+        wrong = candidates[~bench.really(numbers[candidates], low, starts[candidates], ends[candidates])]
+        numbers[wrong] = bench.after[numbers[wrong]]
+        candidates, changed = wrong[numbers[wrong] != 0], changed or wrong.size > 0
+    if changed:
         begin, size = _runs(numbers, first)
         keep = size >= bench.least
     begin, size = begin[keep], size[keep]
