@@ -59,6 +59,42 @@ def test_token_counts_of_an_empty_table(spark):
     assert token_counts.token_counts(texts(spark, []), VOCABULARY).collect() == []
 
 
+LONG_RUNS = ["你好世界，今天天气很好。我们去公园散步，" * 300, "QmFzZTY0IGlzIG9uZSBydW4x7z9" * 400, "<|startoftext|>7e8<|endoftext|>" * 200, "12345" * 900,
+             "it's we'll2 don't9x " * 200, "Ends with words that go on " * 300, "x" * 5000, "é́1a\u0301" * 500, "a  b \n c <|endoftext|> d" * 200]
+
+
+@pytest.mark.parametrize("name, way", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_counts_of_two_kinds_of_tokenizers(name, way):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    rows = [t or "" for _, t in AWKWARD] + LONG_RUNS
+    assert token_counts._tokenizer(path)[1] == way
+    want = [len(plain.encode(t, add_special_tokens=False)) for t in rows]
+    assert token_counts.count_tokens(pa.array(rows), path).tolist() == want
+    assert token_counts.count_tokens(pa.array(rows), path, batch_bytes=50, long_text=60).tolist() == want
+
+
+def test_long_runs_without_white_space_are_cut():
+    for text in LONG_RUNS[:4]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        cuts, _ = token_counts._cut(data, np.array([0, len(data)]), 100, token_counts._WORD_CUT)
+        assert np.diff(cuts).max() < 200
+
+
+def test_an_unknown_tokenizer_takes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(VOCABULARY)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    assert token_counts._tokenizer(str(tmp_path / "other.json"))[1] is None
+    rows = [t or "" for _, t in AWKWARD] + LONG_RUNS
+    got = token_counts.count_tokens(pa.array(rows), str(tmp_path / "other.json"), batch_bytes=50, long_text=60).tolist()
+    assert got == [len(other.encode(t, add_special_tokens=False)) for t in rows]
+
+
 TURNS = [
     (1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<\\s> <\\/s> [\\\\INST] <s"), (1, 2, None, None), (1, None, "assistant", "first é"),
     (2, 5, "assistant", ""), (2, 5, "assistant", ""), (2, 4, "sys[/INST]tem\n", "a\nb"), (None, 0, "assistant", "nobody"), (3, -9, "user", "x" * 5000),
@@ -162,6 +198,22 @@ def test_matches_against_brute_force(spark, monkeypatch, block_bytes, shard):
     assert ordered((r["doc_id"],) for r in left.collect()) == ordered((i,) for i, _, n, _ in want if not n)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    one = thue_morse(1024)
+    other, third = one.translate(str.maketrans("ab", "ba")), one[:512] + one[:512]
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    assert len(set(arrow.word_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    docs = [(1, f"x {one} y"), (2, f"x {other} y"), (3, f"{third} y"), (4, f"{other} {one}"), (5, f"z {one} {other} z")]
+    for items in ([(1, one), (2, f"{other} y")], [(1, f"{one} {other}"), (2, other)], [(1, one)]):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = decontaminate.benchmark_matches(df, benchmark(spark, items), window=4).collect()
+        assert ordered((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == plain_matches(docs, items, 4)
+
+
 def test_longest_match_and_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "x one two three four five y one two")], "doc_id long, text string")
     row = decontaminate.benchmark_matches(docs, benchmark(spark, [(1, "one two three four five six")]), window=3).first()
