@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkelt.operators.conditions import safe_filter
 from sparkelt.operators.relational import (
-    join_frames, sample_with_total, top_k, transform_columns, union_frames)
+    hot_keys, join_frames, sample_with_total, top_k, transform_columns, union_frames)
 from sparkelt.sources.presets import preset_over
 
 from .registry import dec, money, query, table, total
@@ -189,6 +189,24 @@ hot_join_query("join_hot_key_anti", "anti", f"""
     WHERE event_type NOT IN (SELECT event_type FROM {KNOWN_TYPES})""")
 
 
+SKEWED = "CASE WHEN l_orderkey % 3 = 0 THEN -1 WHEN l_orderkey % 7 = 0 THEN -2 ELSE l_orderkey END"
+
+
+@query("join_hot_keys_found", f"""
+    WITH k AS (SELECT {SKEWED} AS k FROM lineitem)
+    SELECT k FROM k GROUP BY k HAVING COUNT(*) > 0.05 * (SELECT COUNT(*) FROM k)""")
+def hot_keys_found(spark, sf):
+    """What a join would split: the keys over a share of the rows, in one pass without a shuffle of keys."""
+    return hot_keys(table(spark, sf, "lineitem").selectExpr(f"{SKEWED} AS k"), ["k"], 0.05)
+
+
+@query("join_hot_keys_of_two", f"""
+    WITH k AS (SELECT {SKEWED} AS k, l_returnflag AS flag FROM lineitem)
+    SELECT k, flag FROM k GROUP BY k, flag HAVING COUNT(*) > 0.02 * (SELECT COUNT(*) FROM k)""")
+def hot_keys_of_two(spark, sf):
+    return hot_keys(table(spark, sf, "lineitem").selectExpr(f"{SKEWED} AS k", "l_returnflag AS flag"), ["k", "flag"], 0.02)
+
+
 # -- unions -----------------------------------------------------------------
 
 @query("union_all", """

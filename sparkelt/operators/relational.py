@@ -28,21 +28,45 @@ def transform_columns(df, select=None, rename=None, drop=None):
 
 # -- joins ------------------------------------------------------------------
 
-SAMPLED = 16
+#: Keys that the summary follows per wanted one. Its count of a key is too high by 2.625 / (TRACKED / share) of the
+#: rows at most, i.e. by less than a sixth of ``share``, and never too low.
+TRACKED, MOST_TRACKED = 16, 1_000_000
+#: Summaries are merged in so many groups first, so that the last task gets few.
+MERGES = 64
+#: Key types that the summary follows as they are; others go by their digest.
+FOLLOWED = {"tinyint", "smallint", "int", "bigint", "date", "string"}
 
 
 def hot_keys(df, keys, share):
-    """Keys that hold about ``share`` of all rows or more: at most ``1 / share`` rows.
+    """Every key that holds more than ``share`` of the rows without null keys, and none with less than 5/6 of it.
 
-    Reads the key columns alone and counts about one row in ``SAMPLED``. The
-    keys only steer how a join is laid out, never its result.
+    One pass over the key columns, with a heavy-hitter summary per task; the
+    summaries are merged and no key is shuffled. Keys of several columns, and
+    those of other types, are followed by digest; a second pass then
+    reads out the few keys that have such a digest. The keys only steer how a
+    join is laid out, never its result.
     """
+    if not TRACKED / MOST_TRACKED <= share < 1:
+        raise ValueError(f"a share between {TRACKED / MOST_TRACKED} and 1 is needed, got {share}")
+    tracked = int(-(-TRACKED // share))
     known = df.select(*keys).where(_all_set(keys))
-    if SAMPLED > 1:
-        known = known.sample(1 / SAMPLED, seed=SAMPLED)
-    counts = known.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") > F.lit(share) * total).select(*keys)
+    types = dict(known.dtypes)
+    single = len(keys) == 1 and types[keys[0]] in FOLLOWED
+    # zeros of both signs are one key
+    equal = [F.col(k) + F.lit(0).cast(types[k]) if types[k] in ("float", "double") else F.col(k) for k in keys]
+    followed = known.select(F.col(keys[0]) if single else F.xxhash64(*equal)).toDF("_item").withColumn(
+        "_group", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+    parts = followed.groupBy("_group").agg(
+        F.expr(f"approx_top_k_accumulate(_item, {tracked})").alias("_seen"), F.count("*").alias("_n"))
+    # summaries cannot be merged where there are none, so an empty table must give no group
+    whole = parts.groupBy(F.lit(True)).agg(F.expr(f"approx_top_k_combine(_seen, {tracked})").alias("_seen"), F.sum("_n").alias("_n"))
+    # at most 1 / (5/6 of the share) keys can be listed
+    listed = whole.select(F.expr(f"inline(approx_top_k_estimate(_seen, {int(-(-1.25 // share))}))"), "_n")
+    hot = listed.where(F.col("count") > F.lit(share) * F.col("_n"))
+    if single:
+        return hot.select(F.col("item").alias(keys[0]))
+    digests = hot.select(F.col("item").alias("_digest"))
+    return known.withColumn("_digest", F.xxhash64(*equal)).join(F.broadcast(digests), "_digest", "left_semi").select(*keys).distinct()
 
 
 def _found_hot_keys(df, keys, share):

@@ -33,7 +33,7 @@ def test_inner_join(users, orders):
 
 @pytest.mark.parametrize("how, count", [("inner", 2), ("left", 3), ("right", 3), ("outer", 4), ("semi", 2), ("anti", 1)])
 @pytest.mark.parametrize("salted", [False, True])
-def test_null_and_repeated_keys(spark, every_row, how, count, salted):
+def test_null_and_repeated_keys(spark, how, count, salted):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k long, v string")
     right = spark.createDataFrame([(1, "x"), (None, "z")], "k long, v string")
     joined = join_frames(left, right, "k", how, always_salt=salted, hot_share=0.3, salts=3,
@@ -44,13 +44,7 @@ def test_null_and_repeated_keys(spark, every_row, how, count, salted):
 
 
 @pytest.fixture
-def every_row(monkeypatch):
-    """Hot keys are looked for in all rows, as a sample of a small table may hold none."""
-    monkeypatch.setattr(relational, "SAMPLED", 1)
-
-
-@pytest.fixture
-def skewed(spark, every_row):
+def skewed(spark):
     """Both sides have a hot key, hot null keys, plain keys and keys of their own; the left has copies."""
     left = spark.range(3000).selectExpr(
         "CASE WHEN id < 1000 THEN 7 WHEN id < 1500 THEN NULL ELSE id % 300 END AS k", "id % 3 AS lv")
@@ -115,14 +109,38 @@ def test_join_errors(users, orders):
         join_frames(users, orders, "user_id", "outer", hot_source=users)
 
 
-def test_hot_keys_of_a_sample(spark, monkeypatch):
+def test_every_hot_key_is_found(spark):
     df = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
     assert rows(hot_keys(df, ["k"], 0.02)) == [(-1,)]
-    monkeypatch.setattr(relational, "SAMPLED", 1)
-    assert rows(hot_keys(df.selectExpr("k", "0 AS id"), ["k"], 0.02)) == [(-1,)]
+    # 12 keys just over the share, all in the last of many partitions, behind 90,000 different ones
+    last = spark.range(100_000, numPartitions=40).selectExpr("CASE WHEN id < 75400 THEN id ELSE -1 - id % 12 END AS k")
+    assert rows(hot_keys(last, ["k"], 0.02)) == rows(spark.range(-12, 0).toDF("k"))
+    assert rows(hot_keys(last, ["k"], 0.5)) == [] and rows(hot_keys(last.limit(0), ["k"], 0.02)) == []
+    with pytest.raises(ValueError, match="share"):
+        hot_keys(df, ["k"], 0)
+
+
+@pytest.mark.parametrize("shown", ["CAST(k AS STRING)", "CAST(k AS DOUBLE)", "CAST(k AS DECIMAL(12,2))", "timestamp_seconds(k)", "struct(k)", "CAST(CAST(k AS STRING) AS BINARY)", "k = 0"])
+def test_hot_keys_of_any_type(spark, shown):
+    k = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 WHEN id % 10 = 1 THEN NULL ELSE id END AS k")
+    df = k.selectExpr(f"{shown} AS k", "k % 2 AS l")
+    counts = df.where("k IS NOT NULL").groupBy("k").count()
+    want = counts.where(f"count > 0.1 * {counts.selectExpr('sum(count)').first()[0]}").select("k")
+    assert rows(hot_keys(df, ["k"], 0.1)) == rows(want)
+    both = df.where("k IS NOT NULL AND l IS NOT NULL").groupBy("k", "l").count()
+    assert rows(hot_keys(df, ["k", "l"], 0.1)) == rows(both.where(f"count > 0.1 * {both.selectExpr('sum(count)').first()[0]}").select("k", "l"))
+
+
+def test_zeros_of_both_signs_are_one_hot_key(spark):
+    df = spark.range(100).selectExpr("CASE WHEN id < 8 THEN 0D WHEN id < 16 THEN -0D ELSE CAST(id AS DOUBLE) END AS k")
+    assert rows(hot_keys(df, ["k"], 0.1)) == [(0.0,)]
+
+
+def test_the_search_for_hot_keys_shuffles_no_key(spark):
+    assert "hashpartitioning(k" not in plan(hot_keys(spark.range(100).toDF("k"), ["k"], 0.02))
 
 
-def test_no_hot_key_no_salt(spark, all_large, every_row):
+def test_no_hot_key_no_salt(spark, all_large):
     even = spark.range(1000).toDF("k")
     assert "_sl" not in plan(join_frames(even, even, "k", "outer", hot_share=0.02))
 
