@@ -88,6 +88,32 @@ def flow_run(spark, sf):
     return outputs["sink"].select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
+@query("flow_twin_nodes", f"""
+    WITH j AS (SELECT l_orderkey, l_linenumber, l_discount, o_orderpriority FROM {KEPT} JOIN orders ON l_orderkey = o_orderkey)
+    SELECT 'dear' AS sink, l_orderkey, l_linenumber, o_orderpriority FROM j WHERE l_discount >= 0.08::DOUBLE
+    UNION ALL SELECT 'all', l_orderkey, l_linenumber, o_orderpriority FROM j""")
+def flow_twin_nodes(spark, sf):
+    """A spec that declares one join twice, with the filter before it written in two ways: the run computes it once."""
+    place = Place(tenant="tenant-a", project="checks", base=scratch(spark, "flow"))
+    table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag").write.parquet(
+        place.path("items.parquet"))
+    table(spark, sf, "orders").select("o_orderkey", "o_orderpriority").write.parquet(place.path("orders.parquet"))
+    nodes = [{**n, "config": {"key": n["id"] + ".parquet"}} if n["type"] == "input" else n for n in SPEC["nodes"]]
+    nodes += [
+        {"id": "kept2", "type": "filter", "config": {"condition": "l_returnflag in ['A', 'R'] and 0.05 <= l_discount"}},
+        {"id": "joined2", "type": "join", "config": {"on": ["l_orderkey"]}},
+        {"id": "dear", "type": "filter", "config": {"condition": "l_discount >= 0.08"}},
+        {"id": "sink2", "type": "output", "config": {"key": "dear.parquet"}},
+    ]
+    edges = [*SPEC["edges"], {"source": "items", "target": "kept2"}, {"source": "kept2", "target": "joined2", "target_port": "left"},
+             {"source": "renamed", "target": "joined2", "target_port": "right"}, {"source": "joined2", "target": "dear"},
+             {"source": "dear", "target": "sink2"}]
+    outputs, _ = Flow({"nodes": nodes, "edges": edges}).run(spark, place)
+    kept = ["l_orderkey", "l_linenumber", "o_orderpriority"]
+    return outputs["sink2"].select(F.lit("dear").alias("sink"), *kept).unionByName(
+        outputs["sink"].select(F.lit("all").alias("sink"), *kept))
+
+
 @query("flow_named_sink", """
     SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000""")
 def flow_named_sink(spark, sf):

@@ -143,20 +143,51 @@ class Flow:
     def outputs(self):
         return [n for n in self.order if self.kind[n].startswith("output")]
 
-    def shared(self):
-        """Computed nodes from which the ways to different sinks part."""
-        reaches = {n: {o for o in self.outputs() if n in self.ancestors(o)} for n in self.order}
-        takers = {n: [t for t in self.order if n in self.feeds[t].values()] for n in self.order}
+    def twins(self, frames):
+        """Nodes that compute what an earlier one does, by node id: that earlier node.
+
+        Spark compares the plans, so the same work written in another way is
+        found too. It does not compare names of columns; those must be equal.
+        """
+        first, same = {}, {}
+        for node in self.order:
+            if node not in frames or self.kind[node].startswith(("input", "output")):
+                continue
+            alike = first.setdefault((frames[node].semanticHash(), *frames[node].columns), [])
+            for other in alike:
+                if frames[other].schema == frames[node].schema and frames[other].sameSemantics(frames[node]):
+                    same[node] = other
+                    break
+            else:
+                alike.append(node)
+        return same
+
+    def shared(self, same=None):
+        """Computed nodes from which the ways to different sinks part; ``same`` are twins that count as one node."""
+        same = same or {}
+        reaches = {n: set() for n in self.order}
+        takers = {n: [] for n in self.order}
+        # a twin has no way of its own: its takers take the first node's result
+        for target in reversed(self.order):
+            if self.kind[target].startswith("output"):
+                reaches[target].add(target)
+            if target in same:
+                continue
+            for source in {same.get(n, n) for n in self.feeds[target].values()}:
+                takers[source].append(target)
+                reaches[source] |= reaches[target]
         return {
             n for n in self.order
             if not self.kind[n].startswith(("input", "output"))
             and len({frozenset(reaches[t]) for t in takers[n] if reaches[t]}) > 1
         }
 
-    def build(self, spark, place, only=None, after=None):
+    def build(self, spark, place, only=None, after=None, made_before=None, same=None):
         """Lazy DataFrames by node id; ``after`` may replace each one as it is made.
 
-        A failure carries the log: the nodes that were made, then the failed one.
+        ``made_before`` are frames of an earlier build: nodes whose inputs are
+        still those are not built again. A twin in ``same`` takes the frame of
+        the node that it repeats. A failure carries the log: the nodes that were made, then the failed one.
         """
         frames, log = {}, []
         for node in self.order:
@@ -165,8 +196,15 @@ class Flow:
             inputs = {port: frames[source] for port, source in self.feeds[node].items()}
             begun = time.perf_counter()
             try:
-                made = KINDS[self.kind[node]](self.config[node], inputs, spark, place)
-                frames[node] = after(node, made) if after else made
+                if same and node in same:
+                    frames[node] = frames[same[node]]
+                else:
+                    feeds = self.feeds[node].values()
+                    if made_before and all(frames[n] is made_before[n] for n in feeds):
+                        made = made_before[node]
+                    else:
+                        made = KINDS[self.kind[node]](self.config[node], inputs, spark, place)
+                    frames[node] = after(node, made) if after else made
             except Exception as error:
                 raise FlowError(f"node {node!r} failed: {error}", [*log, _failed(node, error, _since(begun))]) from error
             log.append((node, "succeeded", _since(begun), None, None))
@@ -193,10 +231,13 @@ class Flow:
         the rows of the other nodes by a query of its own: counts taken on the
         way would include the rows of tasks that Spark had to run twice. A
         node that several file sinks share is written once to the shared folder and
-        removed after the run. A failure carries the log so far.
+        removed after the run; nodes with the same meaning count as one node
+        there. A failure carries the log so far.
         """
         copies, log, outputs = [], [], {}
-        shared = self.shared() if place.base is not None else set()
+        lazy = self.build(spark, place)
+        same = self.twins(lazy) if place.base is not None else {}
+        shared = self.shared(same) if place.base is not None else set()
 
         def keep_shared(node, df):
             if node not in shared:
@@ -205,7 +246,7 @@ class Flow:
             return write_through(df, copies[-1])
 
         try:
-            return self._write(spark, place, self.build(spark, place, after=keep_shared), count_all, log, outputs)
+            return self._write(spark, place, self.build(spark, place, after=keep_shared, made_before=lazy, same=same), count_all, log, outputs)
         finally:
             for copy in copies:
                 remove(spark, copy)

@@ -4,6 +4,7 @@ import pytest
 
 from conftest import plan, rows
 from sparkelt.errors import CycleInFlowError, FlowError, UnsafeQueryError
+from sparkelt.plans import flow as flow_module
 from sparkelt.plans.flow import Flow, Place
 from sparkelt.plans.sql import pandas_transform, schema_report, sql_transform, user_transform
 from sparkelt.sources.memory import read_memory, write_memory
@@ -48,6 +49,43 @@ def test_sinks_that_share_a_node(spark, place):
     assert dict(rows(flow.node_counts(spark, place))) == {"in": 3, "p": 3, "j": 3, "dear": 1, "o1": 3, "o2": 1}
 
 
+TWINS = spec(
+    [("in", "input", {"key": "in.parquet"}), ("again", "input", {"key": "in.parquet"}), ("p", "input", {"key": "price.parquet"}),
+     ("f", "filter", {"condition": "value >= 2 and kind == 'a'"}), ("g", "filter", {"condition": "kind == 'a' and 2 <= value"}),
+     ("j", "join", {"on": "value", "how": "left"}), ("k", "join", {"on": ["value"], "how": "left_outer"}),
+     ("renamed", "transform", {"rename_columns": {"price": "cost"}}), ("other", "transform", {"rename_columns": {"price": "amount"}}),
+     ("o1", "output", {"key": "o1.parquet"}), ("o2", "output", {"key": "o2.parquet"}), ("o3", "output", {"key": "o3.parquet"})],
+    [("in", "f"), ("again", "g"), ("f", "j", "left"), ("p", "j", "right"), ("g", "k", "left"), ("p", "k", "right"),
+     ("j", "renamed"), ("k", "other"), ("renamed", "o1"), ("other", "o2"), ("k", "o3")])
+
+
+def test_nodes_of_one_meaning_are_computed_once(spark, place, monkeypatch):
+    flow = Flow(TWINS)
+    same = flow.twins(flow.build(spark, place))
+    pairs = {frozenset(pair) for pair in same.items()}
+    # equal plans with other names of columns are no twins
+    assert pairs == {frozenset("fg"), frozenset("jk")}
+    assert flow.shared() == {"k"} and flow.shared(same) == {same.get("j", "j")}
+    written = []
+    keep = flow_module.write_through
+    monkeypatch.setattr(flow_module, "write_through", lambda df, path: written.append(path) or keep(df, path))
+    outputs, log = flow.run(spark, place, count_all=True)
+    assert len(written) == 1
+    assert rows(outputs["o1"]) == rows(outputs["o2"]) == rows(outputs["o3"]) == [(3, "a", 2.0)]
+    assert [outputs[o].columns[-1] for o in ("o1", "o2", "o3")] == ["cost", "amount", "price"]
+    assert {r[1] for r in rows(log, "node_id", "status")} == {"succeeded"}
+    assert dict(rows(log, "node_id", "rows")) == {**dict.fromkeys(["f", "g", "j", "k", "renamed", "other", "o1", "o2", "o3"], 1),
+                                                  "in": 3, "again": 3, "p": 3}
+
+
+def test_an_outer_join_is_built_once(spark, place, monkeypatch):
+    made = []
+    monkeypatch.setitem(flow_module.KINDS, "join", lambda *a: made.append(1) or flow_module._join(*a))
+    Flow(spec([("in", "input", {"key": "in.parquet"}), ("p", "input", {"key": "price.parquet"}), ("j", "join", {"on": "value", "how": "outer"}),
+               ("o", "output", {"key": "o.parquet"})], [("in", "j"), ("p", "j"), ("j", "o")])).run(spark, place)
+    assert made == [1]
+
+
 def test_run_over_nothing(spark, place):
     nothing = spec([("in", "input", {"key": "in.parquet"}), ("f", "filter", {"condition": "not True"}),
                     ("out", "output", {"key": "none.parquet"}), ("idle", "input", {"key": "price.parquet"})],
