@@ -5,6 +5,9 @@ import re
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import functions as F, types as T
 
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json"}
@@ -99,14 +102,92 @@ def write_through(df, path, fmt=None, multiline=False, **options):
 CORRUPT = "_corrupt_record"
 
 
-def sniff_formats(spark, landing):
-    """One row (file, format, head) per landed file; ``head`` is its first line that is not blank.
+#: Bytes of a file that are read first; twice as many each time until its first line is whole.
+HEAD_BYTES = 1 << 16
+#: Schemes of Hadoop's connectors, and what Arrow calls the same store.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "s3": "s3"}
+
+
+def sniff_formats(spark, landing, heads_only=None):
+    """One row (file, format, head) per landed file, from its first line that is not blank.
 
     A leading ``[`` means one JSON array document, the ending ``.json`` alone
-    JSON lines (which Spark can split), anything else CSV. A file without such a
-    line has no row. Only the first block of each file can hold its first
-    line, so the lines of other blocks are dropped by their offset.
+    JSON lines (which Spark can split), anything else CSV, whose ``head`` is that
+    line. A file without such a line has no row.
+
+    Spark lists the files; tasks open each of them with Arrow and stop behind the
+    first line, so the bytes read grow with the number of files, not with their
+    size. A store that Arrow cannot open is scanned by Spark instead, every byte
+    once. ``heads_only`` chooses the way; by default the driver tries the folder.
     """
+    heads_only = _arrow_opens(landing) if heads_only is None else heads_only
+    first = _read_heads(spark, landing) if heads_only else _scan_heads(spark, landing)
+    kind = F.when(F.col("line").startswith("["), "json").when(
+        F.col("file").endswith(".json"), "json_lines").otherwise("csv")
+    return first.select("file", kind.alias("format"), "line").select(
+        "file", "format", F.when(F.col("format") == "csv", F.col("line")).alias("head"))
+
+
+def _arrow_opens(path):
+    try:
+        files, place = _arrow_place(path)
+        return files.get_file_info(place).type != fs.FileType.NotFound
+    except (OSError, ValueError, ImportError):
+        return False
+
+
+def _arrow_place(path):
+    """Arrow's file system for an address, and the place of the file in it."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
+    if scheme not in ARROW_SCHEMES:
+        raise ValueError(f"Arrow has no file system for {scheme!r}")
+    root, slash, place = rest.lstrip("/").partition("/")
+    files, base = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}://{root}/")
+    return files, f"{base.rstrip('/')}/{place}"
+
+
+def _read_heads(spark, landing):
+    # the content column is left out, so this is a listing: one row per file
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing).where("length > 0").select(
+        F.col("_metadata.file_path").alias("file"), "path")
+    return listed.mapInArrow(_heads_of_files, "file string, line string")
+
+
+def _heads_of_files(batches):
+    for batch in batches:
+        lines = [_first_line(path) for path in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(lines, pa.string())], ["file", "line"]).filter(
+            pc.is_valid(pa.array(lines, pa.string())))
+
+
+def _first_line(path):
+    """The first line of a file that is not blank; of JSON, whose lines may be long, its first character."""
+    files, place = _arrow_place(path)
+    with files.open_input_stream(place) as stream:
+        seen, size = b"", HEAD_BYTES
+        while chunk := stream.read(size):
+            size *= 2
+            lines = (seen + chunk).splitlines()
+            # the last line may go on in the next piece, also behind a final line break of two bytes
+            seen = lines.pop() if not chunk.endswith((b"\n", b"\r")) else b""
+            for line in lines:
+                if line.strip(b" "):
+                    return _shown(line, path)
+            start = seen.strip(b" ")
+            if start.startswith(b"[") or start and path.endswith(".json"):
+                return _shown(start, path)
+        return _shown(seen, path) if seen.strip(b" ") else None
+
+
+def _shown(line, path):
+    text = line.strip(b" ").decode("utf-8", "replace")
+    return text[0] if text.startswith("[") or path.endswith(".json") else text
+
+
+def _scan_heads(spark, landing):
+    """As ``_read_heads``, by a scan of all lines; only those of a file's first block can be its first."""
     lines = (
         _landed(spark, landing)
         .select(
@@ -117,10 +198,7 @@ def sniff_formats(spark, landing):
         )
         .where((F.col("block") == 0) & (F.col("line") != ""))
     )
-    first = lines.groupBy("file").agg(F.min_by("line", "at").alias("head"))
-    kind = F.when(F.col("head").startswith("["), "json").when(
-        F.col("file").endswith(".json"), "json_lines").otherwise("csv")
-    return first.select("file", kind.alias("format"), "head")
+    return lines.groupBy("file").agg(F.min_by("line", "at").alias("line"))
 
 
 def _landed(spark, landing):

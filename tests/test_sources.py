@@ -1,3 +1,4 @@
+import gzip
 import json
 import re
 
@@ -7,7 +8,9 @@ from pyspark.sql.types import StructType
 from conftest import rows
 from sparkelt.errors import UnsafeQueryError
 from sparkelt.functions.validation import check_read_query
-from sparkelt.sources.files import endpoint_options, format_of, ingest_landing, read_dataset, write_dataset, write_through
+from sparkelt.sources.files import (
+    _arrow_opens, endpoint_options, format_of, ingest_landing, read_dataset, sniff_formats, write_dataset,
+    write_through)
 from sparkelt.sources.jdbc import connection_options, jdbc_url, read_jdbc_query, split_options
 from sparkelt.sources.memory import read_memory, write_memory
 from sparkelt.sources.paths import object_store_path, scoped_key, scoped_path, shared_dir, table_name
@@ -126,6 +129,54 @@ def test_landing_without_a_schema(spark, tmp_path):
     assert report.where("status = 'ingested'").count() == 3
 
 
+def bytes_of_last_jobs(spark, first):
+    """Bytes that the stages from number ``first`` on have read, and the number of the next one."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    found = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.inputBytes() for s in found if s.stageId() >= first), max([s.stageId() for s in found], default=-1) + 1
+
+
+def test_heads_without_their_files(spark, tmp_path):
+    """What is read to know a file's format does not grow with the file."""
+    with open(tmp_path / "big.csv", "w") as out:
+        out.write("item,qty\n")
+        out.writelines(f"thing {i},{i}\n" for i in range(400_000))
+    (tmp_path / "one line.json").write_text("\n  [" + ", ".join('{"item": "x"}' for _ in range(100_000)) + "]")
+    (tmp_path / "lines.json").write_text('{"item": "y"}\n' * 50_000)
+    (tmp_path / "late.csv").write_text(" \n" * 70_000 + "a,b\r\n1,2\r\n")
+    (tmp_path / "wide.csv").write_text(",".join(f"column{i}" for i in range(20_000)))
+    (tmp_path / "blank.csv").write_text("\n  \n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "deep").mkdir()
+    with gzip.open(tmp_path / "deep" / "ü%20 zip.csv.gz", "wt") as out:
+        out.write("\nitem,qty\npear,1\n")
+    landing = str(tmp_path)
+    _, before = bytes_of_last_jobs(spark, 0)
+    heads = rows(sniff_formats(spark, landing))
+    read, _ = bytes_of_last_jobs(spark, before)
+    assert read < 100_000
+    assert heads == rows(sniff_formats(spark, landing, heads_only=False))
+    assert heads == rows(sniff_formats(spark, "file://" + landing))
+    found = {file.rsplit("/", 1)[1]: (kind, head and head[:9]) for file, kind, head in heads}
+    assert found == {"big.csv": ("csv", "item,qty"), "one%20line.json": ("json", None), "lines.json": ("json_lines", None),
+                     "late.csv": ("csv", "a,b"), "wide.csv": ("csv", "column0,c"), "ü%2520%20zip.csv.gz": ("csv", "item,qty")}
+
+
+def test_a_head_of_a_file_larger_than_any_disk_read(spark, tmp_path):
+    """64 GB of which only the first line is written: a scan would not end in the time of a test."""
+    with open(tmp_path / "huge.csv", "wb") as out:
+        out.write(b"item,qty\n")
+        out.truncate(1 << 36)
+    assert [(r["format"], r["head"]) for r in sniff_formats(spark, str(tmp_path)).collect()] == [("csv", "item,qty")]
+
+
+def test_a_store_that_arrow_cannot_open_is_scanned(spark, tmp_path):
+    assert not _arrow_opens("odd://bucket/landing") and not _arrow_opens(str(tmp_path / "absent"))
+    assert _arrow_opens(str(tmp_path)) and _arrow_opens("file://" + str(tmp_path))
+
+
 def test_jdbc_without_a_database(spark):
     assert jdbc_url("postgresql", "db", "h") == "jdbc:postgresql://h:5432/db"
     assert jdbc_url("mysql", "db", "h", 99) == "jdbc:mysql://h:99/db"
