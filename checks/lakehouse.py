@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkelt.functions.hashing import hmac_sha256
 from sparkelt.operators.audit import fingerprint, sign, verify
+from sparkelt.operators.lineage import changed_ranges, changed_rows, write_by_digest
 from sparkelt.operators.capacity import (
     capacity_columns, capacity_documented, size_bound_flag, size_estimate, tier_column)
 from sparkelt.operators.lakehouse import Lakehouse, star_join, with_ranks, with_running_totals
@@ -222,6 +223,41 @@ def table_fingerprint(spark, sf):
     return fingerprint(rows).withColumns({c: F.col(c).cast("string") for c in ("sum_low", "sum_high")})
 
 
+CHANGED = f"""
+    old AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer),
+    new AS (SELECT c_custkey, CASE WHEN c_custkey % 75 = 1 THEN 'renamed' ELSE c_name END AS c_name, c_nationkey, c_mktsegment
+            FROM old WHERE c_custkey % 75 <> 2 UNION ALL SELECT * FROM old WHERE c_custkey % 75 = 3),
+    changes AS (SELECT 'added' AS change, * FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old)
+                UNION ALL SELECT 'removed', * FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new)),
+    named AS (SELECT 'r' || substr(sha256({ROW_JSON}), 1, 2) AS range, * FROM changes)"""
+
+
+def two_versions(spark, sf):
+    """Customers, and the same with some renamed, some gone and some repeated."""
+    old = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    name = F.when(F.col("c_custkey") % 75 == 1, "renamed").otherwise(F.col("c_name"))
+    new = old.where("c_custkey % 75 <> 2").withColumn("c_name", name).unionByName(old.where("c_custkey % 75 = 3"))
+    paths = [scratch(spark, "lineage") for _ in range(2)]
+    for rows, path in zip((old, new), paths):
+        write_by_digest(rows, path)
+    return paths
+
+
+@query("lineage_changed_rows", f"""
+    WITH {CHANGED}
+    SELECT range, change, COUNT(*) AS copies, c_custkey, c_name, c_nationkey, c_mktsegment FROM named
+    GROUP BY ALL""")
+def lineage_changed_rows(spark, sf):
+    return changed_rows(spark, *two_versions(spark, sf))
+
+
+@query("lineage_changed_ranges", f"WITH {CHANGED} SELECT DISTINCT range FROM named")
+def lineage_changed_ranges(spark, sf):
+    """The ranges that differ, from the two trees alone."""
+    ranges = changed_ranges(spark, *two_versions(spark, sf))
+    return spark.createDataFrame([(name,) for name in ranges], "range string")
+
+
 # -- capacity ---------------------------------------------------------------
 
 LOAD = [

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkelt.operators.layout import cells_within, read_clustered, write_clustered
 from sparkelt.operators.quality import (
     append_version, batch_hashes, dedup_by_hash, dedup_by_key, latest_version, new_batches, normalise_nulls,
     reprocess, split_quarantine, try_cast_schema)
@@ -184,3 +185,23 @@ def pruned(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     write_dataset(orders, path, partition_by=["o_orderpriority"], compression="zstd")
     return read_dataset(spark, path).where("o_orderpriority = '1-URGENT' AND o_totalprice > 1000")
+
+
+WITHIN = {"date": {"o_orderdate": ("1995-01-01", "1995-03-31")}, "price": {"o_totalprice": (100000.0, 120000.0)}}
+
+
+@query("partition_clustered_scan", """
+    SELECT 'date' AS filter, TRUE AS under_a_third, o_orderkey, o_totalprice FROM orders
+    WHERE CAST(o_orderdate AS DATE) BETWEEN '1995-01-01' AND '1995-03-31'
+    UNION ALL SELECT 'price', TRUE, o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 120000""")
+def clustered(spark, sf):
+    """Orders along a curve over date and price; a filter on either reads less than a third of the cells."""
+    path = scratch(spark, "clustered") + "/orders.parquet"
+    orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
+    write_clustered(orders, path, ["o_orderdate", "o_totalprice"], cells=64)
+    parts = []
+    for name, ranges in WITHIN.items():
+        cells, total = cells_within(spark, path, ranges)
+        parts.append(read_clustered(spark, path, ranges).select(
+            F.lit(name).alias("filter"), F.lit(3 * len(cells) < total).alias("under_a_third"), "o_orderkey", "o_totalprice"))
+    return parts[0].unionByName(parts[1])

@@ -97,6 +97,16 @@ def write_through(df, path, fmt=None, multiline=False, **options):
     return read_dataset(df.sparkSession, path, fmt, schema=df.schema, multiline=multiline, options=apart)
 
 
+def keep_schema(df, path):
+    """Store the schema of a partitioned table beside it, hidden from its readers: an empty one has no file to show it."""
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/_schema")
+
+
+def read_kept(spark, path):
+    """A table whose schema ``keep_schema`` has stored."""
+    return spark.read.schema(spark.read.parquet(f"{path}/_schema").schema).parquet(path)
+
+
 # -- landed uploads ---------------------------------------------------------
 
 CORRUPT = "_corrupt_record"
