@@ -161,8 +161,12 @@ TEXTS = f"""(SELECT 'doc' AS kind, doc_id AS id, text FROM documents
 
 
 def texts(spark, sf):
+    # A customer takes a few bytes in a file and makes a long text full of secrets. Tasks cut by bytes would give
+    # all lines to one of them, so the short rows are dealt out by number before the lines are made.
     documents = table(spark, sf, "documents").selectExpr("'doc' AS kind", "doc_id AS id", "text")
-    logs = table(spark, sf, "customer").selectExpr("'log' AS kind", "c_custkey AS id", f"{log_line('sha2({}, 256)')} AS text")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    dealt = customers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    logs = dealt.selectExpr("'log' AS kind", "c_custkey AS id", f"{log_line('sha2({}, 256)')} AS text")
     return documents.unionByName(logs)
 
 
